@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, packing, token_store
+from . import chat, exact_dedup, lexicon, packing, pii, quality_model, quality_rules, simhash, token_store
 from .common import table
 
 
@@ -22,5 +22,34 @@ def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_bpe_lexicon)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    log = chat.messages_as_events(rows.unionByName(chat.control_conversation(spark)))
+    return chat.chat_digests(chat.format_chats(log))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op8_quality_rules, op9_simhash, op10_pii)
+}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
