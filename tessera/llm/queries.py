@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, lexicon, packing, pii, quality_model, quality_rules, simhash, token_store
+from . import chat, exact_dedup, lexicon, packing, pii, quality_model, quality_rules, simhash, substring_dedup, token_store
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op8_quality_rules, op9_simhash, op10_pii)
+    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii)
 }
 ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
