@@ -151,6 +151,8 @@ def anchors(k8: np.ndarray, ask: np.ndarray, length: int) -> tuple[np.ndarray, n
     if rest:
         low = np.minimum(low, np.concatenate([low[rest:], np.full(rest, full)]))
     starts = np.flatnonzero(ask)
+    if not len(starts):
+        return starts, starts, starts
     at = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
