@@ -51,7 +51,7 @@ class PieceEncoder:
     memo starts afresh, which costs time and never changes a result.
     """
 
-    def __init__(self, path: str, max_memo: int = 500_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_memo: int = 1_000_000, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
