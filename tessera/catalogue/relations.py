@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clause_order, human_bytes, rotate, short_label, tidy_clause
 from ..operators import calibrate, store, topics
 from ..sources import snapshot
+from ..session import shared_folder
 from ..streaming import ingest
 from .carriers import SQL_DOCUMENTS, chunks, documents, table, vectors
 
@@ -156,24 +157,18 @@ def event_windows(spark, d):
 
 def snapshot_roundtrip(spark, d):
     """Export all chunks and documents, read them back through every check."""
-    import uuid
-
     c, docs = chunks(spark, d), documents(spark, d).withColumnRenamed("doc_title", "t").withColumn("doc_title", F.col("t")).drop("t")
     embed = {"provider": "local", "model": "test/64", "dims": 64}
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = snapshot.export_bundle(docs, c, f"{base}/tessera-snapshots-{uuid.uuid4().hex}", embed)
+    folder = snapshot.export_bundle(docs, c, shared_folder(spark, "snapshots"), embed)
     _, back, _ = snapshot.read_bundle(spark, folder, embed)
     return back.select("doc_id", "chunk_index", F.sha2("content", 256).alias("sha256"), F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 def stream_ingest(spark, d):
     """Land all chunks as a stream of files, upsert them into a store, read the store."""
-    import uuid
-
     from ..sources.store import CHUNKS, Store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base}/tessera-stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     landed = chunks(spark, d).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     landed.select(*[x.split()[0] for x in CHUNKS.split(", ")]).write.parquet(f"{root}/landing")
     kept = Store(spark, f"{root}/store")
