@@ -210,6 +210,10 @@ SELECT row_number() OVER (ORDER BY turn, doc_title) AS place, doc_id, substr(doc
 h AS (SELECT c_custkey, names, list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ord(x) AS HUGEINT)), lambda a, x: (xor(CAST(a AS BIGINT), CAST(x AS BIGINT))::HUGEINT * 16777619) % 4294967296, 2166136261::HUGEINT) AS h FROM customer, n),
 s AS (SELECT c_custkey, names, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % len(names) AS BIGINT) AS start FROM h)
 SELECT c_custkey, array_to_string(list_concat(list_slice(names, start + 1, len(names)), list_slice(names, 1, start)), ',') AS rotated FROM s""",
+    "labels_and_sizes": """WITH t AS (SELECT o_orderkey, floor(o_totalprice * o_orderkey) AS n, 'order, ' || o_orderpriority || ', of customer number ' || o_custkey AS base FROM orders), h AS (SELECT *, left(base, 34) AS head FROM t)
+SELECT o_orderkey, CASE WHEN n < 1024 THEN CAST(n AS BIGINT) || ' B' WHEN n < 10240 THEN printf('%.1f KB', n / 1024) WHEN n < 1048576 THEN CAST(round(n / 1024) AS BIGINT) || ' KB' WHEN n < 10485760 THEN printf('%.1f MB', n / 1048576)
+ WHEN n < 1073741824 THEN CAST(round(n / 1048576) AS BIGINT) || ' MB' WHEN n < 10737418240 THEN printf('%.1f GB', n / 1073741824) ELSE CAST(round(n / 1073741824) AS BIGINT) || ' GB' END AS size,
+ CASE WHEN length(base) <= 34 THEN base WHEN regexp_matches(head, '^.{13,},[^,]*$') THEN regexp_extract(head, '^(.{13,}),[^,]*$', 1) ELSE regexp_extract(head, '^(.{13,}) [^ ]*$', 1) || '…' END AS label FROM h""",
     "calibrate_distributions": f"WITH {PROBES} SELECT label, count(*) AS n, min(score) AS low, max(score) AS high, list_sort(list(score))[count(*) // 2 + 1] AS median FROM p GROUP BY label",
     "calibrate_verdict": f"""WITH {PROBES}, e AS (SELECT max(score) FILTER (label = 'out') AS max_out, min(score) FILTER (label = 'in') AS min_in FROM p)
 SELECT max_out, min_in, count(*) FILTER (label = 'out' AND score >= min_in) AS overlapping, CASE WHEN count(*) FILTER (label = 'out' AND score >= min_in) = 0 THEN (max_out + min_in) / 2 END AS suggestion FROM p, e GROUP BY 1, 2""",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, html, language, models, text
+from ..functions import patterns as P
 from ..operators import chunking, keywords, pages
 from ..plans import answer as answering
 from ..plans.retrieval import fit_passages
@@ -233,6 +234,16 @@ u AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS BIG
 SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE trim(CASE WHEN regexp_matches(h, '^.{41,} [^ ]*$') THEN regexp_extract(h, '^(.{41,}) [^ ]*$', 1) ELSE h END) || '…' END AS excerpt FROM h""",
     "embeddable_text": """WITH t AS (SELECT doc_id, '[' || source || CASE WHEN doc_id % 2 = 0 THEN ' | clause ' || lang ELSE '' END || ' | page ' || n_chars || ']' || chr(10) || coalesce(text, '') AS t FROM documents)
 SELECT doc_id, sha256(t) AS sha256, CAST(ceil(length(t) / 2.2::DOUBLE) AS BIGINT) AS tokens FROM t""",
+    "tidy_titles": """WITH t AS (SELECT o_orderkey, o_custkey, 'Code for ' || o_orderpriority AS base FROM orders), u AS (SELECT *, base || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE ' and the' END AS title FROM t)
+SELECT o_orderkey, title, CASE WHEN o_custkey % 3 = 0 THEN base ELSE title END AS cut FROM u""",
+    "substantive_answer": rf"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ev FROM conversations),
+a AS (SELECT conv_id, turn, regexp_replace(left(coalesce(text, ''), 20), '^\s+|\s+$', '', 'g') AS t, coalesce(ev, '') AS ev FROM c WHERE role = 'assistant')
+SELECT conv_id, turn, t <> '' AND ev <> '' AND (len(list_filter(regexp_extract_all(t, '\d+(?:\.\d+)?'), lambda d: contains(ev, d))) > 0
+ OR len(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains([{", ".join(f"'{w}'" for w in P.SUBSTANCE_STOPWORDS)}], w) AND contains(lower(ev), w))) > 0) AS substantive FROM a""",
+    "rendered_body": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'assistant'),
+e AS (SELECT conv_id, turn, replace(replace(replace(replace(replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS t FROM t),
+p AS (SELECT conv_id, turn, list_transform(string_split_regex(t, '\n{2,}'), lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS ps FROM e)
+SELECT conv_id, turn, array_to_string(list_transform(ps, lambda p: CASE WHEN len(p) = 0 THEN '' ELSE '<p>' || array_to_string(p, '<br>') || '</p>' END), '') AS body FROM p""",
     "error_classes": """SELECT event_id, event_id % 5 = 1 AS is_daily_cap, event_id % 5 = 2 AS is_out_of_credit, event_id % 5 = 0 AS is_transient_limit, CASE WHEN event_id % 5 = 4 THEN 20 END AS stated_limit,
  CASE WHEN event_id % 5 = 3 THEN 3000 END AS input_tokens, CASE WHEN event_id % 5 = 3 THEN 2048 END AS input_max, event_id % 5 IN (0, 1, 2) AS fallback_worthy FROM events""",
 }
