@@ -73,6 +73,36 @@ class PieceEncoder:
         self.odd = re.compile("|".join([f"[\\u{LIMIT:04x}-\\U0010ffff]", *special]))
         self.memo: dict[str, bytes] = {}
         self.max_memo = max_memo
+        names = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size())]
+        self.ends = np.array([t.endswith("</w>") for t in names]) if self.lower else None
+        self.widths = np.array([len(t) for t in names], np.int64)  # bytes, in a byte-level vocabulary
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces. Those that cannot touch are encoded in one text and cut apart again:
+        at the tokens that end words, or by the bytes that tokens stand for."""
+        single = pieces
+        if self.pattern is not None:
+            joint = pieces if self.lower else [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+            single = [] if self.lower else [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+            for at in range(0, len(joint), 2048):
+                some = joint[at : at + 2048]
+                raw = self._whole([(" " if self.lower else "").join(some)])[0]
+                ids = np.frombuffer(raw, self.dtype)
+                if self.lower:
+                    cuts = np.flatnonzero(self.ends[ids]) + 1
+                    good = len(cuts) == len(some)
+                else:
+                    upto = np.cumsum(self.widths[ids])
+                    want = np.cumsum([len(p.encode()) for p in some])
+                    cuts = np.searchsorted(upto, want) + 1
+                    good = len(ids) > 0 and cuts[-1] == len(ids) and bool((upto[cuts - 1] == want).all())
+                if good:
+                    edges = [0, *(cuts * self.dtype.itemsize).tolist()]
+                    self.memo.update((p, raw[a:z]) for p, a, z in zip(some, edges, edges[1:]))
+                else:
+                    single = single + some
+        for at in range(0, len(single), 4096):
+            self.memo.update(zip(single[at : at + 4096], self._whole(single[at : at + 4096])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,9 +127,7 @@ class PieceEncoder:
                     continue
             pieces[i] = own = findall(text)
             missing.update(set(own).difference(memo))
-        todo = list(missing)
-        for at in range(0, len(todo), 4096):
-            memo.update(zip(todo[at : at + 4096], self._whole(todo[at : at + 4096])))
+        self._learn(list(missing))
         for i, own in pieces.items():
             out[i] = b"".join(map(memo.__getitem__, own))
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
