@@ -61,6 +61,10 @@ def corpus_stats(spark, d):
     return store.corpus_stats(documents(spark, d))
 
 
+def health(spark, d):
+    return store.health(documents(spark, d))
+
+
 def load_verify(spark, d):
     docs = documents(spark, d)
     n = docs.agg(F.count("*"), F.sum("chunk_count")).first()
@@ -196,6 +200,8 @@ s AS (SELECT source AS doc_id, count(DISTINCT doc_id) AS n FROM documents JOIN l
 SELECT w.doc_id, chunk_count, coalesce(n, 0) AS embedded_count, coalesce(n, 0) >= chunk_count AS promoted, CASE WHEN coalesce(n, 0) >= chunk_count THEN 'ready' ELSE 'pending' END AS status FROM w LEFT JOIN s ON w.doc_id = s.doc_id""",
     "orphans": "SELECT vec_id AS doc_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)",
     "corpus_stats": f"WITH {DOCS} SELECT count(*) FILTER (status = 'ready') AS doc_count, CAST(coalesce(sum(chunk_count) FILTER (status = 'ready'), 0) AS BIGINT) AS chunk_count, count(*) FILTER (status = 'pending') AS pending_count FROM docs",
+    "health": f"""WITH {DOCS} SELECT count(*) FILTER (status = 'ready') AS doc_count, CAST(coalesce(sum(chunk_count) FILTER (status = 'ready'), 0) AS BIGINT) AS chunk_count, count(*) FILTER (status = 'pending') AS pending_count,
+ count(*) FILTER (is_scanned) AS scanned, CASE WHEN coalesce(sum(chunk_count) FILTER (status = 'ready'), 0) > 0 THEN 'ok' ELSE 'degraded' END AS status FROM docs""",
     "load_verify": f"""WITH {DOCS} SELECT count(*) AS docs, CAST(sum(chunk_count) AS BIGINT) AS promised, count(*) FILTER (status <> 'ready') AS not_ready, (SELECT count(*) FROM embeddings) AS chunks,
  (SELECT count(*) FROM embeddings) = sum(chunk_count) AND count(*) FILTER (status <> 'ready') = 0 AS ok FROM docs""",
     "citable": f"WITH {DOCS} SELECT doc_id, doc_title, source_file, page_count FROM docs WHERE NOT is_scanned",
@@ -232,7 +238,7 @@ SELECT doc_id, x.source_file, CASE WHEN x.source_file IS NULL OR actual IS NULL
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_keep_lowest, upsert_merge, replace_documents, resume_antijoin, begin_documents, finalize_guard, orphans, corpus_stats, load_verify,
+        dedupe_keep_lowest, upsert_merge, replace_documents, resume_antijoin, begin_documents, finalize_guard, orphans, corpus_stats, health, load_verify,
         citable, document_titles_ready, backfill_embedded, delete_documents, topics_round_robin, clause_sort, topic_rotate, labels_and_sizes,
         calibrate_distributions, calibrate_verdict, calibrate_gap, probe_scores, manifest_counts, content_digest, pdf_report, event_windows,
         snapshot_roundtrip, stream_ingest,

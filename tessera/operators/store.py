@@ -81,6 +81,13 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
     )
 
 
+def health(documents: DataFrame) -> DataFrame:
+    """One row: status (ok, or degraded without a ready chunk), ready and pending documents,
+    chunks, scanned documents (which cannot be cited)."""
+    counts = corpus_stats(documents).crossJoin(documents.agg(F.count_if("is_scanned").alias("scanned")))  # one row each
+    return counts.withColumn("status", F.when(F.col("chunk_count") > 0, "ok").otherwise("degraded"))
+
+
 def verify_load(documents: DataFrame, chunks: DataFrame, expected_docs: int, expected_chunks: int) -> DataFrame:
     """One row: docs, chunks, not_ready, promised (sum of chunk counts) and ok."""
     d = documents.agg(F.count("*").alias("docs"), F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("promised"), F.count_if(F.col("status") != "ready").alias("not_ready"))
