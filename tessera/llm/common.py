@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: Rows per Arrow batch where rows carry whole texts; bounds a Python worker's memory.
+#: Rows and bytes of an Arrow batch where rows carry whole texts or shards of them; they bound
+#: what a Python worker, and the JVM's buffers beside it, hold at once.
 TEXT_ROWS_PER_BATCH = 512
+TEXT_BYTES_PER_BATCH = 4 << 20
+BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,8 @@ def text_batches(spark: SparkSession) -> None:
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    if spark.conf.get(BYTES_SETTING, None) is None:
+        spark.conf.set(BYTES_SETTING, str(TEXT_BYTES_PER_BATCH))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

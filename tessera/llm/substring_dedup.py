@@ -6,7 +6,8 @@
    prefix shrinks by at most one from a position to the next, so only the head of a chain is
    compared. Strings of ``length`` bytes that also start in an earlier document of the shard
    are settled here and never leave it.
-2. Every other window of ``length`` bytes picks the smallest k-gram hash in it as its anchor:
+2. Whole copies of a document are found by digest, each told once by a shard, and take no
+   further part. Every other window of ``length`` bytes picks the smallest k-gram hash in it as its anchor:
    equal windows have equal anchors, wherever they are. Shards exchange the set of their
    anchors, packed; anchors of one shard alone are dropped.
 3. For shared anchors the shards send the bytes around them. Equal stretches meet in one task
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise, record_batch
 
-GRAM = 16
+GRAM = 24
 NO_ID = 2**63 - 1  # a null id comes after every other
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 18  # near the processor's caches, and no row that the JVM calls humongous
 
 
 def eight(data: np.ndarray, n: int) -> np.ndarray:
@@ -55,7 +57,7 @@ def suffix_array(k8: np.ndarray, depth: int, known: int) -> tuple[np.ndarray, np
     ordered = k8[order]
     head[1:n] = ordered[1:] != ordered[:-1]
     del ordered
-    rank = np.zeros(n + 1, np.int64)  # 1 + place of the group's first; 0 beyond the end
+    rank = np.zeros(n + 1, np.uint32)  # 1 + place of the group's first; 0 beyond the end
     rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0)) + 1
     h, heads = 8, head
     while h < depth:
@@ -65,7 +67,7 @@ def suffix_array(k8: np.ndarray, depth: int, known: int) -> tuple[np.ndarray, np
         if not len(at):
             break
         suffix = order[at]
-        key = (rank[suffix] << 32) | rank[np.minimum(suffix + h, n)]
+        key = (rank[suffix].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(suffix + h, n)]
         by = np.argsort(key, kind="quicksort")
         suffix, key = suffix[by], key[by]
         order[at] = suffix
@@ -162,8 +164,10 @@ def anchors(k8: np.ndarray, ask: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def gram_hash(k8: np.ndarray, at: np.ndarray) -> np.ndarray:
-    second = k8[np.minimum(at + 8, len(k8) - 1)]
-    return mixed(k8[at], second)
+    h, last = k8[at], len(k8) - 1
+    for step in range(8, GRAM, 8):
+        h = mixed(h, k8[np.minimum(at + step, last)])
+    return h
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,11 +179,13 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pack_runs(p: np.ndarray, a: np.ndarray, z: np.ndarray) -> bytes:
-    return np.concatenate([p, p - a, z - a]).astype("<u4").tobytes()
+    return p.astype("<u4").tobytes() + np.concatenate([p - a, z - a]).astype("<u2").tobytes()
 
 
 def unpack_runs(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p, back, more = np.frombuffer(buf, "<u4").astype(np.int64).reshape(3, -1)
+    n = len(buf) // 8
+    p = np.frombuffer(buf, "<u4", n).astype(np.int64)
+    back, more = np.frombuffer(buf, "<u2", 2 * n, 4 * n).astype(np.int64).reshape(2, -1)
     return p, p - back, p - back + more
 
 
@@ -192,12 +198,12 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """One row of the shard table."""
 
-    FIELDS = "shard long, ids binary, ends binary, data binary, bad binary, runs binary"
-    SCHEMA = pa.schema([("shard", pa.int64()), *[(x, pa.binary()) for x in ("ids", "ends", "data", "bad", "runs")]])
+    FIELDS = "shard long, ids binary, ends binary, data binary, bad binary, runs binary, digests binary"
+    SCHEMA = pa.schema([("shard", pa.int64()), *[(x, pa.binary()) for x in ("ids", "ends", "data", "bad", "runs", "digests")]])
 
     @staticmethod
     def build(number: int, ids: list, texts: list[bytes], length: int) -> list:
-        """The row of a shard; documents that equal an earlier one are left to their chain."""
+        """The row of a shard."""
         own = np.array([NO_ID if i is None else i for i in ids], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
@@ -207,7 +213,22 @@ class Shard:
         bad = local_repeats(k8, doc, whole, own, length) if n else np.zeros(0, bool)
         p, a, z = anchors(k8, whole & ~bad, length) if n else (np.zeros(0, np.int64),) * 3
         b, e = spans(bad)
-        return [number, own.tobytes(), ends.tobytes(), data.tobytes(), np.concatenate([b, e]).astype("<u4").tobytes(), pack_runs(p, a, z)]
+        return [number, own.tobytes(), ends.tobytes(), data.tobytes(), np.concatenate([b, e]).astype("<u4").tobytes(), pack_runs(p, a, z), b"".join(map(xxhash.xxh3_128_digest, texts))]
+
+    @staticmethod
+    def open_runs(ends: bytes, runs: bytes, digests: bytes, twins: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs outside documents that equal a smaller one elsewhere."""
+        p, a, z = unpack_runs(runs)
+        if twins:
+            own = ~Shard.copies(digests, twins)[np.searchsorted(np.frombuffer(ends, np.int64), a, side="right")]
+            p, a, z = p[own], a[own], z[own]
+        return p, a, z
+
+    @staticmethod
+    def copies(digests: bytes, twins: list | None) -> np.ndarray:
+        """Which documents equal one with a smaller id in another shard."""
+        gone = set(map(bytes, twins or []))
+        return np.array([digests[i : i + 16] in gone for i in range(0, len(digests), 16)], bool)
 
 
 def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int) -> str:
@@ -233,6 +254,28 @@ def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int) ->
     return name
 
 
+def whole_copies(shards: DataFrame, length: int) -> DataFrame:
+    """shard, twins: digests of its documents that equal one with a smaller id elsewhere. A
+    shard tells each digest once, with its smallest id, however many copies it holds."""
+    schema = pa.schema([("shard", pa.int64()), ("digest", pa.binary()), ("id", pa.int64())])
+
+    def tell(batches):
+        for batch in batches:
+            for shard, ids, ends, digests in zip(*(batch.column(n).to_pylist() for n in ("shard", "ids", "ends", "digests"))):
+                size = np.diff(np.frombuffer(ends, np.int64), prepend=0)
+                least: dict[bytes, int] = {}
+                for k, (i, n) in enumerate(zip(np.frombuffer(ids, np.int64).tolist(), size.tolist())):
+                    if n >= length:
+                        d = digests[16 * k : 16 * k + 16]
+                        least[d] = min(i, least.get(d, i))
+                if least:
+                    yield record_batch(schema, [[shard] * len(least), list(least), list(least.values())])
+
+    said = materialise(shards.select("shard", "ids", "ends", "digests").mapInArrow(tell, "shard long, digest binary, id long"), "digests")
+    first = said.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return materialise(said.join(first, "digest").where("id > least").groupBy("shard").agg(F.collect_list("digest").alias("twins")), "whole-copies")
+
+
 def dealt_rows(shard: int, key: np.ndarray, parts: int, pack) -> list:
     """(bucket, shard, payload) rows: ``key`` dealt into ``parts`` buckets by its high bits."""
     bucket = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
@@ -241,6 +284,20 @@ def dealt_rows(shard: int, key: np.ndarray, parts: int, pack) -> list:
     return [(int(bucket[order[a]]), shard, pack(order[a:z])) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
+def by_bucket(batches):
+    """(shard, payload) rows of one bucket after another; the input is sorted by bucket."""
+    rows, now = [], None
+    for batch in batches:
+        for bucket, shard, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now and rows:
+                yield rows
+                rows = []
+            now = bucket
+            rows.append((shard, payload))
+    if rows:
+        yield rows
+
+
 DEALT = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
 BACK = pa.schema([("shard", pa.int64()), ("payload", pa.binary())])
 
@@ -250,17 +307,19 @@ def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
 
     def tell(batches):
         for batch in batches:
-            for shard, data, runs in zip(*(batch.column(n).to_pylist() for n in ("shard", "data", "runs"))):
-                if runs:
+            for shard, ends, data, runs, digests, twins in zip(*(batch.column(n).to_pylist() for n in ("shard", "ends", "data", "runs", "digests", "twins"))):
+                p = Shard.open_runs(ends, runs, digests, twins)[0]
+                if len(p):
                     raw = np.frombuffer(data, np.uint8)
-                    h = np.unique(gram_hash(eight(raw, len(raw)), unpack_runs(runs)[0]))
+                    h = np.unique(gram_hash(eight(raw, len(raw)), p))
                     rows = dealt_rows(shard, h, parts, lambda at: h[at].tobytes())
                     yield record_batch(DEALT, list(zip(*rows)))
 
     def meet(batches):
-        rows = [(s, p) for b in batches for s, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        if not rows:
-            return
+        for rows in by_bucket(batches):
+            yield from meet_one(rows)
+
+    def meet_one(rows):
         h = np.frombuffer(b"".join(p for _, p in rows), "<u8")
         who = np.repeat(np.arange(len(rows)), [len(p) // 8 for _, p in rows])
         order = np.argsort(h)
@@ -273,8 +332,8 @@ def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
             if len(own):
                 yield record_batch(BACK, [[shard], [own.tobytes()]])
 
-    said = shards.select("shard", "data", "runs").mapInArrow(tell, "bucket long, shard long, payload binary")
-    return said.repartition("bucket").mapInArrow(meet, "shard long, payload binary")
+    said = shards.select("shard", "ends", "data", "runs", "digests", "twins").mapInArrow(tell, "bucket long, shard long, payload binary")
+    return said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "shard long, payload binary")
 
 
 #: What a stretch of windows with one anchor carries, before its bytes.
@@ -286,9 +345,9 @@ def answers(shards: DataFrame, shared: DataFrame, parts: int, length: int) -> Da
 
     def tell(batches):
         for batch in batches:
-            for shard, ids, ends, data, runs, asked in zip(*(batch.column(n).to_pylist() for n in ("shard", "ids", "ends", "data", "runs", "asked"))):
+            for shard, ids, ends, data, runs, digests, twins, asked in zip(*(batch.column(n).to_pylist() for n in ("shard", "ids", "ends", "data", "runs", "digests", "twins", "asked"))):
                 raw = np.frombuffer(data, np.uint8)
-                p, a, z = unpack_runs(runs)
+                p, a, z = Shard.open_runs(ends, runs, digests, twins)
                 h = gram_hash(eight(raw, len(raw)), p)
                 known = np.sort(np.frombuffer(b"".join(asked), "<u8"))
                 at = np.searchsorted(known, h)
@@ -304,19 +363,26 @@ def answers(shards: DataFrame, shared: DataFrame, parts: int, length: int) -> Da
                     own = rec[sel]
                     to = (own["start"].astype(np.int64) + own["windows"] + length - 1).tolist()
                     text = b"".join([data[x:y] for x, y in zip(own["start"].tolist(), to)])
-                    return len(own).to_bytes(8, "little") + own.tobytes() + text
+                    # field by field, ids and places compress well
+                    return zlib.compress(len(own).to_bytes(8, "little") + b"".join([own[f].tobytes() for f in STRETCH.names]) + text, 1)
 
                 yield record_batch(DEALT, list(zip(*dealt_rows(shard, rec["anchor"], parts, pack))))
 
     def meet(batches):
-        rows = [(s, p) for b in batches for s, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        if not rows:
-            return
+        for rows in by_bucket(batches):
+            yield from meet_one(rows)
+
+    def meet_one(rows):
         recs, texts = [], []
         for _, p in rows:
-            n = int.from_bytes(p[:8], "little")
-            recs.append(np.frombuffer(p, STRETCH, n, 8))
-            texts.append(p[8 + n * STRETCH.itemsize :])
+            p = zlib.decompress(p)
+            n, at = int.from_bytes(p[:8], "little"), 8
+            rec = np.zeros(n, STRETCH)
+            for f in STRETCH.names:
+                rec[f] = np.frombuffer(p, STRETCH[f], n, at)
+                at += n * STRETCH[f].itemsize
+            recs.append(rec)
+            texts.append(p[at:])
         who = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
         rec, text = np.concatenate(recs), b"".join(texts)
         del recs, texts
@@ -373,8 +439,8 @@ def answers(shards: DataFrame, shared: DataFrame, parts: int, length: int) -> Da
                 yield record_batch(BACK, [[rows[k][0]], [np.array(found, "<u4").tobytes()]])
 
     per_shard = shared.groupBy("shard").agg(F.collect_list("payload").alias("asked"))
-    said = shards.join(per_shard, "shard").select("shard", "ids", "ends", "data", "runs", "asked").mapInArrow(tell, "bucket long, shard long, payload binary")
-    return said.repartition("bucket").mapInArrow(meet, "shard long, payload binary")
+    said = shards.join(per_shard, "shard").select("shard", "ids", "ends", "data", "runs", "digests", "twins", "asked").mapInArrow(tell, "bucket long, shard long, payload binary")
+    return said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "shard long, payload binary")
 
 
 def window_keys(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -393,7 +459,7 @@ REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def report(shards: DataFrame, found: DataFrame, length: int, with_values: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for ids, ends, data, bad, more in zip(*(batch.column(n).to_pylist() for n in ("ids", "ends", "data", "bad", "more"))):
+            for ids, ends, data, bad, digests, twins, more in zip(*(batch.column(n).to_pylist() for n in ("ids", "ends", "data", "bad", "digests", "twins", "more"))):
                 n = len(data)
                 cover = np.zeros(n + 1, np.int64)
                 b, e = np.frombuffer(bad, "<u4").astype(np.int64).reshape(2, -1)
@@ -405,8 +471,9 @@ def report(shards: DataFrame, found: DataFrame, length: int, with_values: bool)
                 np.add.at(cover, e + length - 1, -1)
                 gone = np.cumsum(cover[:n]) > 0
                 raw, rows, at = np.frombuffer(data, np.uint8), [], 0
-                for doc, end in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist()):
-                    own = gone[at:end]
+                copies = Shard.copies(digests, twins).tolist()
+                for doc, end, copy in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist(), copies):
+                    own = gone[at:end] | copy
                     kept = raw[at:end][~own].tobytes()
                     s, z = spans(own)
                     rows.append((None if doc == NO_ID else doc, end - at, end - at - len(kept), len(s), hashlib.sha256(kept).hexdigest(), np.stack([s, z], 1).ravel().tolist() if with_values else None, kept if with_values else None))
@@ -414,7 +481,7 @@ def report(shards: DataFrame, found: DataFrame, length: int, with_values: bool)
                 yield record_batch(REPORT, list(zip(*rows)))
 
     per_shard = found.groupBy("shard").agg(F.collect_list("payload").alias("more"))
-    joined = shards.join(per_shard, "shard", "left").select("ids", "ends", "data", "bad", "more")
+    joined = shards.join(per_shard, "shard", "left").select("ids", "ends", "data", "bad", "digests", "twins", "more")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
 
 
@@ -425,23 +492,21 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     smaller id. A null or empty text has no bytes; a null id counts as larger than any other,
     and rows that share an id (or have none) do not remove from each other; an empty table
     gives no rows; other columns are ignored. ``with_values`` adds spans (start, end, ... of
-    the removed runs) and kept (the remaining bytes). ``length`` is at least 24.
+    the removed runs) and kept (the remaining bytes). ``length`` is at least 32.
     """
     if length < GRAM + 8:
-        raise ValueError("strings shorter than 24 bytes are not supported")
+        raise ValueError("strings shorter than 32 bytes are not supported")
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // (8 << 20)))
     table = make_shards(docs, length, shard_bytes, int(max(4, -(-total // (16 << 20)))))
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a shard
         shards = spark.table(table)
+        shards = shards.join(whole_copies(shards, length), "shard", "left")
         shared = materialise(shared_anchors(shards, parts), "shared-anchors")
         found = materialise(answers(shards, shared, parts, length), "answers")
         out = materialise(report(shards, found, length, with_values), "repeats")
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     return out if with_values else out.drop("spans", "kept")
