@@ -115,7 +115,8 @@ def fences(rows: DataFrame, spread: float, least_rows: int, sketch_k: int) -> Da
 
 def judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: bool, spread: float, least_rows: int, sketch_k: int) -> DataFrame:
     rows = materialise(measured(df, id_col, text_col, lang_col, source_col, carry), "measures")
-    limits = fences(rows, spread, least_rows, sketch_k)
+    # written first: a table of known, small size is joined without moving the documents
+    limits = materialise(fences(rows, spread, least_rows, sketch_k), "fences")
     met = rows.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
     for f in FENCES:
