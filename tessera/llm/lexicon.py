@@ -17,21 +17,17 @@ import os
 import re
 import struct
 import tempfile
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, record_batch, text_batches
 from .tokens import LIMIT, word_pattern
 
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -60,7 +56,11 @@ class MergeTable:
         self.first = [vocab.get(s) for s in symbols]
         self.last = [vocab.get(s + self.end) for s in symbols]
         self.latin = word_pattern()
-        self.any = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = lib.normalizer, lib.pre_tokenizer
+        self.bytes_of = {s: b for b, s in enumerate(symbols)}
         self.beyond = re.compile(f"[\\u{LIMIT:04x}-\\U0010ffff]")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -89,13 +89,13 @@ class MergeTable:
         return ids
 
     def words(self, text: str) -> list[str]:
-        """Words of a text without special strings: NFC, each character lower-cased, split."""
-        if self.beyond.search(text):
-            text = unicodedata.normalize("NFC", text)
-            text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        else:
-            text = text.lower()
-        return (self.any if self.beyond.search(text) else self.latin).findall(text)
+        """Words of a text without special strings. Latin text is lower-cased and split here; for
+        other scripts, whose character classes differ between Unicode versions, the tokenizer's
+        own normaliser and splitter are asked."""
+        if not self.beyond.search(text) and not self.beyond.search(lower := text.lower()):
+            return self.latin.findall(lower)
+        split = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes_of.__getitem__, piece)).decode() for piece, _ in split]
 
     def pieces(self, text: str) -> list[str]:
         """Words and special strings in order; a special string stays as it is."""
@@ -211,7 +211,8 @@ def mapped(data: bytes) -> Lexicon:
 
 
 def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str = "text", flush_at: int = 500_000) -> list[str]:
-    """The ``max_words`` most frequent words over all texts (ties by byte order)."""
+    """The most frequent words over all texts, at most ``max_words``: every word above the least
+    count that still fits, so that only they reach the driver and no task sends more."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def count(batches):
@@ -229,7 +230,16 @@ def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str
     text_batches(df.sparkSession)
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    total.persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is counted again
+    room, least = max_words, None
+    for r in total.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(max_words).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    words = [] if least is None else [r["word"] for r in total.where(F.col("n") >= least).select("word").collect()]
+    total.unpersist()
+    return words
 
 
 def build_lexicon(df: DataFrame, tokenizer: str, max_words: int = 50_000, text_col: str = "text") -> bytes:
@@ -241,29 +251,32 @@ def build_lexicon(df: DataFrame, tokenizer: str, max_words: int = 50_000, text_c
 class WordCoder:
     """Lexicon first, merges for the rest; remembers up to ``max_memo`` words per worker."""
 
-    def __init__(self, table: MergeTable, lexicon: Lexicon, max_memo: int = 400_000):
+    def __init__(self, table: MergeTable, lexicon: Lexicon, max_memo: int = 800_000):
         self.table, self.lexicon, self.max_memo = table, lexicon, max_memo
         self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        self.strings = [table.strings.get(i, "") for i in range(max(table.strings) + 1)]
 
-    def _learn(self, word: str) -> None:
+    def _learn(self, word: str) -> bytes:
         if word in self.table.special:
             ids = [self.table.special[word]]
         else:
             hit = self.lexicon.get(word)
             ids = self.table.merge(word) if hit is None else hit.tolist()
-        self.ids[word] = np.array(ids, "<u4").tobytes()
-        self.texts[word] = " ".join(map(self.table.strings.__getitem__, ids))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def code(self, text: str) -> tuple[bytes, str]:
-        """ids as little-endian unsigned 32-bit, and the decoded text."""
+        """ids as little-endian unsigned 32-bit, and the text decoded from them."""
         words = self.table.pieces(text)
-        if len(self.ids) > self.max_memo:
-            self.ids.clear()
-            self.texts.clear()
-        for w in set(words).difference(self.ids):
-            self._learn(w)
-        return b"".join(map(self.ids.__getitem__, words)), " ".join(filter(None, map(self.texts.__getitem__, words)))
+        known = self.ids
+        if len(known) > self.max_memo:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self._learn(w)
+        ids = b"".join(map(known.__getitem__, words))
+        return ids, self.decode(ids)
 
 
 @lru_cache(maxsize=2)
