@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_identifier
 from ..operators import fusion, keywords, store, vectors
 from ..plans import retrieval
+from ..session import materialise
 from .carriers import BANDS, SQL_DOCUMENTS, TOK, chunks, documents, queries, table, term_queries, top_sql
 from .carriers import vectors as vector_rows
 
@@ -51,7 +52,8 @@ def vector_literal(spark, d):
 
 
 def _index(spark, d):
-    return keywords.postings(table(spark, d, "documents"), "doc_id")
+    """Postings as a stored table, which the two joins of a match read."""
+    return materialise(keywords.postings(table(spark, d, "documents"), "doc_id"), "postings")
 
 
 def keyword_match(spark, d):
@@ -85,7 +87,7 @@ def keyword_cover_density(spark, d):
 def _hybrid(spark, d):
     c = chunks(spark, d)
     q = queries(c.select("id", "embedding")).join(term_queries(spark, d, 1), "query_id")
-    index = keywords.postings(c.select("id", "content"), "id", "content")
+    index = materialise(keywords.postings(c.select("id", "content"), "id", "content"), "postings")
     return c, retrieval.retrieve_hybrid(c, q, index, replace(BANDS, bridge_floor=-1.0), exclude_self=True)
 
 
