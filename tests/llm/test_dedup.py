@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import exact_dedup, simhash, substring_dedup
+from tessera.llm import exact_dedup, near_copies, simhash, substring_dedup
 
 from .messy import documents, seen
 
@@ -175,6 +175,36 @@ def test_simhash_of_messy_documents(spark):
     assert 1 in kept and 9 not in kept and kept.count(None) == 2  # empty texts are one component
 
 
+def test_near_stage_drops_all_similar_copies(spark):
+    """Against brute force over five-word Jaccard similarity, with links only across star members."""
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(25):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([3, 60, 150, 400]))]
+        for c in range(8):  # a chain: each changes the one before, so far ends are less similar
+            rows.append((i * 10 + c, " ".join(words)))
+            for _ in range(max(1, len(words) // 70)):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(5000)}"
+    rows += [(900, None), (901, ""), (902, " \n"), (None, rows[9][1])]
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    least = {c: min(i for (i, _), x in zip(rows, label) if x == c and i is not None) for c in set(label)}
+    want = sorted((i for (i, _), c in zip(rows, label) if i is None or i == least[c]), key=repr)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()), key=repr)
+    assert got == want and 25 < len(want) < 150
+    assert near_copies.drop_near_copies(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("distance", [2, 4])
 def test_chains_lose_no_link(distance):
     rnd = np.random.default_rng(distance)
