@@ -78,6 +78,20 @@ def test_pruned_top_k_recall(spark, corpus):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_pruned_query_recall(spark, sf):
+    import os
+
+    from tessera.catalogue.retrieval import ann_pruned_topk, vector_topk
+
+    if not os.path.isdir(data := f"/root/testdata/{sf}"):
+        pytest.skip("no test data")
+    exact, found = ({(r["query_id"], r["id"]) for r in q(spark, data).collect()} for q in (vector_topk, ann_pruned_topk))
+    other = {(q, i) for q, i in exact if q != i}  # the query itself is a free hit
+    print(sf, len(exact & found) / len(exact), len(other & found) / len(other))
+    assert len(exact & found) / len(exact) >= 0.9 and len(other & found) / len(other) >= 0.9
+
+
 def test_width_is_checked(spark, corpus):
     df, _ = corpus
     assert vectors.with_width(df, "embedding", 16).count() == 300
