@@ -19,11 +19,11 @@ def lower(text):
     return (text or "").translate(str.maketrans(UP, LOW))
 
 
-@pytest.mark.parametrize("keep", ["min", "max"])
-def test_exact_groups(spark, keep):
+@pytest.mark.parametrize(("keep", "least"), [("min", 1), ("max", 1), ("max", 2000)])
+def test_exact_groups(spark, keep, least):
     df = documents(spark)
     rows = [(r["doc_id"], lower(r["text"])) for r in df.collect()]
-    got = exact_dedup.exact_groups(df, keep=keep, salts=4).collect()
+    got = exact_dedup.exact_groups(df, keep=keep, least=least).collect()
     groups = {}
     for i, t in rows:
         groups.setdefault(t, []).append(i)
@@ -45,10 +45,31 @@ def test_drop_exact_copies_keeps_columns(spark):
 
 
 def test_hot_group_is_split_and_merged(spark):
-    df = spark.createDataFrame([(i, "The same text") for i in range(500)] + [(i, f"text {i}") for i in range(500, 800)], "doc_id long, text string")
-    got = exact_dedup.exact_groups(df, salts=16)
-    assert {tuple(r) for r in got.where("doc_id < 500").select("keep_id", "group_size").distinct().collect()} == {(0, 500)}
-    assert got.where("kept").count() == 301
+    from pyspark.sql import functions as F
+
+    rows = [(i % 400 if i % 7 else None, "The same text", i) for i in range(500)] + [(i, f"text {i}", i) for i in range(500, 800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(5)
+    runs = exact_dedup.sorted_runs(df, F.struct("at"), exact_dedup.normalised(F.lit("The same text")), "doc_id", "text", "min", 20).where("hot").select(*exact_dedup.RUN).distinct()
+    assert 20 <= runs.count() <= 30
+    got = exact_dedup.exact_groups(df, least=20)
+    assert {tuple(r) for r in got.where("group_size > 1").select("keep_id", "group_size").distinct().collect()} == {(0, 500)}
+    assert got.where("kept").count() == 301 and got.count() == 800
+    out = exact_dedup.drop_exact_copies(df, least=20)
+    assert out.count() == 301 and out.where("text = 'The same text'").first()["doc_id"] == 0
+
+
+def test_neighbours_decide_and_not_the_hash(spark, monkeypatch):
+    """Different texts under one splitter key (the hash is stubbed) stay apart, also hot ones."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "HEAD_CHARS", 0)
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    rows = [(i, f"Text {i % 60}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for least in (50, 5000):
+        got = exact_dedup.exact_groups(df, least=least)
+        assert seen(got.select("doc_id", "keep_id", "group_size", "kept")) == sorted(((i, i % 60, 10, i < 60) for i, _ in rows), key=repr)
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(df, least=least).collect()) == list(range(60))
 
 
 def brute_repeats(rows, length=50):
