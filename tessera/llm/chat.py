@@ -34,9 +34,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    """A doubled backslash hides behind a control character while the line feed returns."""
-    hidden = F.replace(F.replace(role, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """Doubled backslashes are met from left to right; single ones between them are escapes."""
+    single = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|"))
+    return F.array_join(F.transform(F.split(role, r"\\\\", -1), single), "\\")
 
 
 def messages_as_events(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -54,7 +54,8 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Events of one sequence number are taken in turn, kind, text order. Null kind: message;
     null role or text: empty; null conversation: one conversation; an unknown kind counts as
-    message. A delta without a message before it starts one.
+    message. A delta without a message before it starts one. An event that is logged twice
+    counts twice; an empty log gives no messages; other columns are ignored.
     """
     log = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("seq"), F.col("turn"), F.col("kind"), F.col("text")]
@@ -72,7 +73,12 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
-    """conv_id, formatted, n_turns, loss (start and length in code points of learnt texts)."""
+    """conv_id, formatted, n_turns, loss (start and length in code points of learnt texts).
+
+    Null conversations are one conversation; messages that share a turn stay, in role and text
+    order; other columns are ignored; an empty table gives no rows. A conversation is one row
+    of the result, so its texts must fit in one row together, however long each of them is.
+    """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     rows = messages.select("conv_id", "turn", (F.col("role") == learn).alias("learnt"), head.alias("head"), escape(F.col("text")).alias("body"))
     rows = rows.withColumn("block", F.concat("head", "body", F.lit(f"{END}\n")))
@@ -89,7 +95,11 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
 
 
 def format_chats(events: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Fold a log, render it, write the result to the shared folder and return it."""
+    """Fold a log, render it, write the result to the shared folder and return it.
+
+    Nulls, repeated events and clashing columns are taken as ``fold_events`` says; an empty log
+    gives no rows; texts are whole, however long.
+    """
     return materialise(render(fold_events(events), learn), "chats")
 
 
@@ -108,6 +118,9 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
+    """One row per conversation, of what reads back from ``formatted``: conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. Without rows, none; other columns
+    are ignored."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return parse_chats(formatted).select(
         "conv_id",

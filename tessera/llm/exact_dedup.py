@@ -18,10 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import MOST_HOT, ascii_lower, materialise
 
 HEAD_CHARS = 48
-MOST_HOT = 1 << 16
 RUN = ["head", "hash", "salt", "run"]
 
 

@@ -4,32 +4,51 @@ Candidates are found by patterns and validated (Luhn digit, octet range, calenda
 plan). A validated value is read as a pair of numbers (x, y) below (A, B) that counts the
 values of its format, permuted by a keyed alternating Feistel network on that very domain, and
 written back in its own format: separators, length, validity and, where there is one, the
-check digit are kept. The network is a bijection, so equal values stay linked across documents
-and different ones stay apart. E-mail local parts and quoted secrets have no number format;
-they become keyed digests of the same shape.
+check digit are kept. The network is a bijection and each set of values is permuted within
+itself, so equal values stay linked across documents and different ones stay apart. E-mail
+addresses and quoted secrets have no number format; they become keyed digests.
+
+One regular expression reads a text once: it marks each match with noncharacters (those of the
+text itself are escaped before), and a split at the marks gives gaps and matches in turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 
-#: Kind -> Java pattern, in order of precedence at one position.
+LOCAL = r"A-Za-z0-9._%+\-"
+OCTET = r"(?:0|[1-9]\d{0,2})"
+#: Kind -> Java pattern, in order of precedence at one position. No length is bounded, and what
+#: repeats is a class of characters, so that a long run is read once and without recursion.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<=[=:][ ]{0,3}[\"'])[0-9A-Za-z_\-]{20,200}(?=[\"'])",
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{{2,}}",
+    "secret": r"(?<=[\"'])(?<=[=:][ ]{0,3}[\"'])[0-9A-Za-z_\-]{20,}+(?=[\"'])",
     "iso_date": r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])",
     "slash_date": r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
-    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+1[ .\-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Numbers begin with a digit, a plus or a bracket; only there their patterns are tried.
+ANY = "({email})|({secret})|(?=[0-9+(])(?:({iso_date})|({slash_date})|({ip})|({ssn})|({phone})|({card}))".format(**PATTERNS)
 KINDS = ("email", "secret", "date", "ip", "ssn", "phone", "card")
 
+#: Noncharacters: the escape, what follows it for itself, at a match's ends, between its slots.
+MARK, SELF, OPEN, CLOSE, SLOT = "﷐", "﷑", "﷒", "﷓", "﷔"
+
+
+#: For the registered queries and tests alone, where no key is set.
+TEST_KEY = "not a secret"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key set as ``spark.tessera.pii.key``."""
+    return spark.conf.get("spark.tessera.pii.key", TEST_KEY)
+
 
 def let(value: Column, body) -> Column:
     """Bind a value once inside an expression."""
@@ -99,19 +118,25 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """Ten digits, area and exchange beginning with 2-9; a country code stays."""
+    """Ten digits. Numbers of the plan (area and exchange begin with 2-9) are permuted among
+    themselves, and so are the others; a country code stays."""
+    split = 60_000  # 200 areas of 10**7 numbers and 800 of 2 * 10**6 make 60,000 ** 2 others
 
-    def change(d: Column) -> Column:
+    def planned(d: Column) -> Column:
         s = feistel(key, "phone", number(F.substring(d, 1, 3)) - 200, number(F.substring(d, 4, 7)) - 2_000_000, F.lit(800), F.lit(8_000_000))
         return let(s, lambda p: F.concat(padded(p["x"] + 200, 3), padded(p["y"] + 2_000_000, 7)))
 
+    def other(d: Column) -> Column:
+        area, rest = number(F.substring(d, 1, 3)), number(F.substring(d, 4, 7))
+        place = F.when(area < 200, area * 10_000_000 + rest).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + rest)
+        s = feistel(key, "other phone", F.floor(place / split), F.pmod(place, F.lit(split)), F.lit(split), F.lit(split))
+        new = let(s, lambda p: p["x"] * split + p["y"])
+        return let(new, lambda v: padded(F.when(v < 2_000_000_000, v).otherwise(2_000_000_000 + F.floor((v - 2_000_000_000) / 2_000_000) * 10_000_000 + (v - 2_000_000_000) % 2_000_000), 10))
+
     ten = lambda d: F.substring(d, -10, 10)
-    # permuted as numbers of the plan only where the number is one
-    valid = lambda d: ten(d).rlike("^[2-9][0-9]{2}[2-9]")
-    loose = lambda d: let(feistel(key, "digits", number(F.substring(d, 1, 5)), number(F.substring(d, 6, 5)), F.lit(100_000), F.lit(100_000)), lambda p: F.concat(padded(p["x"], 5), padded(p["y"], 5)))
     return let(
         digits_of(m),
-        lambda d: refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), F.when(valid(d), change(ten(d))).otherwise(loose(ten(d))))),
+        lambda d: refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), F.when(ten(d).rlike("^[2-9][0-9]{2}[2-9]"), planned(ten(d))).otherwise(other(ten(d))))),
     )
 
 
@@ -143,71 +168,95 @@ def ssn(key: str, m: Column) -> Column:
 CYCLE_START, CYCLE_A, CYCLE_B = "1800-01-01", 27, 5_411
 
 
-def date(key: str, m: Column, java_format: str) -> Column:
-    """A date of the years 1800-2199 becomes another; impossible or other dates stay."""
-    day = F.try_to_timestamp(m, F.lit(java_format)).cast("date")
+def date(key: str, m: Column, java_format: str, late_days: bool = False) -> Column:
+    """A date of the years 1800-2199 becomes another; impossible or other dates stay.
+
+    ``late_days``: only days after the 12th, permuted among themselves, by walking along the
+    cycle of the permutation to the next of them (it is met after two steps in the mean)."""
+    start = F.lit(CYCLE_START).cast("date")
+    on = lambda n: F.date_add(start, n.cast("int"))
+
+    def permuted(n: Column) -> Column:
+        s = feistel(key, "late date" if late_days else "date", F.floor(n / CYCLE_B).cast("bigint"), (n % CYCLE_B).cast("bigint"), F.lit(CYCLE_A), F.lit(CYCLE_B))
+        return let(s, lambda p: p["x"] * CYCLE_B + p["y"])
 
     def change(n: Column) -> Column:
-        s = feistel(key, "date", F.floor(n / CYCLE_B).cast("bigint"), (n % CYCLE_B).cast("bigint"), F.lit(CYCLE_A), F.lit(CYCLE_B))
-        return let(s, lambda p: F.date_format(F.date_add(F.lit(CYCLE_START).cast("date"), (p["x"] * CYCLE_B + p["y"]).cast("int")), java_format))
+        if not late_days:
+            return permuted(n)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), permuted(n), lambda v, _: F.when(F.dayofmonth(on(v)) > 12, v).otherwise(permuted(v)))
+
+    day = F.datediff(F.try_to_timestamp(m, F.lit(java_format)).cast("date"), start).cast("bigint")
+    return let(day, lambda n: F.when(n.between(0, CYCLE_A * CYCLE_B - 1), F.date_format(on(change(n)), java_format)).otherwise(m))
 
-    return let(F.datediff(day, F.lit(CYCLE_START).cast("date")), lambda n: F.when(n.between(0, CYCLE_A * CYCLE_B - 1), change(n)).otherwise(m))
+
+def slash_date(key: str, m: Column) -> Column:
+    """Day before month where that is a date, else month before day. The second are the dates
+    whose day is after the 12th: a set of strings of their own, permuted within itself."""
+    first = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull()
+    return F.when(first, date(key, m, "dd/MM/yyyy")).otherwise(date(key, m, "MM/dd/yyyy", late_days=True))
 
 
 def email(key: str, m: Column) -> Column:
     """The address becomes a keyed digest at a reserved domain; case does not matter."""
-    return F.concat(F.lit("user-"), F.substring(keyed(key, F.lit("email"), F.lower(m)), 1, 16), F.lit("@example.invalid"))
+    return F.concat(F.lit("user-"), F.substring(keyed(key, F.lit("email"), F.lower(m)), 1, 24), F.lit("@example.invalid"))
 
 
 def secret(key: str, m: Column) -> Column:
     """A keyed digest of the same length."""
-    block = keyed(key, F.lit("secret"), m)
-    return F.substr(F.repeat(block, 4), F.lit(1), F.length(m))
-
-
-def classified(m: Column, key: str) -> Column:
-    """Struct (kind, value): the pseudonym of a match, kind null where it is not valid."""
-    whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
-    made = (
-        F.when(whole("email"), F.struct(F.lit("email").alias("kind"), email(key, m).alias("value")))
-        .when(whole("iso_date"), F.struct(F.lit("date").alias("kind"), date(key, m, "yyyy-MM-dd").alias("value")))
-        .when(whole("slash_date"), F.struct(F.lit("date").alias("kind"), F.when(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull(), date(key, m, "dd/MM/yyyy")).otherwise(date(key, m, "MM/dd/yyyy")).alias("value")))
-        .when(whole("ip"), F.struct(F.lit("ip").alias("kind"), ip(key, m).alias("value")))
-        .when(whole("ssn"), F.struct(F.lit("ssn").alias("kind"), ssn(key, m).alias("value")))
-        .when(whole("phone"), F.struct(F.lit("phone").alias("kind"), phone(key, m).alias("value")))
-        .when(whole("card"), F.struct(F.lit("card").alias("kind"), card(key, m).alias("value")))
-        .otherwise(F.struct(F.lit("secret").alias("kind"), secret(key, m).alias("value")))
-    )
-    return let(made, lambda x: F.struct(F.when(x["value"] != m, x["kind"]).alias("kind"), F.coalesce(x["value"], m).alias("value")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), lambda i: keyed(key, F.lit("secret"), m, i))
+    return F.substr(F.array_join(blocks, ""), F.lit(1), F.length(m))
 
 
-def pseudonymised(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``df`` (as the struct ``own``) with ``_text`` and ``_found`` (kinds replaced)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), text.alias("_raw"))
-    found = F.when(F.col("_raw").rlike(ANY), F.regexp_extract_all("_raw", F.lit(ANY), F.lit(0)))
-    src = src.withColumn("_new", F.transform(found, lambda m: classified(m, key)))
-    parts = F.split("_raw", ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, r: F.concat(p, F.coalesce(r["value"], F.lit("")))), "")
-    return src.select("own", F.when(F.col("_new").isNull(), F.col("_raw")).otherwise(joined).alias("_text"), F.coalesce(F.filter(F.transform("_new", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("_found"))
+def classified(slots: Column, key: str) -> Column:
+    """Struct (kind, value) of a match, given by the slots of its alternatives: one is filled.
+    ``kind`` is null where the match is not valid and stays as it is."""
+    makers = [email, secret, lambda k, m: date(k, m, "yyyy-MM-dd"), slash_date, ip, ssn, phone, card]
+    kinds = ["email", "secret", "date", "date", "ip", "ssn", "phone", "card"]
+    chosen = None
+    for i, (kind, make) in enumerate(zip(kinds, makers, strict=True)):
+        result = F.struct(F.lit(kind).alias("kind"), make(key, slots[i]).alias("value"), slots[i].alias("old"))
+        chosen = F.when(slots[i] != "", result) if chosen is None else chosen.when(slots[i] != "", result)
+    return let(chosen, lambda x: F.struct(F.when(x["value"] != x["old"], x["kind"]).alias("kind"), F.coalesce(x["value"], x["old"]).alias("value")))
 
 
-def pseudonymise(df: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``df`` (as the struct ``own``) with ``_text`` and ``_found`` (kinds replaced)."""
+    if not key:
+        raise ValueError("a key is needed: whoever knows it can undo the pseudonyms")
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    slots = SLOT.join(f"${i}" for i in range(1, 9))
+    safe = F.replace(raw, F.lit(MARK), F.lit(MARK + SELF))
+    marked = F.regexp_replace(safe, F.lit(ANY), F.lit(f"{MARK}{OPEN}{slots}{MARK}{CLOSE}"))
+    # every kind holds a digit but for some addresses and secrets
+    parts = F.when(raw.rlike("[0-9@=:]"), F.split(marked, f"{MARK}[{OPEN}{CLOSE}]", -1))
+    src = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("own"), raw.alias("_raw"), parts.alias("_cut"))
+    gap = lambda p: F.struct(F.lit(None).cast("string").alias("kind"), F.replace(p, F.lit(MARK + SELF), F.lit(MARK)).alias("value"))
+    pieces = F.when(F.size("_cut") > 1, F.transform("_cut", lambda p, i: F.when(i % 2 == 0, gap(p)).otherwise(let(F.split(p, SLOT, -1), lambda s: classified(s, key)))))
+    src = src.select("own", "_raw", pieces.alias("_new"))
+    joined = F.array_join(F.transform("_new", lambda r: r["value"]), "")
+    found = F.filter(F.transform("_new", lambda r: r["kind"]), lambda k: k.isNotNull())
+    return src.select("own", F.when(F.col("_new").isNull(), F.col("_raw")).otherwise(joined).alias("_text"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
+
+
+def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (with pseudonyms), n_replaced, one count per kind.
 
     A null text becomes the empty text; invalid candidates (a wrong check digit, octet or
     calendar day) stay as they are; rows that repeat an id, or have none, keep their own row;
-    an empty table gives no rows; other columns are ignored. No row is shuffled.
+    an empty table gives no rows; other columns are ignored. Whole texts are read, and no row
+    is shuffled. Whoever has ``key`` can link and undo, so there is no default.
     """
     rows = pseudonymised(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key, "text")
     count = lambda kind: F.size(F.filter("_found", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("own.doc_id", F.col("_text").alias("text"), F.size("_found").cast("long").alias("n_replaced"), *map(count, KINDS))
 
 
-def pseudonymise_column(df: DataFrame, key: str = "tessera", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``df`` with pseudonyms in ``text_col``; other columns, null texts too, as they were.
+def pseudonymise_column(df: DataFrame, key: str, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``df`` with pseudonyms in ``text_col``; other columns, and null texts, as they were.
 
-    ``length_col``, if ``df`` has it, is set to the new length of a text that changed.
+    Empty texts stay empty, rows that repeat an id or have none keep their own row, an empty
+    table gives no rows. ``length_col``, if ``df`` has it, is set to the new length of a text
+    that changed.
     """
     rows = pseudonymised(df, key, text_col)
 

@@ -90,15 +90,17 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 12_000, epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
-    """float32 weights (bias last) from at most ``max_rows`` labelled rows outside the held-out
-    fold, those with the smallest hash of the id; zero weights where there are none."""
+    """float32 weights (bias last) from at most ``max_rows`` labelled ids outside the held-out
+    fold, those with the smallest hash of the id; zero weights where there are none. Of rows
+    that repeat an id one text is learnt (the least), so the bound holds for texts too; null
+    ids and labels are left out, a null text is the empty text."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).dropna().where(fold("_id") != 1)
     # at most max_rows pairs of numbers: small enough to broadcast whatever the corpus size
-    picked = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows))
+    picked = F.broadcast(rows.distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows))
     data = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "_id")
-    data = data.select("_id", "text", "y").orderBy(F.xxhash64("_id"), "_id", "y").coalesce(1)
+    data = data.groupBy("_id", "y").agg(F.min("text").alias("text")).select("_id", "text", "y").orderBy(F.xxhash64("_id"), "_id", "y").coalesce(1)
     schema = pa.schema([("weights", pa.binary())])
 
     def fit(batches):
@@ -140,6 +142,11 @@ def score(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Train outside the held-out fold, score every row: doc_id, held_out, score, predicted."""
+    """Train outside the held-out fold, score every row: doc_id, held_out, score, predicted.
+
+    Every row gets a score, also null and empty texts, null ids (not held out) and rows that
+    repeat an id; whole texts count, however long. Without documents there are no rows; without
+    labels every score is 0.5. Other columns, whatever their names, are ignored.
+    """
     scored = score(docs, train(docs, labels, **options))
     return scored.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, record_batch
+from .common import id_text, materialise, record_batch, split_join
 
 PAIR_BLOCK = 2_000_000
 
@@ -143,8 +143,9 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v): v is the smallest node that u reaches; nodes that are smallest have no row.
 
-    Alternating large and small stars; every round is written to the shared folder. It ends
-    when a round changes nothing.
+    Alternating large and small stars; every round is written to the shared folder, and a hub's
+    star is dealt in parts. It ends when a round changes nothing; rounds grow with the logarithm
+    of the longest path, and more than ``most_rounds`` of them raise an error.
     """
     state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
@@ -153,11 +154,11 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             return edges
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "lows")
+        large = split_join(both, low.drop("n"), "u", low, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lows")
+        small = split_join(large, least.drop("n"), "u", least, seen[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = state(edges)
         if now == seen:
@@ -176,19 +177,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns are ignored.
     """
     docs = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-set")
-    roots = connected(near_links(distinct, distance))
+    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-set")
+    rows, kinds = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    roots = connected(near_links(distinct.select("fp"), distance))
     joined = distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = materialise(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component-names")
+    named = split_join(joined.select("fp", "root"), names.drop("n"), "root", names, kinds).select("fp", "component_id")
+    return split_join(docs, named, "fp", distinct, rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its component, columns as they were.
 
     Rows without an id cannot be told apart and stay; of rows that share the surviving id all
-    stay (exact copies are the business of exact deduplication).
+    stay (exact copies are the business of exact deduplication). Null and empty texts are one
+    component, and an empty table gives no rows.
     """
     found = near_duplicates(df, id_col, text_col, shingle, distance)
     losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
