@@ -1,22 +1,26 @@
 """Removal of repeated substrings by suffix arrays, shard by shard, then across shards.
 
-1. Tasks cut their documents into shards of a few megabytes. Each shard's suffix array is
+1. Tasks cut their documents into shards of some megabytes. Each shard's suffix array is
    refined by doubling (only suffixes whose group is not yet single are sorted again, as
    Larsson and Sadakane do); common prefixes of neighbours follow Kasai's rule, by which a
    prefix shrinks by at most one from a position to the next, so only the head of a chain is
    compared. Strings of ``length`` bytes that also start in an earlier document of the shard
    are settled here and never leave it.
-2. Whole copies of a document are found by digest, each told once by a shard, and take no
-   further part. Every other window of ``length`` bytes picks the smallest k-gram hash in it as its anchor:
-   equal windows have equal anchors, wherever they are. Shards exchange the set of their
-   anchors, packed; anchors of one shard alone are dropped.
-3. For shared anchors the shards send the bytes around them. Equal stretches meet in one task
-   by anchor; their sorted keys are merged by binary search, and each shard learns which of
-   its windows start in a smaller document elsewhere.
-4. Shards mark covered bytes and report on each document.
-
-The shards are a table bucketed by shard number in the shared warehouse, so that the two joins
-that bring answers back move the answers and not the texts.
+2. Hashes only route what is left, so that shards need not exchange all of it. Every other
+   window of ``length`` bytes picks the smallest k-gram hash in it as its anchor: equal windows
+   have equal anchors, wherever they are. Shards exchange the set of their anchors, packed;
+   anchors of one shard alone are dropped. Documents that look like whole copies are grouped
+   by Spark on their very bytes, each told once by a shard, and take no further part.
+3. For shared anchors the shards send the bytes around them. Tasks sort these by suffix arrays,
+   block by block, and merge the sorted runs by binary search with comparisons of the bytes;
+   each shard learns which of its windows start in a smaller document elsewhere.
+4. An anchor that very many shards share has its windows, each with its bytes, aggregated by
+   Spark, which combines them before the shuffle; no task gets all of it.
+5. Shards mark covered bytes and report on each document.
+
+What is equal is decided by bytes alone. The shards are a table bucketed by shard number in the
+warehouse (which executors share), one row a document, so that cogrouping it with answers moves
+the answers and not the texts.
 """
 
 from __future__ import annotations
@@ -32,11 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, record_batch
+from .common import id_text, materialise, record_batch, split_join
 
 GRAM = 24
 NO_ID = 2**63 - 1  # a null id comes after every other
-SHARD_BYTES = 1 << 18  # near the processor's caches, and no row that the JVM calls humongous
+SHARD_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20  # of what is sorted at once where shards meet
+HOT_SHARDS = 1 << 16  # an anchor of more shards is dealt by its windows
+MOST_BUCKETS = 100_000
 
 
 def eight(data: np.ndarray, n: int) -> np.ndarray:
@@ -58,7 +65,7 @@ def suffix_array(k8: np.ndarray, depth: int, known: int) -> tuple[np.ndarray, np
     head[1:n] = ordered[1:] != ordered[:-1]
     del ordered
     rank = np.zeros(n + 1, np.uint32)  # 1 + place of the group's first; 0 beyond the end
-    rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0)) + 1
+    rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n, dtype=np.int32), np.int32(0))) + 1
     h, heads = 8, head
     while h < depth:
         if h == known:
@@ -113,37 +120,95 @@ def windows_of(ends: np.ndarray, length: int, n: int) -> tuple[np.ndarray, np.nd
     return doc, np.arange(n) + length <= ends[doc]
 
 
+class Windows:
+    """The distinct strings of ``length`` bytes in ``k8[start:end]``, sorted, each with the
+    smallest id of a document that it starts in; ``number`` tells which one starts where (-1:
+    none, as the document ends before)."""
+
+    def __init__(self, k8: np.ndarray, start: int, doc: np.ndarray, whole: np.ndarray, ids: np.ndarray, length: int):
+        own = k8[start : start + len(doc)]
+        depth = 8
+        while depth * 2 <= length:
+            depth *= 2
+        order, head = suffix_array(own, length, depth)
+        places, shared = common_prefixes(own, order, head, depth, length)
+        new = np.ones(len(own), bool)
+        new[places[shared >= length]] = False
+        group = (np.cumsum(new, dtype=np.int32) - 1)[whole[order]]
+        suffix = order[whole[order]]
+        heads = np.flatnonzero(np.diff(group, prepend=-1))
+        self.at = suffix[heads].astype(np.int64) + start
+        self.least = np.minimum.reduceat(ids[doc[suffix]], heads) if len(heads) else np.zeros(0, np.int64)
+        self.number = np.full(len(own), -1, np.int32)
+        self.number[suffix] = np.cumsum(np.diff(group, prepend=-1) != 0, dtype=np.int32) - 1
+
+
+def compare(k8: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """-1, 0 or 1 as the ``length`` bytes at a are less than, equal to, or more than those at b."""
+    sign, open_ = np.zeros(len(a), np.int8), np.arange(len(a))
+    for s in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        x, y = k8[a[open_] + s], k8[b[open_] + s]
+        sign[open_] = (x > y).astype(np.int8) - (x < y)
+        open_ = open_[x == y]
+    return sign
+
+
+def merged(k8: np.ndarray, a: tuple, b: tuple, length: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Two sorted runs (places, least ids) into one; also where the entries of each now are.
+
+    Each string of b finds its place in a by binary search: on the first 8 bytes, then on all."""
+    (at_a, least_a), (at_b, least_b) = a, b
+    lo = np.searchsorted(k8[at_a], k8[at_b], "left")
+    hi = np.searchsorted(k8[at_a], k8[at_b], "right")
+    active = np.flatnonzero(lo < hi)
+    while len(active):
+        mid = (lo[active] + hi[active]) >> 1
+        less = compare(k8, at_a[mid], at_b[active], length) < 0
+        lo[active[less]], hi[active[~less]] = mid[less] + 1, mid[~less]
+        active = active[lo[active] < hi[active]]
+    equal = lo < len(at_a)
+    equal[equal] = compare(k8, at_a[lo[equal]], at_b[equal], length) == 0
+    fresh = np.flatnonzero(~equal)
+    now_a = np.arange(len(at_a)) + np.searchsorted(lo[fresh], np.arange(len(at_a)), "right")
+    now_b = np.empty(len(at_b), np.int64)
+    now_b[fresh] = lo[fresh] + np.arange(len(fresh))
+    now_b[equal] = now_a[lo[equal]]
+    at, least = np.empty(len(at_a) + len(fresh), np.int64), np.full(len(at_a) + len(fresh), NO_ID)
+    at[now_a], at[now_b[fresh]] = at_a, at_b[fresh]
+    least[now_a] = least_a
+    least[now_b] = np.minimum(least[now_b], least_b)
+    return (at, least), now_a, now_b
+
+
+def least_ids(k8: np.ndarray, blocks: list[Windows], length: int) -> list[np.ndarray]:
+    """For each block the smallest id, over all blocks, of each of its strings: runs are merged
+    two by two until one is left."""
+    runs = [((w.at, w.least), {i: np.arange(len(w.at))}) for i, w in enumerate(blocks)]
+    while len(runs) > 1:
+        nxt = []
+        for (a, of_a), (b, of_b) in zip(runs[::2], runs[1::2]):
+            run, now_a, now_b = merged(k8, a, b, length)
+            nxt.append((run, {i: now[x] for of, now in ((of_a, now_a), (of_b, now_b)) for i, x in of.items()}))
+        runs = nxt + (runs[-1:] if len(runs) % 2 else [])
+    (_, least), of = runs[0]
+    return [least[of[i]] for i in range(len(blocks))]
+
+
 def local_repeats(k8: np.ndarray, doc: np.ndarray, whole: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """Window starts whose bytes also start in a document of the shard with a smaller id."""
-    n = len(k8)
-    bad = np.zeros(n, bool)
-    depth = 8
-    while depth * 2 <= length:
-        depth *= 2
-    order, head = suffix_array(k8, length, depth)
-    places, shared = common_prefixes(k8, order, head, depth, length)
-    joined = places[shared >= length]
-    if not len(joined):
-        return bad
-    member = np.zeros(n, bool)
-    member[joined] = member[joined - 1] = True
-    at = np.flatnonzero(member)
-    linked = np.zeros(n, bool)
-    linked[joined] = True
-    first = ~linked[at]
-    suffix = order[at]
-    owner = np.where(whole[suffix], ids[doc[suffix]], NO_ID)
-    least = np.minimum.reduceat(owner, np.flatnonzero(first))[np.cumsum(first) - 1]
-    bad[suffix[whole[suffix] & (least < owner)]] = True
+    w = Windows(k8, 0, doc, whole, ids, length)
+    bad = np.zeros(len(doc), bool)
+    at = np.flatnonzero(w.number >= 0)
+    bad[at] = w.least[w.number[at]] < ids[doc[at]]
     return bad
 
 
-def anchors(k8: np.ndarray, ask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(k8: np.ndarray, ask: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of ``ask`` that share an anchor: (anchor, first window, last window)."""
     n = len(k8)
-    h = gram_hash(k8, np.arange(n))
-    bits = np.uint64(32)  # the same everywhere, so that equal windows choose alike
-    low = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
+    half = np.uint64(32)  # the same everywhere, so that equal windows choose alike
+    low = gram_hash(k8, np.arange(n), bits)
+    low = ((low >> half) << half) | np.arange(n, dtype=np.uint64)
     span, have = length - GRAM + 1, 1
     full = np.uint64(2**64 - 1)
     while have * 2 <= span:
@@ -151,11 +216,11 @@ def anchors(k8: np.ndarray, ask: np.ndarray, length: int) -> tuple[np.ndarray, n
         have *= 2
     rest = span - have
     if rest:
-        low = np.minimum(low, np.concatenate([low[rest:], np.full(rest, full)]))
+        low = np.minimum(low, np.concatenate([low[rest:], np.full(min(rest, n), full)]))
     starts = np.flatnonzero(ask)
     if not len(starts):
         return starts, starts, starts
-    at = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (low[starts] & ((np.uint64(1) << half) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     heads = np.flatnonzero(new)
@@ -163,11 +228,12 @@ def anchors(k8: np.ndarray, ask: np.ndarray, length: int) -> tuple[np.ndarray, n
     return at[heads], starts[heads], starts[tails]
 
 
-def gram_hash(k8: np.ndarray, at: np.ndarray) -> np.ndarray:
+def gram_hash(k8: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes at each place, of which the upper ``bits`` are used."""
     h, last = k8[at], len(k8) - 1
     for step in range(8, GRAM, 8):
         h = mixed(h, k8[np.minimum(at + step, last)])
-    return h
+    return h & np.uint64((2**bits - 1) << (64 - bits))
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,43 +261,42 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-class Shard:
-    """One row of the shard table."""
+ROW = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("id", pa.int64()), ("data", pa.binary()), ("bad", pa.binary()), ("runs", pa.binary()), ("digest", pa.binary()), ("settled", pa.bool_())])
+ROW_DDL = "shard long, place long, id long, data binary, bad binary, runs binary, digest binary, settled boolean"
 
-    FIELDS = "shard long, ids binary, ends binary, data binary, bad binary, runs binary, digests binary"
-    SCHEMA = pa.schema([("shard", pa.int64()), *[(x, pa.binary()) for x in ("ids", "ends", "data", "bad", "runs", "digests")]])
 
-    @staticmethod
-    def build(number: int, ids: list, texts: list[bytes], length: int) -> list:
-        """The row of a shard."""
-        own = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        n = len(data)
+def shard_rows(number: int, ids: list, texts: list[bytes], length: int, bits: int):
+    """The rows of a shard, in batches: a document with its windows that are settled here (starts
+    and ends of runs) and the anchors of the others (``pack_runs``), in places of its own."""
+    own = np.array([NO_ID if i is None else i for i in ids], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    n = len(data)
+    bad, p = np.zeros(n, bool), np.zeros(0, np.int64)
+    a = z = p
+    if n:
         k8 = eight(data, n)
-        doc, whole = windows_of(ends, length, n) if n else (np.zeros(0, np.int32), np.zeros(0, bool))
-        bad = local_repeats(k8, doc, whole, own, length) if n else np.zeros(0, bool)
-        p, a, z = anchors(k8, whole & ~bad, length) if n else (np.zeros(0, np.int64),) * 3
-        b, e = spans(bad)
-        return [number, own.tobytes(), ends.tobytes(), data.tobytes(), np.concatenate([b, e]).astype("<u4").tobytes(), pack_runs(p, a, z), b"".join(map(xxhash.xxh3_128_digest, texts))]
-
-    @staticmethod
-    def open_runs(ends: bytes, runs: bytes, digests: bytes, twins: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The runs outside documents that equal a smaller one elsewhere."""
-        p, a, z = unpack_runs(runs)
-        if twins:
-            own = ~Shard.copies(digests, twins)[np.searchsorted(np.frombuffer(ends, np.int64), a, side="right")]
-            p, a, z = p[own], a[own], z[own]
-        return p, a, z
-
-    @staticmethod
-    def copies(digests: bytes, twins: list | None) -> np.ndarray:
-        """Which documents equal one with a smaller id in another shard."""
-        gone = set(map(bytes, twins or []))
-        return np.array([digests[i : i + 16] in gone for i in range(0, len(digests), 16)], bool)
-
-
-def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int) -> str:
+        doc, whole = windows_of(ends, length, n)
+        bad = local_repeats(k8, doc, whole, own, length)
+        p, a, z = anchors(k8, whole & ~bad, length, bits)
+    cut = np.searchsorted(a, np.append(0, ends))
+    rows, size = [], 0
+    for k, text in enumerate(texts):
+        start = int(ends[k]) - len(text)
+        b, e = spans(bad[start : start + len(text)])
+        mine = slice(cut[k], cut[k + 1])
+        settled = len(text) < length or (len(b) == 1 and e[0] - b[0] == len(text) - length + 1)
+        digest = xxhash.xxh3_128_digest(text)[: max(1, bits // 4)]
+        rows.append((number, k, int(own[k]), text, np.concatenate([b, e]).astype("<u4").tobytes(), pack_runs(p[mine] - start, a[mine] - start, z[mine] - start), digest, settled))
+        size += len(text)
+        if size > 1 << 20:
+            yield record_batch(ROW, list(zip(*rows)))
+            rows, size = [], 0
+    if rows:
+        yield record_batch(ROW, list(zip(*rows)))
+
+
+def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int, bits: int) -> str:
     """Write the shard table; returns its name."""
 
     def run(batches):
@@ -241,39 +306,51 @@ def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int) ->
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
                 if texts and size + len(raw) > shard_bytes:
-                    yield record_batch(Shard.SCHEMA, [[x] for x in Shard.build(task << 32 | made, ids, texts, length)])
+                    yield from shard_rows(task << 32 | made, ids, texts, length, bits)
                     ids, texts, size, made = [], [], 0, made + 1
                 ids.append(doc)
                 texts.append(raw)
                 size += len(raw)
         if texts:
-            yield record_batch(Shard.SCHEMA, [[x] for x in Shard.build(task << 32 | made, ids, texts, length)])
+            yield from shard_rows(task << 32 | made, ids, texts, length, bits)
 
     name = f"tessera_shards_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, Shard.FIELDS).write.bucketBy(buckets, "shard").sortBy("shard").saveAsTable(name, format="parquet")
+    docs.mapInArrow(run, ROW_DDL).write.bucketBy(buckets, "shard").sortBy("shard").saveAsTable(name, format="parquet")
     return name
 
 
+def by_shard(shards: DataFrame, columns: list[str], notes: DataFrame, work, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``work(columns of the shard's documents in order, columns of its notes)`` for each shard:
+    lists of rows. A shard is of bounded size, and so is what it is told."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if len(left):
+            left = left.sort_by("place")
+            rows = work({c: left.column(c).to_pylist() for c in left.column_names}, {c: right.column(c).to_pylist() for c in right.column_names})
+        return pa.Table.from_batches([record_batch(schema, list(zip(*rows)) or [[]] * len(schema))])
+
+    return shards.select("shard", "place", *columns).groupBy("shard").cogroup(notes.groupBy("shard")).applyInArrow(run, ddl)
+
+
 def whole_copies(shards: DataFrame, length: int) -> DataFrame:
-    """shard, twins: digests of its documents that equal one with a smaller id elsewhere. A
-    shard tells each digest once, with its smallest id, however many copies it holds."""
-    schema = pa.schema([("shard", pa.int64()), ("digest", pa.binary()), ("id", pa.int64())])
+    """shard, place of the documents that equal one with a smaller id in another shard. Digests
+    propose; Spark groups what they propose by the bytes, and where one digest has several
+    texts none of them counts as a copy (their windows are compared like any others)."""
+    told = shards.where(~F.col("settled")).select("digest", "shard", "place", "id")
+    several = materialise(told.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digests")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    maybe = materialise(split_join(told, several.select("digest"), "digest", several, total), "maybe-copies")
+    text = pa.schema([("digest", pa.binary()), ("data", pa.binary()), ("id", pa.int64())])
 
-    def tell(batches):
-        for batch in batches:
-            for shard, ids, ends, digests in zip(*(batch.column(n).to_pylist() for n in ("shard", "ids", "ends", "digests"))):
-                size = np.diff(np.frombuffer(ends, np.int64), prepend=0)
-                least: dict[bytes, int] = {}
-                for k, (i, n) in enumerate(zip(np.frombuffer(ids, np.int64).tolist(), size.tolist())):
-                    if n >= length:
-                        d = digests[16 * k : 16 * k + 16]
-                        least[d] = min(i, least.get(d, i))
-                if least:
-                    yield record_batch(schema, [[shard] * len(least), list(least), list(least.values())])
+    def texts(docs, notes):
+        wanted = set(notes["place"])
+        return [(d, t, i) for p, d, t, i in zip(docs["place"], docs["digest"], docs["data"], docs["id"]) if p in wanted]
 
-    said = materialise(shards.select("shard", "ids", "ends", "digests").mapInArrow(tell, "shard long, digest binary, id long"), "digests")
-    first = said.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return materialise(said.join(first, "digest").where("id > least").groupBy("shard").agg(F.collect_list("digest").alias("twins")), "whole-copies")
+    read = by_shard(shards, ["digest", "data", "id"], maybe.select("shard", "place"), texts, text, "digest binary, data binary, id long")
+    kinds = read.groupBy("digest", "data").agg(F.min("id").alias("least"))
+    first = materialise(kinds.groupBy("digest").agg(F.min("least").alias("least"), F.count("*").alias("kinds")).where("kinds = 1").select("digest", "least"), "first-copies")
+    return materialise(split_join(maybe, first, "digest", several, total).where("id > least").select("shard", "place"), "whole-copies")
 
 
 def dealt_rows(shard: int, key: np.ndarray, parts: int, pack) -> list:
@@ -299,200 +376,224 @@ def by_bucket(batches):
 
 
 DEALT = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
+SHARED = pa.schema([("shard", pa.int64()), ("payload", pa.binary()), ("hot", pa.bool_())])
 BACK = pa.schema([("shard", pa.int64()), ("payload", pa.binary())])
 
 
-def shared_anchors(shards: DataFrame, parts: int) -> DataFrame:
-    """shard, payload: those of its anchor hashes that another shard has too."""
+class OpenRuns:
+    """The anchored runs of a shard's documents but for those that are whole copies: in one
+    text ``raw`` of their bytes; ``place`` and ``id`` of the document, ``start`` in it."""
 
-    def tell(batches):
-        for batch in batches:
-            for shard, ends, data, runs, digests, twins in zip(*(batch.column(n).to_pylist() for n in ("shard", "ends", "data", "runs", "digests", "twins"))):
-                p = Shard.open_runs(ends, runs, digests, twins)[0]
-                if len(p):
-                    raw = np.frombuffer(data, np.uint8)
-                    h = np.unique(gram_hash(eight(raw, len(raw)), p))
-                    rows = dealt_rows(shard, h, parts, lambda at: h[at].tobytes())
-                    yield record_batch(DEALT, list(zip(*rows)))
+    def __init__(self, docs: dict, copies: set, bits: int):
+        self.raw, parts, at = b"", [], 0
+        texts = []
+        for place, i, text, runs in zip(docs["place"], docs.get("id", docs["place"]), docs["data"], docs["runs"]):
+            if runs and place not in copies:
+                p, a, z = unpack_runs(runs)
+                parts.append((p + at, a + at, z + at, np.full(len(p), place), np.full(len(p), i), np.full(len(p), at)))
+                texts.append(text)
+                at += len(text)
+        self.raw = b"".join(texts)
+        empty = np.zeros(0, np.int64)
+        self.p, self.a, self.z, self.place, self.id, self.base = map(np.concatenate, zip(*parts)) if parts else [empty] * 6
+        data = np.frombuffer(self.raw, np.uint8)
+        self.hash = gram_hash(eight(data, len(data)), self.p, bits) if parts else np.zeros(0, np.uint64)
 
-    def meet(batches):
-        for rows in by_bucket(batches):
-            yield from meet_one(rows)
-
-    def meet_one(rows):
-        h = np.frombuffer(b"".join(p for _, p in rows), "<u8")
-        who = np.repeat(np.arange(len(rows)), [len(p) // 8 for _, p in rows])
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        keep = np.zeros(len(h), bool)
-        keep[order[1:][same]] = keep[order[:-1][same]] = True
-        cut = np.searchsorted(who, np.arange(len(rows) + 1))
-        for k, (shard, _) in enumerate(rows):
-            own = h[cut[k] : cut[k + 1]][keep[cut[k] : cut[k + 1]]]
-            if len(own):
-                yield record_batch(BACK, [[shard], [own.tobytes()]])
-
-    said = shards.select("shard", "ends", "data", "runs", "digests", "twins").mapInArrow(tell, "bucket long, shard long, payload binary")
-    return said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "shard long, payload binary")
 
+def shared_anchors(shards: DataFrame, copies: DataFrame, parts: int, bits: int, hot_shards: int) -> DataFrame:
+    """shard, payload, hot: those of its anchor hashes that another shard has too."""
 
-#: What a stretch of windows with one anchor carries, before its bytes.
-STRETCH = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("start", "<u4"), ("back", "<u2"), ("windows", "<u2")])
+    def tell(docs, notes):
+        own = OpenRuns(docs, set(notes["place"]), bits)
+        h = np.unique(own.hash)
+        return dealt_rows(docs["shard"][0], h, parts, lambda at: h[at].tobytes()) if len(h) else []
 
+    def meet(batches):
+        for rows in by_bucket(batches):
+            h = np.frombuffer(b"".join(p for _, p in rows), "<u8")
+            names, number, count = np.unique(h, return_inverse=True, return_counts=True)
+            cut = np.cumsum([0, *(len(p) // 8 for _, p in rows)])
+            for k, (shard, _) in enumerate(rows):
+                own = number[cut[k] : cut[k + 1]]
+                for hot in (False, True):
+                    mine = own[(count[own] > hot_shards) if hot else (count[own] > 1) & (count[own] <= hot_shards)]
+                    if len(mine):
+                        yield record_batch(SHARED, [[shard], [names[mine].tobytes()], [hot]])
 
-def answers(shards: DataFrame, shared: DataFrame, parts: int, length: int) -> DataFrame:
-    """shard, payload: window spans that also start in a smaller document of another shard."""
+    said = by_shard(shards, ["data", "runs"], copies, tell, DEALT, "bucket long, shard long, payload binary")
+    return said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "shard long, payload binary, hot boolean")
 
-    def tell(batches):
-        for batch in batches:
-            for shard, ids, ends, data, runs, digests, twins, asked in zip(*(batch.column(n).to_pylist() for n in ("shard", "ids", "ends", "data", "runs", "digests", "twins", "asked"))):
-                raw = np.frombuffer(data, np.uint8)
-                p, a, z = Shard.open_runs(ends, runs, digests, twins)
-                h = gram_hash(eight(raw, len(raw)), p)
-                known = np.sort(np.frombuffer(b"".join(asked), "<u8"))
-                at = np.searchsorted(known, h)
-                mine = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h))
-                if not len(mine):
-                    continue
-                rec = np.zeros(len(mine), STRETCH)
-                rec["anchor"], rec["start"] = h[mine], a[mine]
-                rec["back"], rec["windows"] = (p - a)[mine], (z - a + 1)[mine]
-                rec["id"] = np.frombuffer(ids, np.int64)[np.searchsorted(np.frombuffer(ends, np.int64), a[mine], side="right")]
-
-                def pack(sel, rec=rec, data=data):
-                    own = rec[sel]
-                    to = (own["start"].astype(np.int64) + own["windows"] + length - 1).tolist()
-                    text = b"".join([data[x:y] for x, y in zip(own["start"].tolist(), to)])
-                    # field by field, ids and places compress well
-                    return zlib.compress(len(own).to_bytes(8, "little") + b"".join([own[f].tobytes() for f in STRETCH.names]) + text, 1)
-
-                yield record_batch(DEALT, list(zip(*dealt_rows(shard, rec["anchor"], parts, pack))))
+
+#: What a stretch of windows with one anchor carries, before its bytes.
+STRETCH = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("place", "<u4"), ("start", "<u4"), ("back", "<u2"), ("windows", "<u2")])
+#: An answer: windows of a document that start in a smaller one elsewhere.
+ANSWER = np.dtype([("place", "<u4"), ("start", "<u4"), ("windows", "<u4")])
+
+
+def asked_runs(docs: dict, notes: dict, bits: int) -> tuple[OpenRuns, np.ndarray]:
+    """A shard's runs, and which of them have an anchor that its notes name."""
+    own = OpenRuns(docs, {p for p in notes["place"] if p is not None}, bits)
+    known = np.unique(np.frombuffer(b"".join(p for p in notes["payload"] if p is not None), "<u8"))
+    return own, np.flatnonzero(np.isin(own.hash, known))
+
+
+def notes_of(copies: DataFrame, told: DataFrame) -> DataFrame:
+    return copies.select("shard", "place", F.lit(None).cast("binary").alias("payload")).unionAll(told.select("shard", F.lit(None).cast("long"), "payload"))
+
+
+def unpacked(payload: bytes, length: int) -> tuple[np.ndarray, list[bytes]]:
+    """The stretches of one payload and their bytes."""
+    buf = zlib.decompress(payload)
+    n, at = int.from_bytes(buf[:8], "little"), 8
+    rec = np.zeros(n, STRETCH)
+    for f in STRETCH.names:
+        rec[f] = np.frombuffer(buf, STRETCH[f], n, at)
+        at += n * STRETCH[f].itemsize
+    ends = (np.cumsum(rec["windows"].astype(np.int64) + length - 1) + at).tolist()
+    return rec, [buf[a:z] for a, z in zip([at, *ends[:-1]], ends)]
+
+
+def met_stretches(rows: list, length: int):
+    """(shard, answers) for the (shard, stretches) of one bucket."""
+    recs, texts = zip(*(unpacked(p, length) for _, p in rows))
+    who = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
+    rec = np.concatenate(recs)
+    # stretches of the same bytes, with their anchor at the same place, are one kind
+    kinds: dict[tuple[int, bytes], int] = {}
+    kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(rec["back"].tolist(), (t for own in texts for t in own))), np.int64, len(rec))
+    least = np.full(len(kinds), NO_ID)
+    np.minimum.at(least, kind, rec["id"])
+    done = least[kind] < rec["id"]
+    found = [[] for _ in rows]
+    for k, p, a, n in zip(who[done].tolist(), rec["place"][done].tolist(), rec["start"][done].tolist(), rec["windows"][done].tolist()):
+        found[k].append((p, a, n))
+    # where an anchor has several kinds, their windows are sorted and merged
+    first = np.full(len(kinds), len(rec))
+    np.minimum.at(first, kind, np.arange(len(rec)))
+    anchor = rec["anchor"][first]
+    _, number, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[number] > 1)
+    if len(several):
+        pieces = list(kinds)
+        size = np.array([len(pieces[k][1]) for k in several.tolist()], np.int64)
+        end = np.cumsum(size)
+        data = np.frombuffer(b"".join(pieces[k][1] for k in several.tolist()), np.uint8)
+        k8 = eight(data, len(data))
+        doc, whole = windows_of(end, length, len(data))
+        blocks, starts, at = [], [], 0
+        while at < len(several):
+            base = int(end[at] - size[at])
+            upto = max(at + 1, int(np.searchsorted(end, base + BLOCK_BYTES, "right")))
+            stop = int(end[upto - 1])
+            starts.append(base)
+            blocks.append(Windows(k8, base, doc[base:stop], whole[base:stop], least[several], length))
+            at = upto
+        smallest = np.full(len(data), NO_ID)
+        for base, w, ids in zip(starts, blocks, least_ids(k8, blocks, length)):
+            own = np.flatnonzero(w.number >= 0)
+            smallest[base + own] = ids[w.number[own]]
+        spot = np.full(len(kinds), -1, np.int64)
+        spot[several] = end - size
+        rest = np.flatnonzero(~done & (spot[kind] >= 0))
+        for e, s, n in zip(rest.tolist(), spot[kind[rest]].tolist(), rec["windows"][rest].tolist()):
+            b, f = spans(smallest[s : s + n] < rec["id"][e])
+            place, start = int(rec["place"][e]), int(rec["start"][e])
+            found[who[e]] += [(place, start + x, y - x) for x, y in zip(b.tolist(), f.tolist())]
+    for (shard, _), own in zip(rows, found):
+        if own:
+            yield shard, np.array(own, ANSWER).tobytes()
+
+
+def answers(shards: DataFrame, copies: DataFrame, shared: DataFrame, parts: int, length: int, bits: int) -> DataFrame:
+    """shard, payload: ``ANSWER`` rows, for anchors that are not hot."""
+
+    def tell(docs, notes):
+        own, mine = asked_runs(docs, notes, bits)
+        if not len(mine):
+            return []
+        rec = np.zeros(len(mine), STRETCH)
+        rec["anchor"], rec["id"], rec["place"] = own.hash[mine], own.id[mine], own.place[mine]
+        rec["start"], rec["back"], rec["windows"] = (own.a - own.base)[mine], (own.p - own.a)[mine], (own.z - own.a + 1)[mine]
+        begin = own.a[mine]
+        stop = begin + rec["windows"].astype(np.int64) + length - 1
+
+        def pack(sel):
+            part = rec[sel]
+            text = b"".join([own.raw[x:y] for x, y in zip(begin[sel].tolist(), stop[sel].tolist())])
+            # field by field, ids and places compress well
+            return zlib.compress(len(part).to_bytes(8, "little") + b"".join([part[f].tobytes() for f in STRETCH.names]) + text, 1)
+
+        return dealt_rows(docs["shard"][0], rec["anchor"], parts, pack)
 
     def meet(batches):
         for rows in by_bucket(batches):
-            yield from meet_one(rows)
-
-    def meet_one(rows):
-        recs, texts = [], []
-        for _, p in rows:
-            p = zlib.decompress(p)
-            n, at = int.from_bytes(p[:8], "little"), 8
-            rec = np.zeros(n, STRETCH)
-            for f in STRETCH.names:
-                rec[f] = np.frombuffer(p, STRETCH[f], n, at)
-                at += n * STRETCH[f].itemsize
-            recs.append(rec)
-            texts.append(p[at:])
-        who = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
-        rec, text = np.concatenate(recs), b"".join(texts)
-        del recs, texts
-        size = rec["windows"].astype(np.int64) + length - 1
-        end = np.cumsum(size)
-        begin = end - size
-        digest = xxhash.xxh3_64_intdigest
-        whole = np.array([digest(text[a:z]) for a, z in zip(begin.tolist(), end.tolist())], np.uint64)
-        # stretches with the same anchor and bytes: all their windows are shared at once
-        ids = rec["id"]
-        order = np.lexsort((ids, whole, rec["back"], rec["windows"], rec["anchor"]))
-        r = rec[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r["anchor"][1:] != r["anchor"][:-1]) | (r["windows"][1:] != r["windows"][:-1]) | (r["back"][1:] != r["back"][:-1]) | (whole[order][1:] != whole[order][:-1])
-        least = np.empty(len(r), np.int64)
-        least[order] = r["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        done = least < ids
-        # one of each kind goes on where an anchor has several kinds
-        kind = order[new]
-        anchor = rec["anchor"][kind]
-        several = np.zeros(len(kind), bool)
-        several[1:] |= anchor[1:] == anchor[:-1]
-        several[:-1] |= anchor[1:] == anchor[:-1]
-        multi = kind[several]
-        number = np.full(len(rec), -1, np.int64)
-        open_ = np.isin(rec["anchor"], np.unique(rec["anchor"][multi])) & ~done
-        out = {k: [] for k in range(len(rows))}
-        for k, a, n in zip(who[done].tolist(), rec["start"][done].tolist(), rec["windows"][done].tolist()):
-            out[k].append((a, n))
-        if len(multi):
-            raw = np.frombuffer(text, np.uint8)
-            every = np.unique(np.concatenate([multi, np.flatnonzero(open_)]))
-            number[every] = np.arange(len(every))
-            count = rec["windows"][every].astype(np.int64)
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(begin[every], count) + inner
-            key = window_keys(raw, at, length)
-            offset = np.repeat(rec["back"][every].astype(np.int64), count) - inner  # anchor's place in the window
-            key = mixed(key ^ np.repeat(rec["anchor"][every], count), offset.astype(np.uint64) & np.uint64(0xFFFF))
-            owner = np.repeat(ids[every], count)
-            # merge: sorted distinct keys with their smallest id, each window found by binary search
-            by = np.lexsort((owner, key))
-            first = np.ones(len(by), bool)
-            first[1:] = key[by][1:] != key[by][:-1]
-            names, smallest = key[by][first], owner[by][first]
-            bad = smallest[np.searchsorted(names, key)] < owner
-            edge = np.cumsum(count)
-            for e in np.flatnonzero(open_[every]).tolist():
-                b, f = spans(bad[edge[e] - count[e] : edge[e]])
-                base, k = int(rec["start"][every[e]]), int(who[every[e]])
-                out[k] += [(base + x, y - x) for x, y in zip(b.tolist(), f.tolist())]
-        for k, found in out.items():
-            if found:
-                yield record_batch(BACK, [[rows[k][0]], [np.array(found, "<u4").tobytes()]])
-
-    per_shard = shared.groupBy("shard").agg(F.collect_list("payload").alias("asked"))
-    said = shards.join(per_shard, "shard").select("shard", "ids", "ends", "data", "runs", "digests", "twins", "asked").mapInArrow(tell, "bucket long, shard long, payload binary")
+            for shard, payload in met_stretches(rows, length):
+                yield record_batch(BACK, [[shard], [payload]])
+
+    said = by_shard(shards, ["id", "data", "runs"], notes_of(copies, shared.where("not hot")), tell, DEALT, "bucket long, shard long, payload binary")
     return said.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "shard long, payload binary")
 
 
-def window_keys(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit key of the ``length`` bytes that start at each position."""
-    k8 = eight(raw, len(raw))
-    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    key = np.zeros(len(at), np.uint64)
-    for s in steps:
-        key = mixed(key, k8[at + s])
-    return key
+def hot_answers(shards: DataFrame, copies: DataFrame, shared: DataFrame, length: int, bits: int) -> DataFrame:
+    """shard, payload: ``ANSWER`` rows, for the windows of hot anchors, which Spark aggregates."""
+    window = pa.schema([("window", pa.binary()), ("id", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
+
+    def tell(docs, notes):
+        own, mine = asked_runs(docs, notes, bits)
+        rows = []
+        for r in mine.tolist():
+            for at in range(int(own.a[r]), int(own.z[r]) + 1):
+                answer = np.array([(own.place[r], at - own.base[r], 1)], ANSWER).tobytes()
+                rows.append((own.raw[at : at + length], int(own.id[r]), docs["shard"][0], answer))
+        return rows
+
+    said = by_shard(shards, ["id", "data", "runs"], notes_of(copies, shared.where("hot")), tell, window, "window binary, id long, shard long, payload binary")
+    said = materialise(said, "hot-windows")
+    least = materialise(said.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "hot-least")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return split_join(said, least.drop("n"), "window", least, total).where("least < id").select("shard", "payload")
 
 
 REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
-def report(shards: DataFrame, found: DataFrame, length: int, with_values: bool) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for ids, ends, data, bad, digests, twins, more in zip(*(batch.column(n).to_pylist() for n in ("ids", "ends", "data", "bad", "digests", "twins", "more"))):
-                n = len(data)
-                cover = np.zeros(n + 1, np.int64)
-                b, e = np.frombuffer(bad, "<u4").astype(np.int64).reshape(2, -1)
-                for x in more or []:
-                    s, w = np.frombuffer(x, "<u4").astype(np.int64).reshape(-1, 2).T
-                    b, e = np.concatenate([b, s]), np.concatenate([e, s + w])
-                # windows [b, e) cover the bytes [b, e + length - 1)
-                np.add.at(cover, b, 1)
-                np.add.at(cover, e + length - 1, -1)
-                gone = np.cumsum(cover[:n]) > 0
-                raw, rows, at = np.frombuffer(data, np.uint8), [], 0
-                copies = Shard.copies(digests, twins).tolist()
-                for doc, end, copy in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist(), copies):
-                    own = gone[at:end] | copy
-                    kept = raw[at:end][~own].tobytes()
-                    s, z = spans(own)
-                    rows.append((None if doc == NO_ID else doc, end - at, end - at - len(kept), len(s), hashlib.sha256(kept).hexdigest(), np.stack([s, z], 1).ravel().tolist() if with_values else None, kept if with_values else None))
-                    at = end
-                yield record_batch(REPORT, list(zip(*rows)))
-
-    per_shard = found.groupBy("shard").agg(F.collect_list("payload").alias("more"))
-    joined = shards.join(per_shard, "shard", "left").select("ids", "ends", "data", "bad", "digests", "twins", "more")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
-
-
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_values: bool = False) -> DataFrame:
+def report(shards: DataFrame, copies: DataFrame, found: DataFrame, length: int, with_values: bool) -> DataFrame:
+    def run(docs, notes):
+        gone = {p for p in notes["place"] if p is not None}
+        more = np.frombuffer(b"".join(p for p in notes["payload"] if p is not None), ANSWER)
+        more = more[np.argsort(more["place"], kind="stable")]
+        cut = np.searchsorted(more["place"], np.append(docs["place"], 2**32 - 1))
+        rows = []
+        for k, (place, doc, data, bad) in enumerate(zip(docs["place"], docs["id"], docs["data"], docs["bad"])):
+            n = len(data)
+            cover = np.zeros(n + 1, np.int64)
+            b, e = np.frombuffer(bad, "<u4").astype(np.int64).reshape(2, -1)
+            own = more[cut[k] : cut[k + 1]]
+            s, w = own["start"].astype(np.int64), own["windows"].astype(np.int64)
+            # windows [b, e) cover the bytes [b, e + length - 1)
+            np.add.at(cover, np.concatenate([b, s]), 1)
+            np.add.at(cover, np.concatenate([e, s + w]) + length - 1, -1)
+            removed = np.ones(n, bool) if place in gone else np.cumsum(cover[:n]) > 0
+            kept = np.frombuffer(data, np.uint8)[~removed].tobytes()
+            s, z = spans(removed)
+            rows.append((None if doc == NO_ID else doc, n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), np.stack([s, z], 1).ravel().tolist() if with_values else None, kept if with_values else None))
+        return rows
+
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary"
+    return by_shard(shards, ["id", "data", "bad"], notes_of(copies, found), run, REPORT, ddl)
+
+
+def remove_repeats(
+    df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, with_values: bool = False, hot_shards: int = HOT_SHARDS, hash_bits: int = 64
+) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of ``length`` bytes over it also starts in a document with a
     smaller id. A null or empty text has no bytes; a null id counts as larger than any other,
     and rows that share an id (or have none) do not remove from each other; an empty table
     gives no rows; other columns are ignored. ``with_values`` adds spans (start, end, ... of
-    the removed runs) and kept (the remaining bytes). ``length`` is at least 32.
+    the removed runs) and kept (the remaining bytes). ``length`` is at least 32. ``hash_bits``
+    changes how much is compared, never the result.
     """
     if length < GRAM + 8:
         raise ValueError("strings shorter than 32 bytes are not supported")
@@ -500,13 +601,16 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     docs = id_text(df, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // (8 << 20)))
-    table = make_shards(docs, length, shard_bytes, int(max(4, -(-total // (16 << 20)))))
+    table = make_shards(docs, length, shard_bytes, int(min(MOST_BUCKETS, max(4, -(-total // (16 << 20))))), hash_bits)
     try:
         shards = spark.table(table)
-        shards = shards.join(whole_copies(shards, length), "shard", "left")
-        shared = materialise(shared_anchors(shards, parts), "shared-anchors")
-        found = materialise(answers(shards, shared, parts, length), "answers")
-        out = materialise(report(shards, found, length, with_values), "repeats")
+        copies = whole_copies(shards, length)
+        shared = materialise(shared_anchors(shards, copies, parts, hash_bits, hot_shards), "shared-anchors")
+        found = answers(shards, copies, shared, parts, length, hash_bits)
+        if not shared.where("hot").isEmpty():
+            found = found.unionAll(hot_answers(shards, copies, shared, length, hash_bits))
+        found = materialise(found, "answers")
+        out = materialise(report(shards, copies, found, length, with_values), "repeats")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     return out if with_values else out.drop("spans", "kept")

@@ -101,21 +101,54 @@ def passages(seed, n=60):
     return rows + [(50, "z" * 120), (51, "z" * 49), (52, "z" * 50), (52, "z" * 70)]
 
 
-@pytest.mark.parametrize(("seed", "shard_bytes"), [(1, 200), (2, 2000), (3, 1 << 22)])
-def test_repeats_match_brute_force(spark, seed, shard_bytes):
+@pytest.mark.parametrize(
+    ("seed", "shard_bytes", "hash_bits", "hot_shards"),
+    [(1, 200, 64, 1 << 16), (2, 2000, 64, 1 << 16), (3, 1 << 22, 64, 1 << 16), (4, 300, 8, 1 << 16), (5, 300, 64, 2), (6, 1, 8, 1)],
+)
+def test_repeats_match_brute_force(spark, monkeypatch, seed, shard_bytes, hash_bits, hot_shards):
+    """Also where hashes collide all the time (8 bits), where anchors of few shards count as hot,
+    and where every document is a shard."""
     rows = passages(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert seen(substring_dedup.remove_repeats(df, shard_bytes=shard_bytes)) == brute_repeats(rows)
+    assert seen(substring_dedup.remove_repeats(df, shard_bytes=shard_bytes, hash_bits=hash_bits, hot_shards=hot_shards)) == brute_repeats(rows)
 
 
 def test_repeats_of_messy_documents(spark):
     df = documents(spark)
-    rows = [(r["doc_id"], (r["text"] or "")[:3000]) for r in df.collect()]
-    cut = documents(spark, [(i, t, None, None) for i, t in rows])
-    assert seen(substring_dedup.remove_repeats(cut, shard_bytes=1500)) == brute_repeats(rows)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    assert seen(substring_dedup.remove_repeats(df, shard_bytes=1500)) == brute_repeats(rows)
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "letters"), [(400, 2), (3000, 1), (100, 2), (1 << 20, 2)])
+def test_sorted_runs_are_merged_exactly(block, letters):
+    """Runs of many blocks against a dictionary of all windows; bytes of value zero too."""
+    rnd, length = np.random.default_rng(block), 50
+    base = bytes(rnd.integers(0, letters, 700).tolist())
+    texts, ids = [], []
+    for _ in range(40):
+        a = int(rnd.integers(0, 600))
+        texts.append(base[a : a + int(rnd.integers(10, 200))] + bytes(rnd.integers(0, letters, int(rnd.integers(0, 60))).tolist()))
+        ids.append(int(rnd.integers(0, 15)))
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    k8 = substring_dedup.eight(data, len(data))
+    doc, whole = substring_dedup.windows_of(ends, length, len(data))
+    cuts = [0]
+    for e in ends.tolist():
+        if e - cuts[-1] >= block:
+            cuts.append(e)
+    cuts = [*cuts, len(data)] if cuts[-1] < len(data) else cuts
+    blocks = [substring_dedup.Windows(k8, a, doc[a:z], whole[a:z], np.array(ids), length) for a, z in zip(cuts, cuts[1:])]
+    least, first = substring_dedup.least_ids(k8, blocks, length), {}
+    raw = bytes(data)
+    for p in np.flatnonzero(whole).tolist():
+        first[raw[p : p + length]] = min(ids[doc[p]], first.get(raw[p : p + length], NO_ID))
+    for a, z, w, found in zip(cuts, cuts[1:], blocks, least):
+        assert ((w.number >= 0) == whole[a:z]).all()
+        for p in np.flatnonzero(whole[a:z]).tolist():
+            assert found[w.number[p]] == first[raw[a + p : a + p + length]]
+
+
 def test_repeats_report_spans_and_bytes(spark):
     df = spark.createDataFrame([(1, "q" * 30 + "p" * 60), (2, "start " + "p" * 60 + " end")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(df, with_values=True).collect()}
