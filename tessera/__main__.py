@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from .operators.store import corpus_stats
 from .plans.ingest import import_bundle
-from .sources.snapshot import export_bundle, resolve_bundle
+from .sources.snapshot import export_store, resolve_bundle
 from .sources.store import Store
 
 
@@ -19,7 +19,8 @@ def main() -> None:
     p.add_argument("store")
     p.add_argument("--snapshots", default="index-snapshots")
     p.add_argument("--bundle")
-    p.add_argument("--embed", type=json.loads, default={"provider": "none", "model": "none", "dims": 768}, help="JSON: provider, model, dims")
+    p.add_argument("--embed", type=json.loads, help="JSON: provider, model, dims; an export takes the store's own")
+    p.add_argument("--one-file", action="store_true", help="each table of an export in one file")
     p.add_argument("--replace", action="store_true")
     a = p.parse_args()
     spark = SparkSession.builder.appName("tessera").getOrCreate()
@@ -27,8 +28,10 @@ def main() -> None:
     if a.command == "stats":
         corpus_stats(store.read("documents")).show()
     elif a.command == "export":
-        print(export_bundle(store.read("documents"), store.read("chunks"), a.snapshots, a.embed))
+        print(export_store(store, a.snapshots, a.embed or store.fingerprint() or {}, one_file=a.one_file))
     else:
+        if a.embed is None:
+            raise SystemExit("import needs --embed")
         folder = resolve_bundle(spark, a.snapshots, a.bundle)
         if folder is None:
             raise SystemExit("no bundle")

@@ -74,6 +74,19 @@ def keyword_not(spark, d):
     return keywords.without(keywords.match_all(index, part(1)).select("query_id", "id"), keywords.match_any(index, part(2)))
 
 
+def web_queries(spark, d):
+    """Strings of the first words w1 w2 w3 of every hundredth text, in five forms by turns."""
+    t = term_queries(spark, d, 3).where(F.size("terms") == 3)
+    w = [F.col("terms")[i] for i in range(3)]
+    forms = [F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('"')), F.concat(w[0], F.lit(" or "), w[1]), F.concat(w[0], F.lit(" -"), w[1]), F.concat(w[0], F.lit(" "), w[1], F.lit(" OR "), w[2]), F.concat(w[0], F.lit(' -"'), w[1], F.lit(" "), w[2], F.lit('"'))]
+    turn = F.pmod(F.col("query_id") / 100, F.lit(5)).cast("int")
+    return t.select("query_id", F.element_at(F.array(*forms), turn + 1).alias("query"))
+
+
+def keyword_websearch(spark, d):
+    return keywords.match_websearch(_index(spark, d), web_queries(spark, d)).select("query_id", "id")
+
+
 def keyword_rank_single_term(spark, d):
     got = keywords.keyword_top_k(_index(spark, d), term_queries(spark, d, 1), 20)
     return got.select("query_id", "id", F.round("text_rank", 6).alias("text_rank"), F.col("rank").cast("long").alias("rank"))
@@ -155,6 +168,11 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)
     "keyword_any": f"SELECT query_id, id FROM {TERMS} q, {DOCS} d WHERE list_has_any(toks, terms)",
     "keyword_phrase": f"SELECT * FROM (SELECT query_id, id, CAST(len(list_filter(range(1, len(toks) - len(terms) + 2), lambda i: list_slice(toks, i, i + len(terms) - 1) = terms)) AS BIGINT) AS times FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0) WHERE times > 0",
     "keyword_not": f"SELECT query_id, id FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0 AND list_contains(toks, terms[1]) AND (len(terms) < 2 OR NOT list_contains(toks, terms[2]))",
+    "keyword_websearch": f"""WITH q AS (SELECT doc_id AS query_id, CAST(doc_id / 100 AS BIGINT) % 5 AS turn, list_slice({TOK}, 1, 3) AS w FROM documents WHERE doc_id % 100 = 0 AND len({TOK}) >= 3),
+d AS (SELECT doc_id AS id, {TOK} AS toks FROM documents),
+x AS (SELECT query_id, turn, w, id, list_contains(toks, w[1]) AS a, list_contains(toks, w[2]) AS b, list_contains(toks, w[3]) AS c, ' ' || array_to_string(toks, ' ') || ' ' AS line FROM q, d)
+SELECT query_id, id FROM x WHERE CASE turn WHEN 0 THEN contains(line, ' ' || w[1] || ' ' || w[2] || ' ') WHEN 1 THEN a OR b WHEN 2 THEN a AND NOT b WHEN 3 THEN (a AND b) OR c
+ ELSE a AND NOT contains(line, ' ' || w[2] || ' ' || w[3] || ' ') END""",
     "keyword_rank_single_term": f"""WITH s AS (SELECT query_id, id, 0.1::DOUBLE * len(list_filter(toks, lambda t: t = terms[1])) AS tr FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0)
 SELECT query_id, id, round(tr, 6) AS text_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tr DESC, id) AS rank FROM s WHERE tr > 0) WHERE rank <= 20""",
     "keyword_cover_density": f"""WITH m AS (SELECT query_id, id, list_distinct(terms) AS terms, toks FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0 AND list_has_all(toks, terms)),
@@ -181,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, vector_topk_floor, vector_topk_doc_filter, vector_topk_ready, l2_normalise, vector_literal, keyword_match, keyword_any,
-        keyword_phrase, keyword_not, keyword_rank_single_term, keyword_cover_density, rrf_hybrid, band_of_head, search_view, identifier_parse,
+        keyword_phrase, keyword_not, keyword_websearch, keyword_rank_single_term, keyword_cover_density, rrf_hybrid, band_of_head, search_view, identifier_parse,
         identifier_promotion, ann_pruned_topk,
     )
 }

@@ -1,6 +1,6 @@
 """Store semantics on DataFrames: readiness, keys, upsert, resume, finalise, statistics.
 
-There is no table format here, so a change is a new DataFrame; ``sources.store`` swaps it in.
+A change is a new DataFrame; ``sources.store`` swaps it in.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ def keep_lowest(df: DataFrame, keys: list[str], order: list[str | Column]) -> Da
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """New rows, and the old ones whose key is not among them; of new rows that share a key
-    any one stays (give unique keys where it matters)."""
-    fresh = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEY, order: list[str | Column] | None = None) -> DataFrame:
+    """New rows, and the old ones whose key is not among them. Of new rows that share a key the
+    first by ``order`` stays (give what makes the last writer first); without an order, or
+    where it ties, the first by all their columns as text, so that the result is the same in
+    every run."""
+    rest = [F.to_json(F.struct(*[c for c in new.columns if c not in keys])).desc()]
+    fresh = keep_lowest(new, keys, [*(order or []), *rest])
     return fresh.select(old.columns).unionByName(old.join(fresh.select(*keys), keys, "left_anti").select(old.columns))
 
 
@@ -101,6 +104,11 @@ def backfill_embedded(documents: DataFrame) -> DataFrame:
     return documents.withColumn("embedded_count", F.when((F.col("status") == "ready") & (F.col("embedded_count") == 0), F.col("chunk_count")).otherwise(F.col("embedded_count")))
 
 
+def pending(documents: DataFrame) -> DataFrame:
+    """Documents of a run that has not ended, by source file."""
+    return documents.where("status = 'pending'").select("doc_id", "source_file", "chunk_count", "embedded_count").orderBy("source_file", "doc_id")
+
+
 def citable(documents: DataFrame) -> DataFrame:
     return documents.where("not is_scanned").select("doc_id", "doc_title", "source_file", "page_count")
 

@@ -11,7 +11,8 @@ from ..config import Settings
 from ..functions.models import embed
 from ..functions.text import embeddable_text
 from ..operators import chunking, pages, store
-from ..sources.snapshot import SnapshotError, read_bundle
+from ..session import materialise
+from ..sources.snapshot import FORMAT, SnapshotError, read_bundle
 from ..sources.store import CHUNKS, Store
 
 
@@ -29,8 +30,11 @@ def documents_from_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settings: Settings = Settings()) -> None:
     """Chunk, embed and store; chunks that a stopped run of the same content stored already are
     not embedded again; a document turns ready when all its chunks are there."""
+    # read by several branches: extracted and chunked once
+    raw = materialise(raw, "pages")
     text, docs = documents_from_pages(raw)
-    chunks = chunking.chunk_documents(text, settings)
+    docs = materialise(docs, "document-reports")
+    chunks = materialise(chunking.chunk_documents(text, settings), "chunked")
     counts = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
     meta = docs.join(counts, "doc_id")
     begun = store.begin_documents(to.read("documents"), meta.select("doc_id", "content_hash"))
@@ -45,29 +49,32 @@ def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settin
     new = done.select(F.xxhash64("doc_id", "chunk_index").alias("id"), *[c.split()[0] for c in CHUNKS.split(", ")[1:-2]], F.col("embedding"), F.current_timestamp().alias("created_at"))
     touched = meta.select("doc_id")
     to.change(
+        touched=touched,
         documents=lambda old: store.upsert(old, rows, ["doc_id"]),
         chunks=lambda old: old.join(touched, "doc_id", "left_anti").unionByName(old.join(resumable, "doc_id", "left_semi")).unionByName(new),
     )
-    to.finalise()
+    to.finalise(touched)
 
 
-def import_bundle(spark: SparkSession, folder: str, to: Store, embed_config: dict, settings: Settings = Settings(), replace: bool = False) -> DataFrame:
-    """Check configuration and checksums, compare with the store, load, verify; returns the
-    stored documents that the bundle does not have (reported, kept unless ``replace``)."""
-    docs, chunks, manifest = read_bundle(spark, folder, embed_config, settings)
+def import_bundle(spark: SparkSession, folder: str, to: Store, embed_config: dict, settings: Settings = Settings(), replace: bool = False, format_name: str = FORMAT) -> DataFrame:
+    """Check configuration and checksums, compare with the store, verify what was read against
+    the manifest, then load it by one change; returns the stored documents that the bundle does
+    not have (reported and kept, or with ``replace`` gone)."""
+    docs, chunks, manifest = read_bundle(spark, folder, embed_config, settings, format_name)
     held = to.fingerprint()
     if held is not None and not replace and store.index_change(held, embed_config) != "keep":
         raise SnapshotError("the store holds vectors of another model; use replace")
-    if replace:
-        to.change(chunks=lambda c: c.limit(0), documents=lambda d: d.limit(0))
     created = F.to_timestamp(F.lit(manifest["createdAt"]))
     full_docs = docs.select("doc_id", "doc_title", "source_file", "page_count", "chunk_count", "is_scanned", created.alias("ingested_at"), "status", "embedded_count", F.lit(None).cast("string").alias("content_hash"))
     full = chunks.select(F.xxhash64("doc_id", "chunk_index").alias("id"), "doc_id", "doc_title", "page_from", "page_to", "clause", "chunk_index", "content", "embedding", created.alias("created_at"))
-    to.change(documents=lambda old: store.upsert(old, full_docs, ["doc_id"]), chunks=lambda old: store.upsert(old, full))
-    to.sync_fingerprint({k: embed_config[k] for k in ("provider", "model", "dims")})
-    own = to.read("documents").join(docs.select("doc_id"), "doc_id", "left_semi")
-    mine = to.read("chunks").join(docs.select("doc_id"), "doc_id", "left_semi")
-    check = store.verify_load(own, mine, manifest["corpus"]["docCount"], manifest["corpus"]["chunkCount"]).first()
+    full_docs, full = materialise(full_docs, "bundle-documents"), materialise(full, "bundle-chunks")
+    check = store.verify_load(full_docs, full, manifest["corpus"]["docCount"], manifest["corpus"]["chunkCount"]).first()
     if not check["ok"]:
         raise SnapshotError(f"load differs from the manifest: {check.asDict()}")
-    return store.orphans(to.read("documents"), docs)
+    orphans = materialise(store.orphans(to.read("documents"), full_docs), "orphans")
+    if replace:
+        to.change(documents=lambda _: full_docs, chunks=lambda _: full)
+    else:
+        to.change(touched=full_docs, documents=lambda old: store.upsert(old, full_docs, ["doc_id"]), chunks=lambda old: store.replace_documents(old, full))
+    to.record_fingerprint({k: embed_config[k] for k in ("provider", "model", "dims")})
+    return orphans

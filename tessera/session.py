@@ -27,6 +27,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Rows and bytes of an Arrow batch where rows carry whole texts; they bound what a Python
+#: worker, and the JVM's buffers beside it, hold at once.
+TEXT_ROWS_PER_BATCH = 512
+TEXT_BYTES_PER_BATCH = 4 << 20
+BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Ready the session for Python tasks over whole texts: the package on the executors,
+    small Arrow batches (a batch is a number of rows, and rows can be long)."""
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+    if spark.conf.get(BYTES_SETTING, None) is None:
+        spark.conf.set(BYTES_SETTING, str(TEXT_BYTES_PER_BATCH))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,7 +1,10 @@
-"""A chunk store without a table format: versions of Parquet folders and a pointer.
+"""A chunk store of ordinary Parquet folders, partitioned by a hash of the document.
 
-A change is written as a new version; then one rename moves the pointer, so readers see the old
-version or the new one. There is one writer.
+A change writes the partitions that it touches as a new version, then the manifest of all
+partitions under the next number. That file appears whole, by one rename to a name that was
+free, and readers take the highest number; so they see the store before the change or after it,
+never between, and a writer that stops half way leaves the old state. There is one writer.
+Versions that neither the last manifest nor the one before names are removed.
 """
 
 from __future__ import annotations
@@ -10,12 +13,15 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import store as ops
 
 CHUNKS = "id long, doc_id string, doc_title string, page_from int, page_to int, clause string, chunk_index int, content string, embedding array<float>, created_at timestamp"
 DOCUMENTS = "doc_id string, doc_title string, source_file string, page_count int, chunk_count int, is_scanned boolean, ingested_at timestamp, status string, embedded_count int, content_hash string"
+BUCKETS = 64
+PREFIX = "manifest-"
 
 
 class Store:
@@ -23,60 +29,105 @@ class Store:
 
     SCHEMAS = {"chunks": CHUNKS, "documents": DOCUMENTS}
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets = self._manifest().get("buckets", buckets)
 
-    def _pointer(self) -> dict:
-        path = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(path):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(str(path)).collect()))
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
-    def _set(self, pointer: dict) -> None:
-        new, final = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
+    def _manifests(self) -> list[str]:
+        return [n for n in self._names(self.root) if n.startswith(PREFIX)]
+
+    def _load(self, name: str) -> dict:
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()))
+
+    def _manifest(self) -> dict:
+        names = self._manifests()
+        return self._load(names[-1]) if names else {}
+
+    def _commit(self, manifest: dict) -> None:
+        names = self._manifests()
+        number = int(names[-1].removeprefix(PREFIX)) + 1 if names else 1
+        new, final = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/{PREFIX}{number:012d}")
         out = self._fs.create(new)
-        out.write(bytearray(json.dumps(pointer).encode()))
+        out.write(bytearray(json.dumps({**manifest, "buckets": self.buckets}).encode()))
         out.close()
-        self._fs.delete(final, False)
-        self._fs.rename(new, final)
-
-    def read(self, name: str) -> DataFrame:
-        version = self._pointer().get(name)
+        if not self._fs.rename(new, final):
+            raise RuntimeError(f"{final} is there already: a second writer?")
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """Remove what only manifests before the last two name."""
+        names = self._manifests()
+        live = {(t, v) for n in names[-2:] for t in self.SCHEMAS for v in self._load(n).get(t, {}).values()}
+        for table in self.SCHEMAS:
+            for version in self._names(f"{self.root}/{table}"):
+                if (table, version) not in live:
+                    self._fs.delete(self._path(f"{self.root}/{table}/{version}"), True)
+        for n in names[:-2]:
+            self._fs.delete(self._path(f"{self.root}/{n}"), False)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table, or those of its partitions."""
+        versions = self._manifest().get(name, {})
+        paths = [f"{self.root}/{name}/{v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
         schema = self.SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def change(self, touched: DataFrame | None = None, **made: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the named tables by what the functions make of them, all at once.
 
-    def change(self, **made: Callable[[DataFrame], DataFrame]) -> None:
-        """Write new versions of the named tables, then move the pointer once for all."""
-        pointer = self._pointer()
+        With ``touched`` (a doc_id column) only the partitions of these documents are read and
+        written, and the functions must change no other document."""
+        manifest = self._manifest()
+        some = None if touched is None else {r[0] for r in touched.select(self.bucket()).distinct().collect()}  # at most ``buckets``
+        if some == set():
+            return
         for name, change in made.items():
             version = uuid.uuid4().hex
-            old = self.read(name)
-            new = change(old).select(old.columns)
-            new.write.parquet(f"{self.root}/{name}/{version}")
-            pointer[name] = version
-        self._set(pointer)
+            old = self.read(name, some)
+            new = change(old).select(old.columns).withColumn("bucket", self.bucket())
+            if some is not None:
+                new = new.where(F.col("bucket").isin(*some))
+            # rows of one partition to one task, so that a change makes few files
+            new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
+            kept = {} if some is None else {b: v for b, v in manifest.get(name, {}).items() if int(b) not in some}
+            written = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("bucket=")]
+            manifest[name] = {**kept, **{b: version for b in written}}
+        self._commit(manifest)
 
     def fingerprint(self) -> dict | None:
-        return self._pointer().get("fingerprint")
+        return self._manifest().get("fingerprint")
+
+    def record_fingerprint(self, wanted: dict) -> None:
+        self._commit({**self._manifest(), "fingerprint": wanted})
 
     def sync_fingerprint(self, wanted: dict) -> str:
-        """Wipe the chunks if the embedding changed; always record the new fingerprint."""
+        """Wipe the store if the embedding changed; always record the new fingerprint."""
         done = ops.index_change(self.fingerprint(), wanted)
+        manifest = self._manifest()
         if done in ("wipe", "recreate"):
-            self.change(chunks=lambda c: c.limit(0), documents=lambda d: d.limit(0))
-        self._set({**self._pointer(), "fingerprint": wanted})
+            manifest = {k: v for k, v in manifest.items() if k not in self.SCHEMAS}
+        self._commit({**manifest, "fingerprint": wanted})
         return done
 
     def upsert_chunks(self, new: DataFrame) -> None:
-        self.change(chunks=lambda old: ops.upsert(old, new))
+        """Of new rows of one key the one of the latest ``created_at`` stays."""
+        self.change(touched=new, chunks=lambda old: ops.upsert(old, new, order=[F.desc_nulls_last("created_at"), F.desc("id")]))
 
-    def finalise(self) -> None:
-        """Promote documents whose chunks are all stored."""
+    def finalise(self, touched: DataFrame | None = None) -> None:
+        """Promote documents (of ``touched``, or any) whose chunks are all stored."""
+        some = None if touched is None else {r[0] for r in touched.select(self.bucket()).distinct().collect()}
 
         def promote(old: DataFrame) -> DataFrame:
-            now = ops.finalise(old, self.read("chunks")).select("doc_id", "embedded_count", "status")
+            now = ops.finalise(old, self.read("chunks", some)).select("doc_id", "embedded_count", "status")
             return old.drop("embedded_count", "status").join(now.withColumn("embedded_count", now["embedded_count"].cast("int")), "doc_id", "left")
 
-        self.change(documents=promote)
+        self.change(touched=touched, documents=promote)

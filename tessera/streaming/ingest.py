@@ -12,20 +12,23 @@ from ..sources.store import CHUNKS, Store
 
 def ingest_stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, schema: str = CHUNKS) -> StreamingQuery:
     """Drain ``landing`` (Parquet) into the store. A batch that is run again after a failure
-    upserts the same keys, so nothing is counted twice; the checkpoint is the resume point."""
+    upserts the same keys, so nothing is counted twice; the checkpoint is the resume point.
+    A batch rewrites the partitions of its own documents only."""
 
     def land(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             store.upsert_chunks(batch)
-            store.finalise()
+            store.finalise(batch)
 
     source = spark.readStream.schema(schema).parquet(landing)
     return source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(chunks: DataFrame) -> DataFrame:
-    """Running count of distinct chunks per document, for a batch or a stream."""
-    return chunks.groupBy("doc_id").agg(F.approx_count_distinct("chunk_index", 0.01).alias("embedded_count"))
+    """Running count of distinct chunks per document, exactly, for a batch or a stream (where
+    the chunks seen are its state)."""
+    once = chunks.dropDuplicates(["doc_id", "chunk_index"])
+    return once.groupBy("doc_id").agg(F.count("*").alias("embedded_count"))
 
 
 def arrivals(events: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -60,14 +60,31 @@ def corpus(spark):
 def test_top_k_is_exact(spark, corpus, monkeypatch):
     df, v = corpus
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for block in (4096, 7):
-        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    for tile, cells in ((32 << 20, 4 << 20), (4 * 16 * 1024, 50)):  # the second: queries one by one
+        monkeypatch.setattr(vectors, "TILE_BYTES", tile)
+        monkeypatch.setattr(vectors, "CELLS", cells)
         q = df.where("id < 20").withColumnRenamed("id", "query_id")
         got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.vector_top_k(df, q, 3, exclude_self=True).collect()}
         sim = u[:20] @ u.T
         sim[np.arange(20), np.arange(20)] = -9
         assert got == {(i, k + 1): int(j) for i in range(20) for k, j in enumerate(np.argsort(-sim[i], kind="stable")[:3])}
-    assert vectors.vector_top_k(df, q.limit(0), 3).count() == 0
+    assert vectors.vector_top_k(df, q.limit(0), 3).count() == 0 == vectors.vector_top_k(df.limit(0), q, 3).count()
+
+
+def test_top_k_of_many_groups_and_equal_vectors(spark, monkeypatch):
+    """3,000 chunks in groups and 1,500 queries in blocks; a third of the vectors are the same."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 4)).astype(np.float32)
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(3000)] + [(5000, None)], "id long, embedding array<float>").repartition(4)
+    monkeypatch.setattr(vectors, "TILE_BYTES", 4 * 4 * 1024)
+    q = df.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.vector_top_k(df, q, 3).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = np.round(u[::2] @ u.T, 12)
+    assert got == {(2 * i, k + 1): int(j) for i in range(1500) for k, j in enumerate(np.argsort(-sim[i], kind="stable")[:3])}
+    assert got[0, 1] == 0 and got[0, 3] == 6
 
 
 def test_pruned_top_k_recall(spark, corpus):
@@ -111,7 +128,55 @@ def test_keywords(spark):
     assert ids(keywords.match_all(index, q())) == []
     top = keywords.keyword_top_k(index, q("ash"), 2).orderBy("rank").collect()
     assert [(r["id"], round(r["text_rank"], 6)) for r in top] == [(1, 0.2), (2, 0.1)]
-    assert keywords.covers([[1, 5], [2]]) == pytest.approx(0.1 + 0.1 / 3)
+
+
+def covers(groups):
+    """Minimal covers by their definition: spans with all terms and none of them within another."""
+    events = sorted((p, g) for g, positions in enumerate(groups) for p in positions)
+    spans = []
+    for i in range(len(events)):
+        for j in range(i, len(events)):
+            if {g for _, g in events[i : j + 1]} == set(range(len(groups))):
+                spans.append((i, j))
+                break
+    least = [s for s in spans if not any(t != s and t[0] >= s[0] and t[1] <= s[1] for t in spans)]
+    return sum(0.1 / (1 + events[j][0] - events[i][0] + 1 - (j - i + 1)) for i, j in least)
+
+
+def test_cover_density_by_definition(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(150):
+        places = rng.permutation(np.arange(1, 40))[: rng.integers(4, 25)].tolist()
+        terms = 1 + n % 4
+        own = [sorted(places[k::terms]) for k in range(terms)]
+        rows.append((n, 0, [(f"t{k}", len(p), p) for k, p in enumerate(own)]))
+    df = spark.createDataFrame(rows, "query_id long, id long, matched array<struct<term:string,tf:long,positions:array<int>>>")
+    got = {r["query_id"]: r["text_rank"] for r in keywords.cover_density(df).collect()}
+    for n, _, matched in rows:
+        assert got[n] == pytest.approx(covers([p for *_, p in matched])), matched
+
+
+def test_postings_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (1, "a"), (None, "Z z")], "id long, text string")
+    index = keywords.postings(docs)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["id"], r["term"], r["tf"], list(r["positions"])) for r in index.collect()), key=repr)
+    assert got == sorted([(1, "a", 1, [1]), (1, "a", 1, [2]), (1, "b", 2, [1, 3]), (None, "z", 2, [1, 2])], key=repr)
+
+
+def test_web_style_queries(spark):
+    docs = {1: "Fly ash in cement. Ash!", 2: "cement and fly-ash", 3: "ash fly", 4: None, 5: "sand or stone", 6: "fly sand ash"}
+    index = keywords.postings(spark.createDataFrame(list(docs.items()), "id long, text string"))
+    asked = {
+        "fly ash": [1, 2, 3, 6], '"fly ash"': [1, 2], "fly-ash": [1, 2], '"fly ash" -and': [1], "sand or cement": [1, 2, 5, 6], "sand OR fly cement": [1, 2, 5, 6],
+        'ash -"fly ash"': [3, 6], "-ash": [5], "-ash or -cement": [3, 5, 6], "": [], None: [], "...": [], '"fly ash': [1, 2], "nowhere or stone": [5], "nowhere sand": [], '-"sand or" stone': [], '"a-b" or "ash fly"': [3],
+    }
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {}
+    for r in keywords.match_websearch(index, q).collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert {t: sorted(got.get(i, [])) for i, t in enumerate(asked)} == asked
 
 
 def test_fusion(spark):
@@ -207,6 +272,102 @@ def test_store_stream_and_snapshot(spark, tmp_path):
     assert kept.read("chunks").count() == 0
 
 
+def test_readers_see_the_store_before_or_after_a_change(spark, tmp_path, monkeypatch):
+    kept = Store(spark, str(tmp_path / "s"), buckets=4)
+    kept.change(documents=lambda _: doc_rows(spark), chunks=lambda _: chunk_rows(spark, 6))
+    commit, seen = Store._commit, []
+
+    def look(self, manifest):  # both tables are written, the manifest is not
+        other = Store(spark, str(tmp_path / "s"))
+        seen.append((other.read("chunks").count(), other.read("documents").count()))
+        commit(self, manifest)
+
+    monkeypatch.setattr(Store, "_commit", look)
+    kept.change(chunks=lambda c: c.where("id < 2"), documents=lambda d: d.limit(1))
+    assert seen == [(6, 2)] and kept.read("chunks").count() == 2 and kept.read("documents").count() == 1
+
+    def stop(self, manifest):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(Store, "_commit", stop)
+    with pytest.raises(RuntimeError, match="stopped"):
+        kept.change(chunks=lambda c: c.limit(0))
+    assert Store(spark, str(tmp_path / "s")).read("chunks").count() == 2
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    kept = Store(spark, str(tmp_path / "s"), buckets=8)
+    rows = [(i, f"d{i}", "T", 1, 1, None, 0, "old", [1.0], dt.datetime(2024, 1, 1)) for i in range(60)]
+    kept.change(chunks=lambda _: spark.createDataFrame(rows, CHUNKS))
+    before = kept._manifest()["chunks"]
+    new = spark.createDataFrame([(100, "d7", "T", 1, 1, None, 0, "new", [1.0], dt.datetime(2024, 1, 2)), (101, "d7", "T", 1, 1, None, 0, "newer", [1.0], dt.datetime(2024, 1, 3))], CHUNKS)
+    kept.upsert_chunks(new)
+    after = kept._manifest()["chunks"]
+    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
+    got = {r["doc_id"]: r["content"] for r in kept.read("chunks").collect()}
+    assert len(got) == 60 == kept.read("chunks").count() and got["d7"] == "newer" and got["d8"] == "old"
+    for n in range(4):
+        kept.upsert_chunks(new.limit(1))
+    assert len(kept._names(str(tmp_path / "s" / "chunks"))) <= 3 and len(kept._manifests()) == 2
+    kept.upsert_chunks(new.limit(0))
+    assert kept.read("chunks").count() == 60
+
+
+def test_pending_documents(spark):
+    assert [tuple(r) for r in store.pending(doc_rows(spark).unionAll(doc_rows(spark).withColumn("status", F.lit("ready")))).collect()] == [("d0", "d0.pdf", 3, 0), ("d1", "d1.pdf", 3, 0)]
+
+
+def test_one_file_bundles(spark, tmp_path):
+    """A bundle as other programs write it, made here by hand; and what is refused."""
+    import gzip
+    import hashlib
+    import json
+
+    docs = [{"doc_id": f"d{i}", "doc_title": f"T{i}", "source_file": f"d{i}.pdf", "page_count": 2, "chunk_count": 2, "is_scanned": False, "status": "ready", "embedded_count": 2, "pdf": {"bytes": 5, "sha256": "ab"}} for i in range(2)]
+    chunks = [{"doc_id": f"d{i % 2}", "doc_title": f"T{i % 2}", "page_from": 1, "page_to": 1, "clause": None, "chunk_index": i // 2, "content": f"text {i}\n", "embedding": "[0.6,0.8]"} for i in range(4)]
+    folder = tmp_path / "b"
+    folder.mkdir()
+
+    def bundle(lines, name="of another program", **over):
+        sums = {}
+        for file, body in lines.items():
+            (folder / file).write_bytes(raw := gzip.compress(body.encode(), 9))
+            sums[file] = {"bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest()}
+        manifest = {"format": name, "formatVersion": 1, "createdAt": "2026-09-27T11:53:19.000Z", "embed": {**EMBED, "prefixTitle": False}, "corpus": {"docCount": 2, "chunkCount": 4, "pageCount": 4}, "files": sums}
+        (folder / "manifest.json").write_text(json.dumps({**manifest, **over}))
+
+    text = lambda rows: "\n".join(map(json.dumps, rows)) + "\n\n"
+    good = {"documents.jsonl.gz": text(docs), "chunks.jsonl.gz": text(chunks)}
+    bundle(good)
+    kept = Store(spark, str(tmp_path / "s"))
+    assert ingest.import_bundle(spark, str(folder), kept, EMBED, format_name="of another program").count() == 0
+    assert kept.read("chunks").count() == 4 and kept.fingerprint() == EMBED and kept.read("documents").where("status = 'ready'").count() == 2
+    with pytest.raises(snapshot.SnapshotError, match="format is"):
+        snapshot.read_bundle(spark, str(folder), EMBED)
+    bundle({**good, "chunks.jsonl.gz": text(chunks[:1]) + "{broken\n"})
+    with pytest.raises(snapshot.SnapshotError, match="chunks.jsonl.gz line 3 "):
+        snapshot.read_bundle(spark, str(folder), EMBED, format_name="of another program")
+    bundle({**good, "chunks.jsonl.gz": text(chunks[:3])})
+    with pytest.raises(snapshot.SnapshotError, match="differs from the manifest"):  # and nothing is wiped for it
+        ingest.import_bundle(spark, str(folder), kept, EMBED, replace=True, format_name="of another program")
+    assert kept.read("chunks").count() == 4
+    pdfs = spark.createDataFrame([("d1.pdf", 9, "cd")], "source_file string, bytes long, sha256 string")
+    made = snapshot.export_store(kept, str(tmp_path / "out"), EMBED, one_file=True, pdfs=pdfs)
+    from pathlib import Path
+
+    manifest = json.loads(Path(made, "manifest.json").read_text())
+    raw = Path(made, "chunks.jsonl.gz").read_bytes()
+    assert manifest["files"]["chunks.jsonl.gz"] == {"bytes": len(raw), "sha256": hashlib.sha256(raw).hexdigest()}
+    assert [(d["docId"], d["pdfBytes"], d["pdfSha256"]) for d in manifest["documents"]] == [("d0", None, None), ("d1", 9, "cd")]
+    assert [json.loads(x)["content"] for x in gzip.decompress(raw).decode().splitlines()] == ["text 0\n", "text 2\n", "text 1\n", "text 3\n"]
+    _, back, _ = snapshot.read_bundle(spark, made, EMBED)
+    assert back.count() == 4
+    with pytest.raises(snapshot.SnapshotError, match="configuration"):
+        snapshot.export_store(kept, str(tmp_path / "out"), {**EMBED, "model": "x"})
+    with pytest.raises(snapshot.SnapshotError, match="does not say"):
+        snapshot.export_store(Store(spark, str(tmp_path / "none")), str(tmp_path / "out"), EMBED)
+
+
 def test_pdf_sources(spark, tmp_path):
     for name in ("b.PDF", "a.pdf", "ListOfProducts.pdf", "x.txt"):
         (tmp_path / name).write_bytes(f"{name} one\fpage two".encode())
