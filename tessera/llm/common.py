@@ -1,61 +1,20 @@
-"""Shared helpers of the corpus operators: table access, work folders, Arrow batches."""
+"""Shared helpers of the corpus operators: table access, Arrow batches, joins of hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialise, shared_folder, text_batches
 
-#: Rows and bytes of an Arrow batch where rows carry whole texts or shards of them; they bound
-#: what a Python worker, and the JVM's buffers beside it, hold at once.
-TEXT_ROWS_PER_BATCH = 512
-TEXT_BYTES_PER_BATCH = 4 << 20
-BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+__all__ = ["MOST_HOT", "ascii_lower", "id_text", "materialise", "record_batch", "shared_folder", "split_join", "table", "text_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI under the cluster's shared ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests) a temporary folder is set once for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/tessera-{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    uri = fs.makeQualified(path).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Ready the session for Python tasks over whole texts: the package on the executors,
-    small Arrow batches (a batch is a number of rows, and rows can be long)."""
-    ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    if spark.conf.get(BYTES_SETTING, None) is None:
-        spark.conf.set(BYTES_SETTING, str(TEXT_BYTES_PER_BATCH))
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the text operators read; a null text is the empty text."""
     text_batches(df.sparkSession)

@@ -68,7 +68,7 @@ def met_runs(firsts: DataFrame, keep: str) -> DataFrame:
     return rows.select(*RUN, F.first("id").over(group.orderBy(*best)).alias("keep_id"), F.sum("n").over(group).alias("group_size"), F.col("new").alias("winner"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", least: int = 2000) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", least: int = 256) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z; null is the empty text. Of a group
@@ -87,7 +87,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cold.unionAll(hot).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", least: int = 2000) -> DataFrame:
+def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", least: int = 256) -> DataFrame:
     """The rows of ``df`` that stay, with its columns as they were: one of each group, by the
     same rules as ``exact_groups`` (null and empty texts are one group, rows that repeat an id
     or have none are told apart, an empty table gives no rows)."""

@@ -21,11 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, record_batch, text_batches
+from .common import id_text, materialise, record_batch, text_batches
 from .tokens import LIMIT, word_pattern
 
 def byte_symbols() -> list[str]:
@@ -229,8 +228,7 @@ def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str
 
     text_batches(df.sparkSession)
     texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total.persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is counted again
+    total = materialise(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     room, least = max_words, None
     for r in total.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(max_words).collect():
         room -= r["words"]
@@ -238,7 +236,6 @@ def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str
             break
         least = r["n"]
     words = [] if least is None else [r["word"] for r in total.where(F.col("n") >= least).select("word").collect()]
-    total.unpersist()
     return words
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, record_batch, work_dir
+from .common import id_text, materialise, record_batch, shared_folder
 from .tokens import encoder
 
 MAGIC = b"TESSTOK1"
@@ -125,8 +125,8 @@ def write_token_files(df: DataFrame, out_dir: str, tokenizer: str, end_id: int |
     """Encode every text and write the token-id files; returns the manifest (one row a file).
 
     Documents are dealt by ranges of their id (Spark samples the split points) and sorted,
-    so files hold ascending ids, null ids first; rows that share an id lie side by side in
-    text order. A null or empty text is just ``end_id``. An empty table writes no file. Files
+    so files hold ascending ids, null ids first; rows that share an id lie side by side, by
+    the heads of their texts, and very many of them in several files. A null or empty text is just ``end_id``. An empty table writes no file. Files
     get their final name by a rename, so a lost executor leaves no partial file, and only
     those in the manifest count.
     """
@@ -168,7 +168,9 @@ def write_token_files(df: DataFrame, out_dir: str, tokenizer: str, end_id: int |
         if docs:
             yield flush()
 
-    dealt = id_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without one, may be a third of all: their places deal them further
+    rows = id_text(df, id_col, text_col).withColumns({"head": F.substring("text", 1, 16), "place": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("doc_id", "head", "place").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return materialise(dealt.mapInArrow(write, "file string, first_id long, n_docs long, n_tokens long"), "token-manifest")
 
 
@@ -198,7 +200,7 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) ->
 def token_files(df: DataFrame, tokenizer: str, end_id: int | None = 2, out_dir: str | None = None, **options) -> DataFrame:
     """Write the files, read them back, return one row per document."""
     spark = df.sparkSession
-    out_dir = out_dir or work_dir(spark, "token-files")
+    out_dir = out_dir or shared_folder(spark, "token-files")
     manifest = write_token_files(df, out_dir, tokenizer, end_id, **options)
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, file string, index long")
