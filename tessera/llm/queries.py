@@ -56,4 +56,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii)
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}

@@ -40,8 +40,8 @@ from .common import id_text, materialise, record_batch, split_join
 
 GRAM = 24
 NO_ID = 2**63 - 1  # a null id comes after every other
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 2 << 20  # of what is sorted at once where shards meet
+SHARD_BYTES = 2 << 20  # a suffix array takes some 60 times that while it is refined
+BLOCK_BYTES = 1 << 20  # of what is sorted at once where shards meet
 HOT_SHARDS = 1 << 16  # an anchor of more shards is dealt by its windows
 MOST_BUCKETS = 100_000
 
@@ -70,11 +70,13 @@ def suffix_array(k8: np.ndarray, depth: int, known: int) -> tuple[np.ndarray, np
     while h < depth:
         if h == known:
             heads = head.copy()
-        at = np.flatnonzero(~(head[:n] & head[1:]))  # places in groups of two and more
+        at = np.flatnonzero(~(head[:n] & head[1:])).astype(np.int32)  # places in groups of two and more
         if not len(at):
             break
         suffix = order[at]
-        key = (rank[suffix].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(suffix + h, n)]
+        key = rank[suffix].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= rank[np.minimum(suffix + h, n)]
         by = np.argsort(key, kind="quicksort")
         suffix, key = suffix[by], key[by]
         order[at] = suffix
@@ -116,8 +118,9 @@ def common_prefixes(k8: np.ndarray, order: np.ndarray, head: np.ndarray, depth:
 
 def windows_of(ends: np.ndarray, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Document index of each byte, and whether a whole window starts there."""
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.concatenate([[0], ends])))
-    return doc, np.arange(n) + length <= ends[doc]
+    ends = ends.astype(np.int32)
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=np.int32(0)))
+    return doc, np.arange(length, n + length, dtype=np.int32) <= ends[doc]
 
 
 class Windows:
@@ -196,10 +199,25 @@ def least_ids(k8: np.ndarray, blocks: list[Windows], length: int) -> list[np.nda
 
 def local_repeats(k8: np.ndarray, doc: np.ndarray, whole: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """Window starts whose bytes also start in a document of the shard with a smaller id."""
-    w = Windows(k8, 0, doc, whole, ids, length)
-    bad = np.zeros(len(doc), bool)
-    at = np.flatnonzero(w.number >= 0)
-    bad[at] = w.least[w.number[at]] < ids[doc[at]]
+    n = len(k8)
+    bad = np.zeros(n, bool)
+    depth = 8
+    while depth * 2 <= length:
+        depth *= 2
+    order, head = suffix_array(k8, length, depth)
+    places, shared = common_prefixes(k8, order, head, depth, length)
+    joined = places[shared >= length]
+    if not len(joined):
+        return bad
+    linked, member = np.zeros(n, bool), np.zeros(n, bool)
+    linked[joined] = True
+    member[joined] = member[joined - 1] = True
+    at = np.flatnonzero(member)  # places in groups of equal windows; single ones need no look
+    first = ~linked[at]
+    suffix = order[at]
+    owner = np.where(whole[suffix], ids[doc[suffix]], NO_ID)
+    least = np.minimum.reduceat(owner, np.flatnonzero(first))[np.cumsum(first) - 1]
+    bad[suffix[whole[suffix] & (least < owner)]] = True
     return bad
 
 
@@ -614,3 +632,20 @@ def remove_repeats(
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     return out if with_values else out.drop("spans", "kept")
+
+
+#: Every string of 50 bytes (as 100 hex digits, cut from blocks of 1,000 bytes with their overlap)
+#: with the smallest document that it starts in; runs of covered bytes; what lies between them.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, block, substring(h, 2 * block + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS block FROM d)),
+w AS (SELECT doc_id, block + i AS pos, substring(h, 2 * i + 1, 100) AS win FROM (SELECT doc_id, block, h, unnest(range(0, least(1000, len(h) // 2 - 49))) AS i FROM b)),
+m AS (SELECT doc_id, pos, doc_id > min(doc_id) OVER (PARTITION BY win) AS bad FROM w),
+g AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM m WHERE bad),
+s AS (SELECT doc_id, pos, sum(CASE WHEN prior IS NULL OR pos > prior + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM g),
+r AS (SELECT doc_id, nth, min(pos) AS a, max(pos) + 50 AS z FROM s GROUP BY ALL),
+k AS (SELECT doc_id, a AS upto, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d)),
+t AS (SELECT doc_id, coalesce(string_agg(substring(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since), '') AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(len(h) // 2 - len(kept) // 2 AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id) USING (doc_id)
+"""

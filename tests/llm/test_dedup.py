@@ -1,6 +1,7 @@
 """Exact, substring and SimHash deduplication against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -293,3 +294,19 @@ def test_long_paths_connect(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 999), (5000, 5000)], "u long, v long")
     got = dict(map(tuple, simhash.connected(links).collect()))
     assert got == {**{i: 0 for i in range(1, 301)}, 1000: 999}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    con, data = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = con.sql(sql)
+        got = queries.QUERIES[name](spark, data)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert seen(got.select(*want.columns)) == sorted(want.fetchall(), key=repr), name
