@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import patterns as P
 from ..operators.keywords import tokens
 
 #: Bands for random 64-dimensional vectors, whose neighbours are far.
@@ -47,8 +50,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of a source as the pages of a document."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+    """The texts of a source as the pages of documents, some twenty each at any scale."""
+    doc = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 400).cast("string"))
+    return table(spark, sf_dir, "documents").select(doc.alias("doc_id"), F.col("doc_id").cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def term_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -57,6 +61,18 @@ def term_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return d.select(F.col("doc_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("terms"))
 
 
+def re2(pattern: str) -> str:
+    """A fixed pattern as DuckDB's engine reads it, for SQL: its word boundary, its escapes."""
+    border = f"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    for was in (border, border[3:-1], P.W0, P.W1):
+        pattern = pattern.replace(was, r"\b")
+    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+def sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 TOK = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 SQL_DOCUMENTS = """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.source AS doc_title, d.source || '.pdf' AS source_file,
  CAST(ceil(n_chars / 1000.0) AS INTEGER) AS page_count, CAST(ceil(n_chars / 1200.0) AS INTEGER) AS chunk_count, n_chars < 80 AS is_scanned,

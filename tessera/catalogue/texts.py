@@ -10,7 +10,7 @@ from ..functions import patterns as P
 from ..operators import chunking, keywords, pages
 from ..plans import answer as answering
 from ..plans.retrieval import fit_passages
-from .carriers import BANDS, chunks, table
+from .carriers import BANDS, chunks, re2, sql_list, table
 from .carriers import pages as page_rows
 
 
@@ -23,8 +23,9 @@ def _lines(spark, d):
 def _words(spark, d):
     """Identifier-like texts from orders."""
     o = table(spark, d, "orders")
-    q = F.concat(F.lit("Rated per IS "), F.col("o_orderkey").cast("string"), F.lit(" and SP: "), F.col("o_custkey").cast("string"), F.lit(" at "), F.col("o_orderdate").cast("date").cast("string"), F.lit(", "), (F.col("o_orderkey") % 90).cast("string"), F.lit(" mm, kya hai"))
-    return o.select("o_orderkey", q.alias("q"))
+    words = F.array(*map(F.lit, P.ROMANISED))
+    q = F.concat(F.lit("Rated per IS "), F.col("o_orderkey").cast("string"), F.lit(" and SP: "), F.col("o_custkey").cast("string"), F.lit(" at "), F.col("o_orderdate").cast("date").cast("string"), F.lit(", "), (F.col("o_orderkey") % 90).cast("string"), F.lit(" mm, "), F.element_at(words, (F.col("o_orderkey") % len(P.ROMANISED) + 1).cast("int")), F.lit(" Hai"))
+    return o.select("o_orderkey", "o_custkey", q.alias("q"))
 
 
 def normalise_ws(spark, d):
@@ -62,20 +63,23 @@ def scan_detect(spark, d):
 def script_detect(spark, d):
     c = table(spark, d, "conversations")
     native = F.when(F.col("turn") % 4 == 1, "सीमेंट ").when(F.col("turn") % 4 == 2, "ਸੀਮਿੰਟ ").when(F.col("turn") % 4 == 3, "సిమెంట్ ").otherwise("")
-    mixed = F.concat(F.repeat(native, 10), F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    mixed = F.concat(F.repeat(native, 10), F.coalesce("text", F.lit("")))
     return c.select("conv_id", "turn", language.detect_script(mixed).alias("script"), F.round(language.native_share(mixed), 6).alias("share"))
 
 
 def chitchat(spark, d):
     c = table(spark, d, "conversations")
-    greeting = F.element_at(F.array(*map(F.lit, ["Hello!", "thank you", "what is it", "HELP...", "good  morning", "fine"])), (F.col("conv_id") % 6 + 1).cast("int"))
-    q = F.when(F.col("turn") % 2 == 0, greeting).otherwise(F.substring("text", 1, 30))
+    words = F.array(*map(F.lit, [*P.CHITCHAT, "what is it", "fine"]))
+    word = F.element_at(words, (F.col("conv_id") % (len(P.CHITCHAT) + 2) + 1).cast("int"))
+    greeting = F.when(F.col("turn") % 4 == 0, F.concat(F.upper(word), F.lit("!!"))).otherwise(F.replace(word, F.lit(" "), F.lit("  ")))
+    q = F.when(F.col("turn") % 2 == 0, greeting).otherwise(F.col("text"))
     return c.select("conv_id", "turn", language.is_chitchat(q).alias("is_chitchat"))
 
 
 def lookup_fragment(spark, d):
     c = table(spark, d, "conversations")
     q = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, (F.col("turn") % 6 + 1).cast("int")), " ")
+    q = F.when(F.col("conv_id") % 7 == 0, F.coalesce("text", F.lit(""))).otherwise(q)
     q = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("what "), q)).when(F.col("conv_id") % 5 == 1, F.concat(q, F.lit("?"))).otherwise(q)
     return c.select("conv_id", "turn", language.is_lookup_fragment(q).alias("is_lookup"))
 
@@ -95,13 +99,18 @@ def romanised(spark, d):
 
 def validate_english(spark, d):
     w = _words(spark, d)
-    out = F.when(F.col("o_orderkey") % 4 == 0, F.col("q")).when(F.col("o_orderkey") % 4 == 1, "").when(F.col("o_orderkey") % 4 == 2, "12 34").otherwise(F.replace("q", F.lit("kya hai"), F.lit("what")))
+    turn = F.col("o_custkey") % 7
+    out = (
+        F.when(turn == 0, F.col("q")).when(turn == 1, "").when(turn == 2, "12 34").when(turn == 3, "सीमेंट").when(turn == 4, F.concat(F.lit("  "), F.col("q"), F.lit(" ")))
+        .when(turn == 5, F.replace("q", F.lit("SP: "), F.lit("sp no "))).otherwise(F.regexp_replace("q", " mm, .*", " mm thick"))
+    )
     v = language.validate_english(out, "q")
     return w.select("o_orderkey", v["status"].alias("status"), v["reason"].alias("reason"))
 
 
 def latin_fallback(spark, d):
-    w = _words(spark, d).withColumn("q", F.concat(F.lit("सीमेंट IS "), "o_orderkey", F.lit(" — fly ash")))
+    native = F.concat(F.lit("सीमेंट is : "), "o_orderkey", F.lit(" — fly Ash, FLY ash"))
+    w = _words(spark, d).withColumn("q", F.when(F.col("o_custkey") % 3 == 0, native).otherwise(F.concat(F.lit("सीमेंट "), "q")))
     return w.select("o_orderkey", language.latin_fallback("q").alias("fallback"))
 
 
@@ -115,7 +124,10 @@ def substantive_answer(spark, d):
     c = table(spark, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = c.withColumn("evidence", before).where("role = 'assistant'")
-    return rows.select("conv_id", "turn", answers.is_substantive(F.substring("text", 1, 20), "evidence").alias("substantive"))
+    # whole answers, and short ones: the evidence's first word, or a number
+    short = F.when(F.col("conv_id") % 3 == 1, F.concat(F.lit("It is "), F.element_at(F.split(F.coalesce("evidence", F.lit("")), " "), 1))).when(F.col("conv_id") % 3 == 2, F.concat(F.lit("Only "), F.col("turn").cast("string")))
+    said = F.when(F.col("turn") % 4 == 3, short).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", answers.is_substantive(F.coalesce(said, "text"), "evidence").alias("substantive"))
 
 
 def token_budget_prefix(spark, d):
@@ -149,10 +161,15 @@ def rendered_body(spark, d):
     return c.select("conv_id", "turn", html.render_body(html.model_text(F.coalesce("text", F.lit("")))).alias("body"))
 
 
+SAID = ("Rate limit, too many requests", "free-models-per-day", "Insufficient credits", "input has 3000 tokens, exceeding the model maximum of 2048", "limit: 20, model: m1", "daily reset; rate limit", "overloaded", "no such thing")
+CODES = (429, 402, 400, 500, 404)
+
+
 def error_classes(spark, d):
     e = table(spark, d, "events")
-    said = F.element_at(F.array(*map(F.lit, ["Rate limit, too many requests", "free-models-per-day", "insufficient credits", "input has 3000 tokens, exceeding the model maximum of 2048", "limit: 20, model: m1"])), (F.col("event_id") % 5 + 1).cast("int"))
-    code = F.element_at(F.array(*map(F.lit, [429, 429, 402, 400, 500])), (F.col("event_id") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("user_id") % len(SAID) + 1).cast("int"))
+    said = F.concat(said, F.lit(" ("), F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"), F.lit(")"))
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("event_id") % len(CODES) + 1).cast("int"))
     rows = e.select("event_id", code.alias("status"), said.alias("message"), F.lit("").alias("body"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("limit_source"), F.lit(None).cast("boolean").alias("daily_quota"))
     got = models.classify_errors(rows)
     return got.select("event_id", "is_daily_cap", "is_out_of_credit", "is_transient_limit", "stated_limit", "input_tokens", "input_max", "fallback_worthy")
@@ -164,7 +181,12 @@ def chunk_documents(spark, d):
 
 
 def document_titles(spark, d):
-    return pages.document_titles(page_rows(spark, d).withColumn("source_file", F.concat(F.lit("is-"), F.col("doc_id"), F.lit("-2016.pdf"))))
+    """Pages of which some begin with a code, some with a block of capitals."""
+    p, n = page_rows(spark, d), F.col("page_number")
+    doc = F.char_length("doc_id") + F.element_at(F.split("doc_id", "-"), -1).cast("long")
+    head = F.when((doc % 3 == 0) & (n % 3 == 0), F.concat(F.lit("as per IS  "), (n % 900 + 100).cast("string"), F.lit(" (Part 2) : 2001 and\n"))).when((doc % 3 == 1) & (n % 4 == 0), F.concat(F.lit("SP 2"), (n % 10).cast("string"), F.lit("\nPRICE GROUP\nMETHODS OF TEST\n\n  FOR AAC AND B"), n.cast("string"), F.lit(" CEMENT-BASED UNITS\n"))).otherwise("")
+    name = F.concat(F.lit("d/is_"), (doc % 9000 + 10).cast("string"), F.when(doc % 2 == 0, "-part 3").otherwise(""), F.lit("-2016-"), F.col("doc_id"), F.lit(".pdf"))
+    return pages.document_titles(p.withColumn("text", F.concat(head, "text")).withColumn("source_file", name))
 
 
 def answer_pipeline(spark, d):
@@ -186,12 +208,17 @@ LINES = "lines AS (SELECT doc_id, CAST(n - 1 AS INTEGER) AS nth, line FROM (SELE
 NON = r"'[\d\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}.,:;()\[\]{}/\\%+\-\x{2013}\x{2014}\x{20B9}$\x{20AC}\x{A3}\x{A5}*#&@!?=]'"
 DENSITY = rf"length(regexp_replace(regexp_replace(line, {NON}, '', 'g'), '\P{{L}}', '', 'g')) / greatest(length(regexp_replace(line, {NON}, '', 'g')), 1)::DOUBLE"
 DIGITS = r"length(array_to_string(regexp_extract_all(line, '\d+(?:[.,]\d+)*'), '')) / greatest(length(line), 1)::DOUBLE"
-Q = "w AS (SELECT o_orderkey, 'Rated per IS ' || o_orderkey || ' and SP: ' || o_custkey || ' at ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ', ' || (o_orderkey % 90) || ' mm, kya hai' AS q FROM orders)"
-ANCHOR_SQL = r"list_concat(list_concat(regexp_extract_all({q}, '(?i)\bIS\s*:?\s*\d{{1,6}}'), regexp_extract_all({q}, '(?i)\bSP\s*:?\s*\d{{1,6}}')), regexp_extract_all({q}, '(?i)\b\d+(?:\.\d+)?\s*(?:MPa|N/mm2|mg/l|mg/kg|%|g/l|µm|mm|cm|kg)\b'))"
+Q = f"w AS (SELECT o_orderkey, o_custkey, 'Rated per IS ' || o_orderkey || ' and SP: ' || o_custkey || ' at ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ', ' || (o_orderkey % 90) || ' mm, ' || [{sql_list(P.ROMANISED)}][o_orderkey % {len(P.ROMANISED)} + 1] || ' Hai' AS q FROM orders)"
+first_of = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"  # noqa: E731  each once, in order
+ANCHOR_SQL = "list_transform(" + "list_concat(list_concat({}, {}), {})".format(*[f"regexp_extract_all({{q}}, '{re2(p).replace('{', '{{').replace('}', '}}')}')" for p in P.ANCHORS]) + ", lambda v: lower(v))"
+ROMAN_SQL = f"list_transform(regexp_extract_all({{q}}, '(?i)\\b(?:{'|'.join(P.ROMANISED)})\\b'), lambda v: lower(v))"
+SHARE_SQL = r"length(regexp_replace(left({q}, 400), '[\x{{00}}-\x{{FF}}]', '', 'g')) / greatest(length(left({q}, 400)), 1)::DOUBLE"
 HEAD = "h AS (SELECT o_orderkey, ['Annex ', 'Table ', '', 'see ', 'APPENDIX '][o_orderkey % 5 + 1] || (o_custkey % 40) || CASE WHEN o_orderkey % 2 = 0 THEN '.' ELSE ' ' END || ' ' || o_orderpriority || ' conditions' AS t FROM orders)"
-PAGES = "pg AS (SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page_number, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)"
+PAGES = "pg AS (SELECT source || '-' || (doc_id // 400) AS doc_id, CAST(doc_id AS INTEGER) AS page_number, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)"
 EDGES = f"{PAGES}, ed AS (SELECT doc_id, unnest(list_concat(list_slice(ls, 1, 2), CASE WHEN len(ls) >= 2 THEN list_slice(ls, len(ls) - 1, len(ls)) ELSE ls END)) AS line FROM pg), el AS (SELECT doc_id, line, count(*) AS n FROM ed WHERE length(line) BETWEEN 1 AND 119 GROUP BY 1, 2)"
 
+any_word = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
+
 SQL = {
     "normalise_ws": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t\x{A0}]+', ' ', 'g') AS s FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM t""",
@@ -206,22 +233,32 @@ SELECT o_orderkey, kind, CASE kind WHEN 'clause' THEN regexp_extract(t, p, 2) EL
 r AS (SELECT doc_id, page_number, regexp_replace(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '(?i)^(page\s+)?\d+(\s+of\s+\d+)?$') AND NOT (length(x) < 80 AND regexp_matches(x, '\bIS\s*\d{{2,5}}\s*(?:\([^)]*\))?\s*(?::|\b)\s*\d{{4}}\b')) AND NOT list_contains(coalesce(heads, []), x)), chr(10)), '^\s+|\s+$', '', 'g') AS t FROM pg LEFT JOIN hd USING (doc_id))
 SELECT doc_id, page_number, sha256(t) AS sha256, CAST(length(t) AS INTEGER) AS n_chars FROM r""",
     "scan_detect": f"WITH {PAGES} SELECT doc_id, count(*) AS total_pages, CAST(sum(length(text)) AS BIGINT) AS total_chars, count(*) FILTER (length(text) < 80) AS sparse_pages, count(*) FILTER (length(text) < 80) / count(*) > 0.5 AS is_scanned FROM pg GROUP BY 1",
-    "script_detect": r"""WITH m AS (SELECT conv_id, turn, left(repeat(CASE turn % 4 WHEN 1 THEN 'सीमेंट ' WHEN 2 THEN 'ਸੀਮਿੰਟ ' WHEN 3 THEN 'సిమెంట్ ' ELSE '' END, 10) || left(coalesce(text, ''), 200), 400) AS s FROM conversations),
+    "script_detect": r"""WITH m AS (SELECT conv_id, turn, left(repeat(CASE turn % 4 WHEN 1 THEN 'सीमेंट ' WHEN 2 THEN 'ਸੀਮਿੰਟ ' WHEN 3 THEN 'సిమెంట్ ' ELSE '' END, 10) || coalesce(text, ''), 400) AS s FROM conversations),
 n AS (SELECT *, length(regexp_replace(s, '[\x{00}-\x{FF}]', '', 'g')) / greatest(length(s), 1)::DOUBLE AS share, length(regexp_replace(s, '[^\x{0900}-\x{097F}]', '', 'g')) AS hi, length(regexp_replace(s, '[^\x{0A00}-\x{0A7F}]', '', 'g')) AS pa, length(regexp_replace(s, '[^\x{0C00}-\x{0C7F}]', '', 'g')) AS te FROM m)
 SELECT conv_id, turn, CASE WHEN share <= 0.15 OR greatest(hi, pa, te) < 2 THEN 'latin' WHEN hi >= pa AND hi >= te THEN 'hi' WHEN pa >= te THEN 'pa' ELSE 'te' END AS script, round(share, 6) AS share FROM n""",
-    "chitchat": r"""WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ['Hello!', 'thank you', 'what is it', 'HELP...', 'good  morning', 'fine'][conv_id % 6 + 1] ELSE left(coalesce(text, ''), 30) END AS q FROM conversations),
-n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(q), '[^\p{L}\p{M}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM q)
-SELECT conv_id, turn, length(s) BETWEEN 1 AND 24 AND s IN ('hello', 'thank you', 'help', 'good morning', 'hi', 'ok', 'test', 'yo', 'k', 'bye') AS is_chitchat FROM n""",
-    "lookup_fragment": r"""WITH a AS (SELECT conv_id, turn, array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, turn % 6 + 1), ' ') AS q FROM conversations),
+    "chitchat": rf"""WITH g AS (SELECT *, [{sql_list([*P.CHITCHAT, "what is it", "fine"])}][conv_id % {len(P.CHITCHAT) + 2} + 1] AS word FROM conversations),
+q AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN upper(word) || '!!' WHEN turn % 2 = 0 THEN replace(word, ' ', '  ') ELSE coalesce(text, '') END AS q FROM g),
+n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(q), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM q)
+SELECT conv_id, turn, length(s) BETWEEN 1 AND {P.CHITCHAT_CHARS} AND s IN ({sql_list(P.CHITCHAT)}) AS is_chitchat FROM n""",
+    "lookup_fragment": r"""WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN coalesce(text, '') ELSE array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, turn % 6 + 1), ' ') END AS q FROM conversations),
 b AS (SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 5 = 0 THEN 'what ' || q WHEN conv_id % 5 = 1 THEN q || '?' ELSE q END, '^\s+|\s+$', '', 'g') AS q FROM a),
 c AS (SELECT *, len(list_filter(string_split_regex(q, '\s+'), lambda x: x <> '')) AS n FROM b)
-SELECT conv_id, turn, CASE WHEN q = '' THEN FALSE WHEN regexp_matches(q, '(?i)^is\s*:?\s*\d') THEN TRUE WHEN regexp_matches(q, '(?i)^(what|which|who|whom|whose|when|where|why|how|is|are|was|were|do|does|did|can|could|should|would|will|shall|tell|explain|describe|define|list|give|show|find|search|summar|summari|write|provide|need|want)\b') THEN FALSE
+SELECT conv_id, turn, CASE WHEN q = '' THEN FALSE WHEN regexp_matches(q, '(?i)^is\s*:?\s*\d') THEN TRUE WHEN regexp_matches(q, '(?i)^(""" + "|".join(P.REQUEST_VERBS) + r""")\b') THEN FALSE
  WHEN n > 4 OR (contains(q, '?') AND n > 1) THEN FALSE ELSE TRUE END AS is_lookup FROM c""",
-    "anchors": f"WITH {Q} SELECT o_orderkey, array_to_string(list_transform({ANCHOR_SQL.format(q='q')}, lambda x: lower(x)), '|') AS anchors FROM w",
-    "anchors_lost": f"WITH {Q} SELECT o_orderkey, lower(regexp_extract(q, 'SP: [0-9]+')) AS lost FROM w",
-    "romanised": f"WITH {Q} SELECT o_orderkey, array_to_string(regexp_extract_all(q, '\\b(?:kya|hai|aap)\\b'), '|') AS hits FROM w",
-    "validate_english": f"""WITH {Q} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'ok' ELSE 'fail' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'empty' WHEN 2 THEN 'no_ascii_letters' END AS reason FROM w""",
-    "latin_fallback": "SELECT o_orderkey, 'is ' || o_orderkey || ' IS fly ash' AS fallback FROM orders",
+    "anchors": f"WITH {Q} SELECT o_orderkey, array_to_string({first_of(ANCHOR_SQL.format(q='q'))}, '|') AS anchors FROM w",
+    "anchors_lost": f"""WITH {Q}, a AS (SELECT o_orderkey, {first_of(ANCHOR_SQL.format(q='q'))} AS was, {ANCHOR_SQL.format(q="replace(q, 'SP: ', 'sp ')")} AS now FROM w)
+SELECT o_orderkey, array_to_string(list_filter(was, lambda x: NOT list_contains(now, x)), '|') AS lost FROM a""",
+    "romanised": f"WITH {Q}, r AS (SELECT o_orderkey, {ROMAN_SQL.format(q='q')} AS r FROM w) SELECT o_orderkey, array_to_string({first_of('r')}, '|') AS hits FROM r",
+    "validate_english": rf"""WITH {Q}, o AS (SELECT o_orderkey, q, CASE o_custkey % 7 WHEN 0 THEN q WHEN 1 THEN '' WHEN 2 THEN '12 34' WHEN 3 THEN 'सीमेंट' WHEN 4 THEN '  ' || q || ' ' WHEN 5 THEN replace(q, 'SP: ', 'sp no ') ELSE regexp_replace(q, ' mm, .*', ' mm thick') END AS out FROM w),
+t AS (SELECT o_orderkey, q, trim(out) AS t FROM o),
+l AS (SELECT *, {ROMAN_SQL.format(q='t')} AS r, {first_of(ANCHOR_SQL.format(q='q'))} AS was, {ANCHOR_SQL.format(q='t')} AS now FROM t),
+c AS (SELECT *, concat_ws(' ', CASE WHEN len(r) > 0 THEN 'romanised_hindi:' || array_to_string({first_of('r')}, ',') END, CASE WHEN len(list_filter(was, lambda x: NOT list_contains(now, x))) > 0 THEN 'lost:' || array_to_string(list_filter(was, lambda x: NOT list_contains(now, x)), ',') END) AS warned FROM l),
+f AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN t = trim(q) THEN 'unchanged' WHEN {SHARE_SQL.format(q='t')} > 0.15 THEN 'still_100pct_native_script' WHEN NOT regexp_matches(t, '[A-Za-z]') THEN 'no_ascii_letters' END AS failed FROM c)
+SELECT o_orderkey, CASE WHEN failed IS NOT NULL THEN 'fail' WHEN warned = '' THEN 'ok' ELSE 'suspect' END AS status, coalesce(failed, nullif(warned, '')) AS reason FROM f""",
+    "latin_fallback": f"""WITH {Q}, n AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'सीमेंट is : ' || o_orderkey || ' — fly Ash, FLY ash' ELSE 'सीमेंट ' || q END AS q FROM w),
+p AS (SELECT o_orderkey, list_filter(list_concat({first_of(ANCHOR_SQL.format(q='q'))}, regexp_extract_all(q, '{re2(P.LATIN_RUN)}')), lambda x: length(x) >= 2) AS p FROM n),
+k AS (SELECT o_orderkey, p, list_transform(p, lambda x: lower(x)) AS k FROM p)
+SELECT o_orderkey, trim(array_to_string(list_transform(list_filter(p, lambda x, i: list_position(k, lower(x)) = i), lambda x: trim(x)), ' ')) AS fallback FROM k""",
     "degenerate_answer": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(CASE WHEN conv_id % 3 = 0 THEN text || repeat(' This very sentence comes again.', 4) ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'assistant'),
 s AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS long FROM t),
 k AS (SELECT conv_id, turn, length(t) AS n, len(long) AS m, list_filter(list_transform(long, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 ]', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS keys FROM s)
@@ -237,15 +274,32 @@ SELECT doc_id, sha256(t) AS sha256, CAST(ceil(length(t) / 2.2::DOUBLE) AS BIGINT
     "tidy_titles": """WITH t AS (SELECT o_orderkey, o_custkey, 'Code for ' || o_orderpriority AS base FROM orders), u AS (SELECT *, base || CASE WHEN o_custkey % 2 = 0 THEN '' ELSE ' and the' END AS title FROM t)
 SELECT o_orderkey, title, CASE WHEN o_custkey % 3 = 0 THEN base ELSE title END AS cut FROM u""",
     "substantive_answer": rf"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ev FROM conversations),
-a AS (SELECT conv_id, turn, regexp_replace(left(coalesce(text, ''), 20), '^\s+|\s+$', '', 'g') AS t, coalesce(ev, '') AS ev FROM c WHERE role = 'assistant')
-SELECT conv_id, turn, t <> '' AND ev <> '' AND (len(list_filter(regexp_extract_all(t, '\d+(?:\.\d+)?'), lambda d: contains(ev, d))) > 0
- OR len(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains([{", ".join(f"'{w}'" for w in P.SUBSTANCE_STOPWORDS)}], w) AND contains(lower(ev), w))) > 0) AS substantive FROM a""",
+s AS (SELECT conv_id, turn, ev, CASE WHEN turn % 4 = 3 AND conv_id % 3 = 1 THEN 'It is ' || string_split(coalesce(ev, ''), ' ')[1] WHEN turn % 4 = 3 AND conv_id % 3 = 2 THEN 'Only ' || turn ELSE text END AS said FROM c WHERE role = 'assistant'),
+a AS (SELECT conv_id, turn, regexp_replace(coalesce(said, ''), '^\s+|\s+$', '', 'g') AS t, coalesce(ev, '') AS ev FROM s)
+SELECT conv_id, turn, t <> '' AND (length(t) >= 40 OR (ev <> '' AND (len(list_filter(regexp_extract_all(t, '\d+(?:\.\d+)?'), lambda d: contains(ev, d))) > 0
+ OR len(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains([{sql_list(P.SUBSTANCE_STOPWORDS)}], w) AND contains(lower(ev), w))) > 0))) AS substantive FROM a""",
     "rendered_body": r"""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'assistant'),
 e AS (SELECT conv_id, turn, replace(replace(replace(replace(replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS t FROM t),
 p AS (SELECT conv_id, turn, list_transform(string_split_regex(t, '\n{2,}'), lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS ps FROM e)
 SELECT conv_id, turn, array_to_string(list_transform(ps, lambda p: CASE WHEN len(p) = 0 THEN '' ELSE '<p>' || array_to_string(p, '<br>') || '</p>' END), '') AS body FROM p""",
-    "error_classes": """SELECT event_id, event_id % 5 = 1 AS is_daily_cap, event_id % 5 = 2 AS is_out_of_credit, event_id % 5 = 0 AS is_transient_limit, CASE WHEN event_id % 5 = 4 THEN 20 END AS stated_limit,
- CASE WHEN event_id % 5 = 3 THEN 3000 END AS input_tokens, CASE WHEN event_id % 5 = 3 THEN 2048 END AS input_max, event_id % 5 IN (0, 1, 2) AS fallback_worthy FROM events""",
+    "error_classes": f"""WITH e AS (SELECT event_id, [{sql_list(SAID)}][user_id % {len(SAID)} + 1] || ' (' || event_type || ' ' || event_id || ')' AS m, [{', '.join(map(str, CODES))}][event_id % {len(CODES)} + 1] AS s FROM events),
+f AS (SELECT *, {any_word('m', models.DAILY_WORDS)} AS daily, {any_word('m', models.CREDIT_WORDS)} AS credit, {any_word('m', models.TRANSIENT_WORDS)} AS transient, {any_word('m', models.FALLBACK_WORDS)} AS fallback FROM e)
+SELECT event_id, daily AS is_daily_cap, s = 402 OR credit AS is_out_of_credit, s = 429 AND NOT daily AND transient AS is_transient_limit, TRY_CAST(nullif(regexp_extract(m, '{models.STATED_LIMIT}', 1), '') AS BIGINT) AS stated_limit,
+ CASE WHEN s = 400 THEN TRY_CAST(nullif(regexp_extract(m, '{models.INPUT_LIMIT}', 1), '') AS BIGINT) END AS input_tokens, CASE WHEN s = 400 THEN TRY_CAST(nullif(regexp_extract(m, '{models.INPUT_LIMIT}', 2), '') AS BIGINT) END AS input_max,
+ s IN (429, 402) OR fallback AS fallback_worthy FROM f""",
+    "document_titles": rf"""WITH {PAGES}, h AS (SELECT doc_id, page_number AS n, length(doc_id) + CAST(split_part(doc_id, '-', 2) AS BIGINT) AS doc, text FROM pg),
+t AS (SELECT doc_id, doc, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS nth, CASE WHEN doc % 3 = 0 AND n % 3 = 0 THEN 'as per IS  ' || (n % 900 + 100) || ' (Part 2) : 2001 and' || chr(10)
+ WHEN doc % 3 = 1 AND n % 4 = 0 THEN 'SP 2' || (n % 10) || chr(10) || 'PRICE GROUP' || chr(10) || 'METHODS OF TEST' || chr(10) || chr(10) || '  FOR AAC AND B' || n || ' CEMENT-BASED UNITS' || chr(10) ELSE '' END || text AS text FROM h QUALIFY nth <= 12),
+c AS (SELECT doc_id, any_value(doc) AS doc, regexp_extract(left(string_agg(text, chr(10) ORDER BY nth) FILTER (nth <= 3), 4000), '{re2(P.STANDARD_CODE)}') AS code, regexp_extract(string_agg(text, chr(10) ORDER BY nth), '{re2(P.COLLECTION_CODE)}', 1) AS series FROM t GROUP BY doc_id),
+l AS (SELECT doc_id, nth, i, trim(line) AS line FROM (SELECT doc_id, nth, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM t) WHERE trim(line) <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, nth ORDER BY i) AS k, length(line) BETWEEN 3 AND 120 AND NOT regexp_matches(line, '(?i)^(?:{"|".join(P.TITLE_NOISE)})') AND regexp_matches(regexp_replace(line, '[^A-Za-z]', '', 'g'), '^[A-Z]{{3,}}$') AS cap FROM l),
+r AS (SELECT doc_id, nth, k - row_number() OVER (PARTITION BY doc_id, nth ORDER BY k) AS island, k, line FROM f WHERE cap),
+b AS (SELECT doc_id, nth * 100000 + min(k) AS place, string_agg(line, ' ' ORDER BY k) AS run FROM r GROUP BY doc_id, nth, island HAVING count(*) >= 2),
+x AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(arg_min(run, place), '\bFOR\b', 'for', 'g'), '\s+', ' ', 'g'), ' ') AS words FROM b GROUP BY doc_id),
+y AS (SELECT doc_id, array_to_string(list_transform(list_transform(words, lambda w: struct_pack(w := w, a := regexp_replace(w, '[^A-Za-z]', '', 'g'))), lambda z: CASE WHEN lower(z.w) IN ({sql_list(P.TITLE_SMALL_WORDS)}) THEN lower(z.w)
+ WHEN z.w = '' OR regexp_matches(z.a, '^[A-Z]{{1,3}}$') OR regexp_matches(z.w, '[0-9]') THEN z.w WHEN z.a = upper(z.a) THEN upper(left(z.w, 1)) || lower(substr(z.w, 2)) ELSE upper(left(z.w, 1)) || substr(z.w, 2) END), ' ') AS block FROM x),
+z AS (SELECT doc_id, code, series, block, 'IS ' || (doc % 9000 + 10) || CASE WHEN doc % 2 = 0 THEN ' (Part 3)' ELSE '' END || ':2016 ' || upper(left(doc_id, 1)) || replace(substr(doc_id, 2), '-', ' ') AS name FROM c LEFT JOIN y USING (doc_id))
+SELECT doc_id, CASE WHEN code <> '' THEN regexp_replace(code, '\s+', ' ', 'g') ELSE coalesce(CASE WHEN series <> '' AND regexp_extract(block, '{re2(P.COLLECTION_CODE)}') = '' THEN 'SP ' || series || ' — ' || block ELSE block END, name) END AS doc_title FROM z""",
 }
 QUERIES = {
     f.__name__: f

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +56,13 @@ def is_bare_heading(c: ColumnOrName) -> Column:
     return classify_heading(c).isNotNull() & (F.char_length(col(c)) < P.BARE_HEADING_CHARS)
 
 
+#: The characters of ``NON_LETTER``, one by one: they are looked up faster than matched.
+NON_LETTERS = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and re.match(P.NON_LETTER, c, re.A))
+
+
 def letter_density(c: ColumnOrName) -> Column:
     """Letters among what is no digit, blank, punctuation or currency sign."""
-    bare = F.regexp_replace(col(c), P.NON_LETTER, "")
-    return F.char_length(F.regexp_replace(bare, r"\P{L}", "")) / F.greatest(F.char_length(bare), F.lit(1))
+    return let(F.translate(col(c), NON_LETTERS, ""), lambda bare: F.char_length(F.regexp_replace(bare, r"\P{L}+", "")) / F.greatest(F.char_length(bare), F.lit(1)))
 
 
 def digit_ratio(c: ColumnOrName) -> Column:
@@ -65,16 +70,23 @@ def digit_ratio(c: ColumnOrName) -> Column:
     return F.char_length(F.array_join(F.regexp_extract_all(col(c), F.lit(P.NUMERIC), F.lit(0)), "")) / F.greatest(F.char_length(col(c)), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def looks_like_table_row(c: ColumnOrName) -> Column:
+    """Each pattern is matched once a line at most."""
     c = col(c)
-    numbers, density, digits = F.regexp_count(c, F.lit(P.NUMERIC)), letter_density(c), digit_ratio(c)
-    return (
-        c.rlike(P.CURRENCY)
-        | ((numbers >= 3) & (density < 0.5))
-        | ((numbers >= 4) & (digits >= 0.3))
-        | (c.rlike(P.CURRENCY_WORD) & (digits >= 0.2))
-        | (density < 0.35)
-    )
+    found = F.struct(F.regexp_extract_all(c, F.lit(P.NUMERIC), F.lit(0)).alias("numbers"), letter_density(c).alias("density"))
+
+    def judged(x: Column) -> Column:
+        numbers, density = F.size(x["numbers"]), x["density"]
+        digits = F.char_length(F.array_join(x["numbers"], "")) / F.greatest(F.char_length(c), F.lit(1))
+        numeric = ((numbers >= 3) & (density < 0.5)) | ((numbers >= 4) & (digits >= 0.3)) | (density < 0.35)
+        return numeric | c.rlike(P.CURRENCY) | ((digits >= 0.2) & c.rlike(P.CURRENCY_WORD))
+
+    return let(found, judged)
 
 
 # passages for an embedding model

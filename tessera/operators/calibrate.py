@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def distributions(scores: DataFrame) -> DataFrame:
-    """label, n, low, high, median of score; the median is the upper one, an observed value.
+    """label, n, low, high, median of score; the median is the upper one, an observed value:
+    sorted[floor(n / 2)], exactly.
 
-    percentile_disc with accuracy beyond the size is exact: sorted[floor(n / 2)].
+    Equal scores are counted together before they are moved; the counts are sorted by ranges,
+    and only the range that the median lies in is looked at row by row.
     """
-    upper = F.element_at(F.array_sort(F.collect_list("score")), (F.floor(F.count("score") / 2) + 1).cast("int"))
-    return scores.where("score IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), upper.alias("median"))
+    counts = scores.where("score IS NOT NULL").groupBy("label", "score").agg(F.count("*").alias("n"))
+    ranged = materialise(counts.repartitionByRange("label", "score").withColumn("part", F.spark_partition_id()), "score-counts")
+    sums = ranged.groupBy("label", "part").agg(F.sum("n").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    label = Window.partitionBy("label")
+    before = lambda order: F.coalesce(F.sum("n").over(label.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("before", before("part")).withColumn("middle", F.floor(F.sum("n").over(label) / 2))
+    total = sums.groupBy("label").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    inside = (F.col("before") <= F.col("middle")) & (F.col("middle") < F.col("before") + F.col("n"))
+    target = sums.where(inside).select(F.col("label").alias("_label"), F.col("part").alias("_part"), (F.col("middle") - F.col("before")).alias("at"))
+    near = ranged.join(target, F.col("label").eqNullSafe(F.col("_label")) & (F.col("part") == F.col("_part"))).select("label", "score", "n", "at")
+    near = near.withColumn("before", before("score")).where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n")))
+    median = near.select(F.col("label").alias("_label"), F.col("score").alias("median"))
+    return total.join(median, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def verdict(scores: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ PAGES_DDL = "doc_id string, source_file string, page_number int, text string"
 
 
 def list_pdfs(spark: SparkSession, folder: str, exclude: list[str] | None = None, content: bool = False) -> DataFrame:
-    """path, source_file, length (and content) of the PDFs of a folder, sorted by name; names
-    that contain an excluded word (in any case) are left out; a missing folder is empty."""
+    """path, source_file, length (and content) of the PDFs of a folder; names
+    that contain an excluded word (in any case) are left out; a missing folder is empty. A
+    listing is sorted by name; with content it is not, as files are not to be moved for that."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     cols = ["path", "source_file", "length", *(["content"] if content else [])]
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
@@ -27,7 +28,7 @@ def list_pdfs(spark: SparkSession, folder: str, exclude: list[str] | None = None
     words = [w.strip().lower() for w in exclude or [] if w.strip()]
     if words:
         files = files.where(~any_of([F.contains(F.lower("source_file"), F.lit(w)) for w in words]))
-    return files.select(*cols).orderBy("source_file")
+    return files.select(*cols) if content else files.select(*cols).orderBy("source_file")
 
 
 def extract_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:

@@ -128,8 +128,29 @@ def test_models():
     assert models.ingest_feasibility(100_000, None) == {"ok": True, "days": None, "blocking": [], "warnings": []}
 
 
-def test_file_titles():
-    assert [pages.filename_title(x) for x in ("is-14543-2016.pdf", "d/IS_456.2000.pdf", "is14543 part 2 1998.pdf", "bis act-2016.PDF")] == ["IS 14543:2016", "IS 456:2000", "IS 14543 (Part 2):1998", "Bis Act 2016"]
-    assert pages.title_case("PLAIN AND REINFORCED CONCRETE IS 456 NO") == "Plain and Reinforced Concrete IS 456 NO"
-    assert pages.refine_title("F", ["a\nSUMMARIES OF\nINDIAN RULES FOR\nBUILDING\nprose", "SP 21"]) == "SP 21 — Summaries of Indian Rules for Building"
-    assert pages.refine_title("F", ["Code IS 456 : 2000 text"]) == "IS 456 : 2000" and pages.refine_title("F", ["prose"]) == "F"
+def test_file_titles(spark):
+    names = ["is-14543-2016.pdf", "d/IS_456.2000.pdf", "is14543 part 2 1998.pdf", "bis act-2016.PDF", "is-14543-part-1-2016.pdf"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    assert [r[0] for r in df.orderBy("i").select(pages.filename_title(F.col("n"))).collect()] == ["IS 14543:2016", "IS 456:2000", "IS 14543 (Part 2):1998", "Bis Act 2016", "IS 14543 (Part 1):2016"]
+    assert spark.range(1).select(pages.title_case(F.lit("PLAIN AND REINFORCED CONCRETE IS 456 NO"))).first()[0] == "Plain and Reinforced Concrete IS 456 NO"
+    texts = [("f.pdf", ["a\nSUMMARIES OF\nINDIAN RULES FOR\nBUILDING\nprose", "SP 21"]), ("f.pdf", ["Code IS 456 : 2000 text"]), ("f.pdf", ["prose", None]), (None, ["ONE LINE\nprose\nPRICE OF\nTWO"]), ("g.pdf", ["x"] * 12 + ["METHODS OF\nTEST"])]
+    rows = [(i, name, k, t) for i, (name, ts) in enumerate(texts) for k, t in enumerate(ts)]
+    got = pages.document_titles(spark.createDataFrame(rows, "doc_id int, source_file string, page_number int, text string")).orderBy("doc_id").collect()
+    assert [r["doc_title"] for r in got] == ["SP 21 — Summaries of Indian Rules for Building", "IS 456 : 2000", "F", "", "G"]
+
+
+def test_reply_blocks(spark):
+    df = spark.createDataFrame([("en", "a <b>", ["x & y"], ["T1"], "<li>i</li>"), ("hi", None, [], None, None), ("xx", "q", None, [], "")], "lang string, q string, topics array<string>, titles array<string>, item string")
+    rows = df.select(html.not_found_block("q", "topics", "titles", "lang").alias("n"), html.near_miss_block("q", "item", "lang").alias("m"), html.greeting_block("topics", "titles", "lang").alias("g"), html.suggestions_block("topics", "lang").alias("s")).collect()
+    assert "a &lt;b&gt;" in rows[0]["n"] and "<li>x &amp; y</li>" in rows[0]["n"] and "<li>T1</li>" in rows[0]["g"] and rows[0]["m"].endswith("<ul><li>i</li></ul></section>")
+    assert rows[1]["m"] == rows[1]["s"] == rows[2]["s"] == "" and html.MESSAGES["greeting"]["hi"] in rows[1]["g"] and html.MESSAGES["greeting"]["en"] in rows[2]["g"]
+    assert all(set(t) == {"en", "hi", "pa", "te"} for t in html.MESSAGES.values())
+    assert html.message_table(spark, {"en": {"greeting": "Hi"}, "fr": {"greeting": "Salut"}}).where("key = 'greeting'").count() == 5
+
+
+def test_table_rows_use_every_listed_character():
+    import re
+
+    from tessera.functions import patterns, text
+
+    assert len(text.NON_LETTERS) > 60 and not set(text.NON_LETTERS) & set("aZé漢") and all(re.match(patterns.NON_LETTER, c, re.A) for c in text.NON_LETTERS)
