@@ -427,6 +427,24 @@ def test_every_outcome_of_answering(spark):
     assert got[2]["sources"][0] == 1 and got[2]["answer"].startswith("The limit") and got[4]["reason"] == "nothing_above_bridge_floor"
 
 
+def test_models_are_called_in_batches(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        sizes.add(1)
+        if any("bad" in t for t in texts):
+            raise models.ModelError("no", 400)
+        if any("quota" in t for t in texts):
+            raise models.ModelError("quota", 402)
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else f"t{i}") for i in range(20)], "i int, p string").coalesce(1)
+    got = {r["i"]: r["o"] for r in answer._call(df, model, "p", "o").collect()}
+    assert sizes.value == 1 + 16 + 1 and got[3]["error"] and got[3]["text"] is None and all(got[i]["text"] == f"T{i}" for i in got if i != 3)
+    one = spark.createDataFrame([("quota",)], "p string")
+    assert answer._call(one, model, "p", "o", lambda texts: ["second"]).first()["o"]["text"] == "second" and answer._call(one, model, "p", "o").first()["o"]["error"]
+
+
 def test_late_events_are_windowed(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 5), "a"), (dt.datetime(2024, 1, 1, 0, 59), "a"), (dt.datetime(2024, 1, 1, 1, 0), "a")], "ts timestamp, event_type string")
     assert sorted(r["n"] for r in arrivals(df).collect()) == [1, 2]
