@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_MADE: list[str] | None = None  # folders of the innermost ``scratch``
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,7 +61,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/tessera-{name}-{uuid.uuid4().hex}")
     uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    if _MADE is not None:
+        _MADE.append(uri)
+    return uri
+
+
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that ``shared_folder`` hands out inside are removed at the end: for work whose
+    result was written elsewhere by then, so that nothing will read them again."""
+    global _MADE
+    outer, _MADE = _MADE, []
+    try:
+        yield
+    finally:
+        made, _MADE = _MADE, outer
+        for uri in made:
+            remove_folder(spark, uri)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
