@@ -62,10 +62,12 @@ class PieceEncoder:
         spec = json.loads(self.lib.to_str())
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         pre = spec.get("pre_tokenizer") or {}
-        self.lower = bool(spec.get("normalizer"))
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.lower:
+        norm = spec.get("normalizer") or {}
+        steps = [n.get("type") for n in norm.get("normalizers", [norm])]
+        self.lower = "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.pattern = byte_level_pattern()
-        elif pre.get("type") == "Sequence" and spec["model"].get("end_of_word_suffix") == "</w>":
+        elif pre.get("type") == "Sequence" and self.lower and spec["model"].get("end_of_word_suffix") == "</w>":
             self.pattern = word_pattern()
         else:
             self.pattern = None
