@@ -230,10 +230,13 @@ def test_simhash_of_messy_documents(spark):
     assert 1 in kept and 9 not in kept and kept.count(None) == 2  # empty texts are one component
 
 
-def test_near_stage_drops_all_similar_copies(spark):
-    """Against brute force over five-word Jaccard similarity, with links only across star members."""
+@pytest.mark.parametrize("few", [8, 0])
+def test_near_stage_drops_all_similar_copies(spark, monkeypatch, few):
+    """Against brute force over five-word Jaccard similarity, with links only across star members;
+    with ``few`` 0 in rounds to the very end."""
     import corpus_pipeline
 
+    monkeypatch.setattr(near_copies, "PAIRS_A_MEMBER", few)
     rnd = random.Random(3)
     rows = []
     for i in range(25):
