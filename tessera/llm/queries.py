@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, lexicon, packing, pii, quality_model, quality_rules, simhash, substring_dedup, token_store
+from . import chat, exact_dedup, lexicon, mixing, packing, pii, quality_model, quality_rules, simhash, substring_dedup, token_store
 from .common import table
 
 
@@ -52,8 +52,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key=pii.session_key(spark))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii)
+    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii, op11_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op11_mixing": mixing.OP11_SQL}
