@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lexicon, mixing, packing, pii, quality_model, quality_rules, simhash, substring_dedup, token_store
+from . import chat, exact_dedup, hard_negatives, lexicon, mixing, packing, pii, quality_model, quality_rules, simhash, substring_dedup, tiered_search, token_store
 from .common import table
 
 
@@ -56,8 +57,18 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tiered_search.build_index(table(spark, sf_dir, "documents"))
+    return tiered_search.search(index, table(spark, sf_dir, "benchmark"), k=50).drop("tiers")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 50 == 0, relabel=relabel)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii, op11_mixing)
+    for f in (op1_token_files, op2_packing, op3_bpe_lexicon, op4_quality_model, op5_chat, op6_exact_dedup, op7_substring_dedup, op8_quality_rules, op9_simhash, op10_pii, op11_mixing, op12_tiered_search, op13_hard_negatives)
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op11_mixing": mixing.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op11_mixing": mixing.OP11_SQL, "op12_tiered_search": tiered_search.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
