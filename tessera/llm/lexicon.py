@@ -11,6 +11,7 @@ tokenizer's own merge ranks.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import id_text, materialise, record_batch, text_batches
 from .tokens import LIMIT, word_pattern
 
+SHORT = 48  # symbols of a word that is merged by scanning
+LONGEST = 256  # characters of a word that is counted, compiled or remembered; longer ones are merged each time
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -68,6 +73,10 @@ class MergeTable:
         raw = word.encode()
         ids = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         ids = [i for i in ids if i is not None]
+        return self._merge_scanning(ids) if len(ids) <= SHORT else self._merge_queued(ids)
+
+    def _merge_scanning(self, ids: list[int]) -> list[int]:
+        """A pass over the word for each merge: quickest where words are short."""
         ranks = self.ranks
         while len(ids) > 1:
             best, new = None, 0
@@ -87,6 +96,29 @@ class MergeTable:
             ids = out
         return ids
 
+    def _merge_queued(self, ids: list[int]) -> list[int]:
+        """A queue of pairs by rank and place over linked neighbours: n log n for long runs."""
+        ranks, n = self.ranks, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # rank and place in one number; a rank stands for one pair
+        queue = [hit[0] << 40 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (hit := ranks.get(a << 20 | b))]
+        heapq.heapify(queue)
+        place = (1 << 40) - 1
+        while queue:
+            top = heapq.heappop(queue)
+            i = top & place
+            j = after[i]
+            if ids[i] < 0 or j >= n or not (hit := ranks.get(ids[i] << 20 | ids[j])) or hit[0] != top >> 40:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j], after[i] = hit[1], -1, after[j]
+            if (b := after[i]) < n:
+                before[b] = i
+                if hit := ranks.get(ids[i] << 20 | ids[b]):
+                    heapq.heappush(queue, hit[0] << 40 | i)
+            if (a := before[i]) >= 0 and (hit := ranks.get(ids[a] << 20 | ids[i])):
+                heapq.heappush(queue, hit[0] << 40 | a)
+        return [i for i in ids if i >= 0]
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings. Latin text is lower-cased and split here; for
         other scripts, whose character classes differ between Unicode versions, the tokenizer's
@@ -210,8 +242,9 @@ def mapped(data: bytes) -> Lexicon:
 
 
 def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str = "text", flush_at: int = 500_000) -> list[str]:
-    """The most frequent words over all texts, at most ``max_words``: every word above the least
-    count that still fits, so that only they reach the driver and no task sends more."""
+    """The most frequent words over all texts, at most ``max_words`` of at most ``LONGEST``
+    characters: every word above the least count that still fits, so that only they reach the
+    driver and no task sends more."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def count(batches):
@@ -220,7 +253,8 @@ def frequent_words(df: DataFrame, tokenizer: str, max_words: int, text_col: str
         table, seen = merge_table(tokenizer), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(table.pieces(text))
+                pieces = table.pieces(text)
+                seen.update(pieces if max(map(len, pieces), default=0) <= LONGEST else [w for w in pieces if len(w) <= LONGEST])
             if len(seen) > flush_at:
                 yield record_batch(schema, [seen.keys(), seen.values()])
                 seen = Counter()
@@ -246,7 +280,8 @@ def build_lexicon(df: DataFrame, tokenizer: str, max_words: int = 50_000, text_c
 
 
 class WordCoder:
-    """Lexicon first, merges for the rest; remembers up to ``max_memo`` words per worker."""
+    """Lexicon first, merges for the rest; remembers up to ``max_memo`` words of at most
+    ``LONGEST`` characters per worker."""
 
     def __init__(self, table: MergeTable, lexicon: Lexicon, max_memo: int = 800_000):
         self.table, self.lexicon, self.max_memo = table, lexicon, max_memo
@@ -270,9 +305,10 @@ class WordCoder:
         known = self.ids
         if len(known) > self.max_memo:
             known.clear()
+        long = {}
         for w in set(words).difference(known):
-            known[w] = self._learn(w)
-        ids = b"".join(map(known.__getitem__, words))
+            (known if len(w) <= LONGEST else long)[w] = self._learn(w)
+        ids = b"".join([known[w] if len(w) <= LONGEST else long[w] for w in words] if long else map(known.__getitem__, words))
         return ids, self.decode(ids)
 
 
