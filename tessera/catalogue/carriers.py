@@ -73,7 +73,22 @@ def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-TOK = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+#: Words and compounds of ``text``, and what they are made of, as ``operators.keywords`` has them.
+TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+(?:[-./@_][\p{L}\p{N}\p{M}]+)*')"
+UNITS = r"list_transform(regexp_extract_all(regexp_replace({} || '.', '[-/@_]', '. ', 'g'), '(?:\p{{Nd}}+\.)+|[^. ]+\.'), lambda u: left(u, length(u) - 1))"
+
+
+def posted_sql(source: str) -> str:
+    """Common tables that end in p (id, term, pos) of ``source`` (id, toks)."""
+    return f"""w0 AS (SELECT id, unnest(range(1, len(toks) + 1)) AS nth, unnest(toks) AS w FROM {source}),
+w1 AS (SELECT id, nth, w, string_split_regex(w, '[/@]') AS pieces FROM w0),
+w2 AS (SELECT id, nth, w, len(pieces) AS m, unnest(range(1, len(pieces) + 1)) AS s, unnest(pieces) AS piece FROM w1),
+w3 AS (SELECT *, {UNITS.format('piece')} AS units FROM w2),
+w4 AS (SELECT id, nth, w, m, s, piece, len(units) AS n, unnest(range(1, len(units) + 1)) AS u, unnest(units) AS unit FROM w3),
+w5 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nth, s, u) AS pos, count(*) OVER (PARTITION BY id, nth) AS total FROM w4),
+p AS (SELECT id, unit AS term, pos FROM w5 UNION ALL SELECT id, piece, pos FROM w5 WHERE u = 1 AND n > 1 AND m > 1 UNION ALL SELECT id, w, pos FROM w5 WHERE s = 1 AND u = 1 AND total > 1)"""
+
+
 SQL_DOCUMENTS = """SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.source AS doc_title, d.source || '.pdf' AS source_file,
  CAST(ceil(n_chars / 1000.0) AS INTEGER) AS page_count, CAST(ceil(n_chars / 1200.0) AS INTEGER) AS chunk_count, n_chars < 80 AS is_scanned,
  CASE WHEN quality = 1 AND toxic = 0 THEN 'ready' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""

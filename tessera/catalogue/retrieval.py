@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_identifier
-from ..operators import fusion, keywords, store, vectors
+from ..operators import fusion, graphs, keywords, store, vectors
 from ..plans import retrieval
-from ..session import materialise
-from .carriers import BANDS, SQL_DOCUMENTS, TOK, chunks, documents, queries, table, term_queries, top_sql
+from ..session import materialise, shared_folder
+from ..sources.keyword_index import KeywordIndex
+from .carriers import BANDS, SQL_DOCUMENTS, TOK, UNITS, chunks, documents, posted_sql, queries, table, term_queries, top_sql
 from .carriers import vectors as vector_rows
 
 
@@ -51,9 +52,27 @@ def vector_literal(spark, d):
     return v.select(F.col("id").alias("vec_id"), F.size(back).alias("width"), (back == F.col("embedding")).alias("same"))
 
 
+_BUILT: dict[tuple, KeywordIndex] = {}
+
+
 def _index(spark, d):
-    """Postings as a stored table, which the two joins of a match read."""
-    return materialise(keywords.postings(table(spark, d, "documents"), "doc_id"), "postings")
+    """The stored index of all documents. The first query that needs it builds it; it is used
+    again as long as the table's files and its own are there and the same."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def files(folder):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(conf)
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))) if fs.exists(path) else ()
+
+    source = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, source, files(source))
+    built = _BUILT.get(key)
+    if built is None or not all(files(s["path"]) for s in built.state["segments"]):
+        built = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
+        built.change(table(spark, d, "documents"), id_col="doc_id", text="text")
+        _BUILT[key] = built
+    return built
 
 
 def keyword_match(spark, d):
@@ -100,7 +119,8 @@ def keyword_cover_density(spark, d):
 def _hybrid(spark, d):
     c = chunks(spark, d)
     q = queries(c.select("id", "embedding")).join(term_queries(spark, d, 1), "query_id")
-    index = materialise(keywords.postings(c.select("id", "content"), "id", "content"), "postings")
+    index = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
+    index.change(c.select("id", "content"), text="content")
     return c, retrieval.retrieve_hybrid(c, q, index, replace(BANDS, bridge_floor=-1.0), exclude_self=True)
 
 
@@ -143,12 +163,22 @@ def ann_pruned_topk(spark, d):
     return shown(vectors.pruned_top_k(v, queries(v), vectors.fit_centroids(v, 32), 5, cells=24))
 
 
+def hnsw_topk(spark, d):
+    """Approximate, by small-world graphs that are built and stored; recall is measured in tests."""
+    v = vector_rows(spark, d)
+    index = materialise(graphs.build_graphs(v), "graphs")
+    return shown(graphs.graph_top_k(index, queries(v), 5))
+
+
 
-TERMS = f"(SELECT doc_id AS query_id, list_slice({TOK}, 1, 2) AS terms FROM documents WHERE doc_id % 100 = 0)"
-DOCS = f"(SELECT doc_id AS id, {TOK} AS toks FROM documents)"
+POSTED = posted_sql(f"(SELECT doc_id AS id, {TOK} AS toks FROM documents)")
+ASKED = {n: f"q AS (SELECT doc_id AS query_id, list_slice({TOK}, 1, {n}) AS terms FROM documents WHERE doc_id % 100 = 0), t AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM q)" for n in (1, 2)}
+#: All documents with all terms: query_id, id.
+MATCHED = "(SELECT query_id, id FROM t JOIN (SELECT DISTINCT id, term FROM p) USING (term) GROUP BY query_id, id HAVING count(*) = (SELECT count(*) FROM t x WHERE x.query_id = t.query_id))"
 HYBRID = f"""c AS (SELECT d.doc_id AS id, source AS doc_title, text AS content, embedding::DOUBLE[] AS e, {TOK} AS toks FROM documents d JOIN embeddings ON doc_id = vec_id),
-q AS (SELECT id AS query_id, e, toks[1] AS term FROM c WHERE id % 100 = 0),
-s AS (SELECT query_id, id, list_cosine_similarity(q.e, c.e) AS sim, 0.1 * len(list_filter(c.toks, lambda t: t = q.term)) AS tr FROM q, c),
+q AS (SELECT id AS query_id, e, toks[1] AS term FROM c WHERE id % 100 = 0), {posted_sql("c")},
+n AS (SELECT query_id, p.id, count(*) AS tf FROM p JOIN q USING (term) GROUP BY ALL),
+s AS (SELECT query_id, id, list_cosine_similarity(q.e, c.e) AS sim, 0.1 * coalesce(tf, 0) AS tr FROM q CROSS JOIN c LEFT JOIN n USING (query_id, id)),
 v AS (SELECT * FROM (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS vector_rank FROM s WHERE id <> query_id) WHERE vector_rank <= 5),
 k AS (SELECT * FROM (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY tr DESC, sim DESC, id) AS keyword_rank FROM s WHERE tr > 0) WHERE keyword_rank <= 20 AND id <> query_id),
 f AS (SELECT query_id, id, coalesce(v.sim, k.sim) AS sim, vector_rank, keyword_rank, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS fused FROM v FULL JOIN k USING (query_id, id)),
@@ -164,21 +194,24 @@ SQL = {
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM t)
 SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, round(v[1] / n, 5) AS first FROM n""",
     "vector_literal": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, embedding = CAST(CAST(embedding AS VARCHAR) AS FLOAT[]) AS same FROM embeddings",
-    "keyword_match": f"SELECT query_id, id FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0 AND list_has_all(toks, terms)",
-    "keyword_any": f"SELECT query_id, id FROM {TERMS} q, {DOCS} d WHERE list_has_any(toks, terms)",
-    "keyword_phrase": f"SELECT * FROM (SELECT query_id, id, CAST(len(list_filter(range(1, len(toks) - len(terms) + 2), lambda i: list_slice(toks, i, i + len(terms) - 1) = terms)) AS BIGINT) AS times FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0) WHERE times > 0",
-    "keyword_not": f"SELECT query_id, id FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0 AND list_contains(toks, terms[1]) AND (len(terms) < 2 OR NOT list_contains(toks, terms[2]))",
-    "keyword_websearch": f"""WITH q AS (SELECT doc_id AS query_id, CAST(doc_id / 100 AS BIGINT) % 5 AS turn, list_slice({TOK}, 1, 3) AS w FROM documents WHERE doc_id % 100 = 0 AND len({TOK}) >= 3),
-d AS (SELECT doc_id AS id, {TOK} AS toks FROM documents),
-x AS (SELECT query_id, turn, w, id, list_contains(toks, w[1]) AS a, list_contains(toks, w[2]) AS b, list_contains(toks, w[3]) AS c, ' ' || array_to_string(toks, ' ') || ' ' AS line FROM q, d)
-SELECT query_id, id FROM x WHERE CASE turn WHEN 0 THEN contains(line, ' ' || w[1] || ' ' || w[2] || ' ') WHEN 1 THEN a OR b WHEN 2 THEN a AND NOT b WHEN 3 THEN (a AND b) OR c
- ELSE a AND NOT contains(line, ' ' || w[2] || ' ' || w[3] || ' ') END""",
-    "keyword_rank_single_term": f"""WITH s AS (SELECT query_id, id, 0.1::DOUBLE * len(list_filter(toks, lambda t: t = terms[1])) AS tr FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0)
-SELECT query_id, id, round(tr, 6) AS text_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tr DESC, id) AS rank FROM s WHERE tr > 0) WHERE rank <= 20""",
-    "keyword_cover_density": f"""WITH m AS (SELECT query_id, id, list_distinct(terms) AS terms, toks FROM {TERMS} q, {DOCS} d WHERE len(terms) > 0 AND list_has_all(toks, terms)),
-e AS (SELECT query_id, id, len(terms) AS n, unnest(toks) AS t, unnest(range(1, len(toks) + 1)) AS pos, terms FROM m),
-w AS (SELECT query_id, id, n, t, pos, lag(t) OVER x AS before, lag(pos) OVER x AS prior FROM e WHERE list_contains(terms, t) WINDOW x AS (PARTITION BY query_id, id ORDER BY pos))
-SELECT query_id, id, round(sum(CASE WHEN n = 1 THEN 0.1::DOUBLE WHEN t <> before THEN 0.1::DOUBLE / (pos - prior) ELSE 0 END), 6) AS text_rank FROM w GROUP BY query_id, id""",
+    "keyword_match": f"WITH {POSTED}, {ASKED[2]} SELECT query_id, id FROM {MATCHED}",
+    "keyword_any": f"WITH {POSTED}, {ASKED[2]} SELECT DISTINCT query_id, id FROM t JOIN p USING (term)",
+    "keyword_phrase": f"""WITH {POSTED}, {ASKED[2]}
+SELECT query_id, a.id, count(*) AS times FROM q JOIN p a ON a.term = terms[1] LEFT JOIN p b ON len(terms) > 1 AND b.term = terms[2] AND b.id = a.id AND b.pos = a.pos + len({UNITS.format('terms[1]')})
+WHERE len(terms) = 1 OR b.id IS NOT NULL GROUP BY ALL""",
+    "keyword_not": f"""WITH {POSTED}, {ASKED[2]}
+SELECT DISTINCT query_id, p.id FROM q JOIN p ON p.term = terms[1] WHERE len(terms) < 2 OR (p.id, terms[2]) NOT IN (SELECT (id, term) FROM p)""",
+    "keyword_websearch": f"""WITH {POSTED}, q AS (SELECT doc_id AS query_id, CAST(doc_id / 100 AS BIGINT) % 5 AS turn, list_slice({TOK}, 1, 3) AS w FROM documents WHERE doc_id % 100 = 0 AND len({TOK}) >= 3),
+h AS (SELECT query_id, p.id, bool_or(p.term = w[1]) AS a, bool_or(p.term = w[2]) AS b, bool_or(p.term = w[3]) AS c FROM q JOIN p ON p.term IN (w[1], w[2], w[3]) GROUP BY ALL),
+f AS (SELECT DISTINCT query_id, x.id, n FROM q, (VALUES (1), (2)) v(n), p x, p y WHERE x.term = w[n] AND y.term = w[n + 1] AND x.id = y.id AND y.pos = x.pos + len({UNITS.format('w[n]')})),
+z AS (SELECT h.*, turn, EXISTS (FROM f WHERE f.query_id = h.query_id AND f.id = h.id AND n = 1) AS ab, EXISTS (FROM f WHERE f.query_id = h.query_id AND f.id = h.id AND n = 2) AS bc FROM h JOIN q USING (query_id))
+SELECT query_id, id FROM z WHERE CASE turn WHEN 0 THEN ab WHEN 1 THEN a OR b WHEN 2 THEN a AND NOT b WHEN 3 THEN (a AND b) OR c ELSE a AND NOT bc END""",
+    "keyword_rank_single_term": f"""WITH {POSTED}, {ASKED[1]}, s AS (SELECT query_id, id, 0.1::DOUBLE * count(*) AS tr FROM t JOIN p USING (term) GROUP BY ALL)
+SELECT query_id, id, round(tr, 6) AS text_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tr DESC, id) AS rank FROM s) WHERE rank <= 20""",
+    "keyword_cover_density": f"""WITH {POSTED}, {ASKED[2]}, n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+e AS (SELECT query_id, id, n, term, pos FROM {MATCHED} JOIN n USING (query_id) JOIN t USING (query_id) JOIN p USING (id, term)),
+w AS (SELECT query_id, id, n, term, pos, lag(term) OVER x AS before, lag(pos) OVER x AS prior FROM e WINDOW x AS (PARTITION BY query_id, id ORDER BY pos, term))
+SELECT query_id, id, round(sum(CASE WHEN n = 1 THEN 0.1::DOUBLE WHEN term <> before THEN 0.1::DOUBLE / greatest(1, pos - prior) ELSE 0 END), 6) AS text_rank FROM w GROUP BY query_id, id""",
     "rrf_hybrid": f"WITH {HYBRID} SELECT query_id, id, round(sim, 6) AS similarity, vector_rank, keyword_rank, round(fused, 9) AS fused, rank FROM r",
     "band_of_head": f"""WITH {HYBRID}, h AS (SELECT query_id, id AS top_id, sim, {BAND} AS band FROM r WHERE rank = 1)
 SELECT query_id, top_id, round(sim, 6) AS top_similarity, band, band = 'bridge' AND sim >= 0.35 AS show_nearest,
@@ -200,6 +233,6 @@ QUERIES = {
     for f in (
         vector_topk, vector_topk_floor, vector_topk_doc_filter, vector_topk_ready, l2_normalise, vector_literal, keyword_match, keyword_any,
         keyword_phrase, keyword_not, keyword_websearch, keyword_rank_single_term, keyword_cover_density, rrf_hybrid, band_of_head, search_view, identifier_parse,
-        identifier_promotion, ann_pruned_topk,
+        identifier_promotion, ann_pruned_topk, hnsw_topk,
     )
 }

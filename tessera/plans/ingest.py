@@ -50,15 +50,14 @@ def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settin
     touched = meta.select("doc_id")
     to.change(
         touched=touched,
-        documents=lambda old: store.upsert(old, rows, ["doc_id"]),
         chunks=lambda old: old.join(touched, "doc_id", "left_anti").unionByName(old.join(resumable, "doc_id", "left_semi")).unionByName(new),
+        documents=lambda old: to.promoted(touched)(store.upsert(old, rows, ["doc_id"])),
     )
-    to.finalise(touched)
 
 
 def import_bundle(spark: SparkSession, folder: str, to: Store, embed_config: dict, settings: Settings = Settings(), replace: bool = False, format_name: str = FORMAT) -> DataFrame:
     """Check configuration and checksums, compare with the store, verify what was read against
-    the manifest, then load it by one change; returns the stored documents that the bundle does
+    the manifest, then load it and its fingerprint by one change; returns the stored documents that the bundle does
     not have (reported and kept, or with ``replace`` gone)."""
     docs, chunks, manifest = read_bundle(spark, folder, embed_config, settings, format_name)
     held = to.fingerprint()
@@ -72,9 +71,9 @@ def import_bundle(spark: SparkSession, folder: str, to: Store, embed_config: dic
     if not check["ok"]:
         raise SnapshotError(f"load differs from the manifest: {check.asDict()}")
     orphans = materialise(store.orphans(to.read("documents"), full_docs), "orphans")
+    mark = {k: embed_config[k] for k in ("provider", "model", "dims")}
     if replace:
-        to.change(documents=lambda _: full_docs, chunks=lambda _: full)
+        to.change(fingerprint=mark, documents=lambda _: full_docs, chunks=lambda _: full)
     else:
-        to.change(touched=full_docs, documents=lambda old: store.upsert(old, full_docs, ["doc_id"]), chunks=lambda old: store.replace_documents(old, full))
-    to.record_fingerprint({k: embed_config[k] for k in ("provider", "model", "dims")})
+        to.change(touched=full_docs, fingerprint=mark, documents=lambda old: store.upsert(old, full_docs, ["doc_id"]), chunks=lambda old: store.replace_documents(old, full))
     return orphans

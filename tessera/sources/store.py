@@ -3,13 +3,16 @@
 A change writes the partitions that it touches as a new version, then the manifest of all
 partitions under the next number. That file appears whole, by one rename to a name that was
 free, and readers take the highest number; so they see the store before the change or after it,
-never between, and a writer that stops half way leaves the old state. There is one writer.
-Versions that neither the last manifest nor the one before names are removed.
+never between, and a writer that stops half way leaves the old state. There is one writer, and
+the file system's rename must be whole (HDFS, a local disk); object stores do not promise that.
+Only the last manifest counts for new readers, but those that began before go on reading older
+versions: files are removed when no manifest of the last ``keep_hours`` names them.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -17,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store as ops
+from .keyword_index import KeywordIndex
 
 CHUNKS = "id long, doc_id string, doc_title string, page_from int, page_to int, clause string, chunk_index int, content string, embedding array<float>, created_at timestamp"
 DOCUMENTS = "doc_id string, doc_title string, source_file string, page_count int, chunk_count int, is_scanned boolean, ingested_at timestamp, status string, embedded_count int, content_hash string"
 BUCKETS = 64
 PREFIX = "manifest-"
+KEEP_HOURS = 24.0
 
 
 class Store:
@@ -29,11 +34,15 @@ class Store:
 
     SCHEMAS = {"chunks": CHUNKS, "documents": DOCUMENTS}
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, keep_hours: float = KEEP_HOURS, keywords: bool = False):
+        """``keywords``: changes keep an inverted index of titles and contents too (a store that
+        has one keeps it)."""
+        self.spark, self.root, self.keep_hours = spark, root, keep_hours
+        self._pending: dict | None = None
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.buckets = self._manifest().get("buckets", buckets)
+        self._keywords = keywords or "keywords" in self._manifest()
 
     def _names(self, folder: str) -> list[str]:
         path = self._path(folder)
@@ -46,6 +55,9 @@ class Store:
         return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()))
 
     def _manifest(self) -> dict:
+        """The last one; within a change, with what the change has written so far."""
+        if self._pending is not None:
+            return self._pending
         names = self._manifests()
         return self._load(names[-1]) if names else {}
 
@@ -61,14 +73,22 @@ class Store:
         self._tidy()
 
     def _tidy(self) -> None:
-        """Remove what only manifests before the last two name."""
+        """Remove manifests that were replaced over ``keep_hours`` ago, and files of that age
+        which no manifest names."""
+        before = (time.time() - 3600 * self.keep_hours) * 1000
         names = self._manifests()
-        live = {(t, v) for n in names[-2:] for t in self.SCHEMAS for v in self._load(n).get(t, {}).values()}
-        for table in self.SCHEMAS:
-            for version in self._names(f"{self.root}/{table}"):
-                if (table, version) not in live:
-                    self._fs.delete(self._path(f"{self.root}/{table}/{version}"), True)
-        for n in names[:-2]:
+        ages = {s.getPath().getName(): s.getModificationTime() for s in self._fs.listStatus(self._path(self.root))}
+        # a manifest was in force until the next one came
+        old = [n for n, following in zip(names, names[1:]) if ages[following] < before]
+        kept = [self._load(n) for n in names if n not in old]
+        live = {(t, v) for m in kept for t in self.SCHEMAS for v in m.get(t, {}).values()}
+        live |= {("keywords", x["path"].rsplit("/", 1)[1]) for m in kept for part in m.get("keywords", {}).values() for x in part}
+        for table in (*self.SCHEMAS, "keywords"):
+            folder = self._path(f"{self.root}/{table}")
+            for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if (table, status.getPath().getName()) not in live and status.getModificationTime() < before:
+                    self._fs.delete(status.getPath(), True)
+        for n in old:
             self._fs.delete(self._path(f"{self.root}/{n}"), False)
 
     def bucket(self) -> Column:
@@ -76,33 +96,59 @@ class Store:
 
     def read(self, name: str, buckets: set[int] | None = None) -> DataFrame:
         """A table, or those of its partitions."""
-        versions = self._manifest().get(name, {})
+        return self._table(self._manifest(), name, buckets)
+
+    def _table(self, manifest: dict, name: str, buckets: set[int] | None = None) -> DataFrame:
+        versions = manifest.get(name, {})
         paths = [f"{self.root}/{name}/{v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
         schema = self.SCHEMAS[name]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def change(self, touched: DataFrame | None = None, **made: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace the named tables by what the functions make of them, all at once.
+    def change(self, touched: DataFrame | None = None, fingerprint: dict | None = None, **made: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the named tables by what the functions make of them, all at once, in the order
+        given: what a later function reads from the store has the earlier ones' results.
 
         With ``touched`` (a doc_id column) only the partitions of these documents are read and
-        written, and the functions must change no other document."""
-        manifest = self._manifest()
+        written, and the functions must change no other document. ``fingerprint`` is recorded by
+        the same commit."""
         some = None if touched is None else {r[0] for r in touched.select(self.bucket()).distinct().collect()}  # at most ``buckets``
         if some == set():
             return
-        for name, change in made.items():
-            version = uuid.uuid4().hex
-            old = self.read(name, some)
-            new = change(old).select(old.columns).withColumn("bucket", self.bucket())
-            if some is not None:
-                new = new.where(F.col("bucket").isin(*some))
-            # rows of one partition to one task, so that a change makes few files
-            new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
-            kept = {} if some is None else {b: v for b, v in manifest.get(name, {}).items() if int(b) not in some}
-            written = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("bucket=")]
-            manifest[name] = {**kept, **{b: version for b in written}}
+        manifest = {**self._manifest(), **({"fingerprint": fingerprint} if fingerprint is not None else {})}
+        before = dict(manifest)
+        self._pending = manifest
+        try:
+            for name, change in made.items():
+                version = uuid.uuid4().hex
+                old = self.read(name, some)
+                new = change(old).select(old.columns).withColumn("bucket", self.bucket())
+                if some is not None:
+                    new = new.where(F.col("bucket").isin(*some))
+                # rows of one partition to one task, so that a change makes few files
+                new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{version}")
+                kept = {} if some is None else {b: v for b, v in manifest.get(name, {}).items() if int(b) not in some}
+                written = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("bucket=")]
+                manifest[name] = {**kept, **{b: version for b in written}}
+            if self._keywords and "chunks" in made:
+                manifest["keywords"] = self._index_change(before, touched, some)
+        finally:
+            self._pending = None
         self._commit(manifest)
 
+    def _index_change(self, before: dict, touched: DataFrame | None, some: set[int] | None) -> dict:
+        """The index after a change: a segment of the touched documents, whose older postings die."""
+        index = KeywordIndex(self.spark, f"{self.root}/keywords", before.get("keywords") if some is not None else None)
+        new, gone = self.read("chunks", some), None
+        if touched is not None:
+            names = touched.select("doc_id").distinct()
+            new = new.join(names, "doc_id", "left_semi")
+            gone = self._table(before, "chunks", some).join(names, "doc_id", "left_semi").select("id")
+        return index.change(new, gone, text=F.concat_ws(" ", "doc_title", "content"))
+
+    def keyword_index(self) -> KeywordIndex:
+        """The index of titles and contents, as the last change left it."""
+        return KeywordIndex(self.spark, f"{self.root}/keywords", self._manifest().get("keywords"))
+
     def fingerprint(self) -> dict | None:
         return self._manifest().get("fingerprint")
 
@@ -114,20 +160,26 @@ class Store:
         done = ops.index_change(self.fingerprint(), wanted)
         manifest = self._manifest()
         if done in ("wipe", "recreate"):
-            manifest = {k: v for k, v in manifest.items() if k not in self.SCHEMAS}
+            manifest = {k: v for k, v in manifest.items() if k not in (*self.SCHEMAS, "keywords")}
         self._commit({**manifest, "fingerprint": wanted})
         return done
 
-    def upsert_chunks(self, new: DataFrame) -> None:
-        """Of new rows of one key the one of the latest ``created_at`` stays."""
-        self.change(touched=new, chunks=lambda old: ops.upsert(old, new, order=[F.desc_nulls_last("created_at"), F.desc("id")]))
+    def upsert_chunks(self, new: DataFrame, finalise: bool = False) -> None:
+        """Of new rows of one key the one of the latest ``created_at`` stays. With ``finalise``
+        documents whose chunks are then all stored turn ready by the same commit."""
+        made = {"chunks": lambda old: ops.upsert(old, new, order=[F.desc_nulls_last("created_at"), F.desc("id")])}
+        self.change(touched=new, **made, **({"documents": self.promoted(new)} if finalise else {}))
 
     def finalise(self, touched: DataFrame | None = None) -> None:
         """Promote documents (of ``touched``, or any) whose chunks are all stored."""
-        some = None if touched is None else {r[0] for r in touched.select(self.bucket()).distinct().collect()}
+        self.change(touched=touched, documents=self.promoted(touched))
+
+    def promoted(self, touched: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
+        """What makes documents of whom all chunks are stored (seen within a change) ready."""
 
         def promote(old: DataFrame) -> DataFrame:
+            some = None if touched is None else {r[0] for r in touched.select(self.bucket()).distinct().collect()}
             now = ops.finalise(old, self.read("chunks", some)).select("doc_id", "embedded_count", "status")
             return old.drop("embedded_count", "status").join(now.withColumn("embedded_count", now["embedded_count"].cast("int")), "doc_id", "left")
 
-        self.change(touched=touched, documents=promote)
+        return promote

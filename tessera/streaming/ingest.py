@@ -13,12 +13,11 @@ from ..sources.store import CHUNKS, Store
 def ingest_stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, schema: str = CHUNKS) -> StreamingQuery:
     """Drain ``landing`` (Parquet) into the store. A batch that is run again after a failure
     upserts the same keys, so nothing is counted twice; the checkpoint is the resume point.
-    A batch rewrites the partitions of its own documents only."""
+    A batch rewrites the partitions of its own documents only, by one commit."""
 
     def land(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.upsert_chunks(batch)
-            store.finalise(batch)
+            store.upsert_chunks(batch, finalise=True)
 
     source = spark.readStream.schema(schema).parquet(landing)
     return source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
