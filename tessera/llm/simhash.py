@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import id_text, materialise, record_batch, split_join
 
 PAIR_BLOCK = 2_000_000
+KEY_ROWS = 500_000  # that a task holds, beside the rest of one key
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -126,13 +127,11 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (u, v) that connect all fingerprints at Hamming distance <= ``distance``."""
     m = distance + 1
     parts = [F.struct((F.lit(i << 32).cast("long") + F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)).alias("key"), F.col("fp")) for i, (s, w) in enumerate(segments(m))]
-    dealt = distinct.select(F.explode(F.array(*parts)).alias("p")).select("p.key", "p.fp").repartition("key")
+    dealt = distinct.select(F.explode(F.array(*parts)).alias("p")).select("p.key", "p.fp").repartition("key").sortWithinPartitions("key")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def link(batches):
-        own = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if own:
-            keys, fps = (np.concatenate(x) for x in zip(*own))
+        for keys, fps in whole_keys(batches):
             u, v = chain_links(keys, fps.view(np.uint64), m, distance)
             for at in range(0, len(u), 100_000):
                 yield record_batch(schema, [u[at : at + 100_000].view(np.int64), v[at : at + 100_000].view(np.int64)])
@@ -140,6 +139,26 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.mapInArrow(link, "u long, v long").distinct()
 
 
+def whole_keys(batches):
+    """(keys, fps) of sorted rows, some whole keys at a time: ``KEY_ROWS`` rows and the rest of
+    the last key, whatever the size of the partition."""
+    held, rows = [], 0
+    for batch in batches:
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if rows >= KEY_ROWS and len(keys):
+            last = held[-1][0][-1]
+            cut = int(np.searchsorted(keys, last, "right"))  # the rest of the key that is held
+            if cut < len(keys):
+                held.append((keys[:cut], fps[:cut]))
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, rows, keys, fps = [], 0, keys[cut:], fps[cut:]
+        if len(keys):
+            held.append((keys, fps))
+            rows += len(keys)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v): v is the smallest node that u reaches; nodes that are smallest have no row.
 
