@@ -306,7 +306,7 @@ def test_queries_equal_their_sql(spark):
     from tessera.llm import queries
 
     con, data = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.sql(sql)
