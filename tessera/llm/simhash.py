@@ -163,26 +163,25 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v): v is the smallest node that u reaches; nodes that are smallest have no row.
 
     Alternating large and small stars; every round is written to the shared folder, and a hub's
-    star is dealt in parts. It ends when a round changes nothing; rounds grow with the logarithm
-    of the longest path, and more than ``most_rounds`` of them raise an error.
+    star is dealt in parts. It ends when each node has one link and none is a link's both ends;
+    rounds grow with the logarithm of the longest path, and more than ``most_rounds`` of them
+    raise an error.
     """
-    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    seen = state(edges)
     for _ in range(most_rounds):
-        if not seen[0]:
+        # rows, and nodes with two links or with a link either way
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionAll(edges.select("v", F.lit(0)))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+        rows, tangled = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 OR up = 1 AND least = 0"))).first()
+        if not tangled:
             return edges
         both = edges.union(edges.select("v", "u"))
-        low = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "lows")
-        large = split_join(both, low.drop("n"), "u", low, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = split_join(both, low.drop("n"), "u", low, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "stars")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lows")
-        small = split_join(large, least.drop("n"), "u", least, seen[0]).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, least.drop("n"), "u", least, rows).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = state(edges)
-        if now == seen:
-            return edges
-        seen = now
     raise RuntimeError("components did not settle")
 
 
