@@ -1,6 +1,7 @@
 """Removal of repeated substrings by suffix arrays, shard by shard, then across shards.
 
-1. Tasks cut their documents into shards of some megabytes. Each shard's suffix array is
+1. Tasks cut their documents into shards of some megabytes; a longer document is a shard of its
+   own, of which only anchors are needed, piece by piece. Every other shard's suffix array is
    refined by doubling (only suffixes whose group is not yet single are sorted again, as
    Larsson and Sadakane do); common prefixes of neighbours follow Kasai's rule, by which a
    prefix shrinks by at most one from a position to the next, so only the head of a chain is
@@ -13,7 +14,8 @@
    by Spark on their very bytes, each told once by a shard, and take no further part.
 3. For shared anchors the shards send the bytes around them. Tasks sort these by suffix arrays,
    block by block, and merge the sorted runs by binary search with comparisons of the bytes;
-   each shard learns which of its windows start in a smaller document elsewhere.
+   each shard learns which of its windows start in a smaller document elsewhere. But for whole
+   copies and hot anchors, all that crosses shards is decided here.
 4. An anchor that very many shards share has its windows, each with its bytes, aggregated by
    Spark, which combines them before the shuffle; no task gets all of it.
 5. Shards mark covered bytes and report on each document.
@@ -246,6 +248,27 @@ def anchors(k8: np.ndarray, ask: np.ndarray, length: int, bits: int) -> tuple[np
     return at[heads], starts[heads], starts[tails]
 
 
+def anchors_by_pieces(data: np.ndarray, length: int, bits: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of all windows of one long document, some ``step`` of them at a time; pieces
+    overlap by a window, so each window sees what it saw in the whole."""
+    found = []
+    for at in range(0, len(data) - length + 1, step):
+        piece = data[at : at + step + length - 1]
+        ask = np.zeros(len(piece), bool)
+        ask[: len(piece) - length + 1] = True
+        found.append([x + at for x in anchors(eight(piece, len(piece)), ask, length, bits)])
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def gram_hash_at(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """``gram_hash`` at some places of a text, of which only their bytes are read."""
+    words = data[at[:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64)
+    h = words[:, 0]
+    for i in range(1, GRAM // 8):
+        h = mixed(h, words[:, i])
+    return h & np.uint64((2**bits - 1) << (64 - bits))
+
+
 def gram_hash(k8: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     """Hash of the ``GRAM`` bytes at each place, of which the upper ``bits`` are used."""
     h, last = k8[at], len(k8) - 1
@@ -283,7 +306,7 @@ ROW = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("id", pa.int64()
 ROW_DDL = "shard long, place long, id long, data binary, bad binary, runs binary, digest binary, settled boolean"
 
 
-def shard_rows(number: int, ids: list, texts: list[bytes], length: int, bits: int):
+def shard_rows(number: int, ids: list, texts: list[bytes], length: int, bits: int, step: int):
     """The rows of a shard, in batches: a document with its windows that are settled here (starts
     and ends of runs) and the anchors of the others (``pack_runs``), in places of its own."""
     own = np.array([NO_ID if i is None else i for i in ids], np.int64)
@@ -292,7 +315,9 @@ def shard_rows(number: int, ids: list, texts: list[bytes], length: int, bits: in
     n = len(data)
     bad, p = np.zeros(n, bool), np.zeros(0, np.int64)
     a = z = p
-    if n:
+    if len(texts) == 1 and n > step:  # nothing is settled within one document, however long
+        p, a, z = anchors_by_pieces(data, length, bits, step)
+    elif n:
         k8 = eight(data, n)
         doc, whole = windows_of(ends, length, n)
         bad = local_repeats(k8, doc, whole, own, length)
@@ -324,13 +349,13 @@ def make_shards(docs: DataFrame, length: int, shard_bytes: int, buckets: int, bi
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
                 if texts and size + len(raw) > shard_bytes:
-                    yield from shard_rows(task << 32 | made, ids, texts, length, bits)
+                    yield from shard_rows(task << 32 | made, ids, texts, length, bits, max(length, shard_bytes))
                     ids, texts, size, made = [], [], 0, made + 1
                 ids.append(doc)
                 texts.append(raw)
                 size += len(raw)
         if texts:
-            yield from shard_rows(task << 32 | made, ids, texts, length, bits)
+            yield from shard_rows(task << 32 | made, ids, texts, length, bits, max(length, shard_bytes))
 
     name = f"tessera_shards_{uuid.uuid4().hex}"
     docs.mapInArrow(run, ROW_DDL).write.bucketBy(buckets, "shard").sortBy("shard").saveAsTable(name, format="parquet")
@@ -415,7 +440,7 @@ class OpenRuns:
         empty = np.zeros(0, np.int64)
         self.p, self.a, self.z, self.place, self.id, self.base = map(np.concatenate, zip(*parts)) if parts else [empty] * 6
         data = np.frombuffer(self.raw, np.uint8)
-        self.hash = gram_hash(eight(data, len(data)), self.p, bits) if parts else np.zeros(0, np.uint64)
+        self.hash = gram_hash_at(data, self.p, bits) if parts else np.zeros(0, np.uint64)
 
 
 def shared_anchors(shards: DataFrame, copies: DataFrame, parts: int, bits: int, hot_shards: int) -> DataFrame:
@@ -443,7 +468,7 @@ def shared_anchors(shards: DataFrame, copies: DataFrame, parts: int, bits: int,
 
 
 #: What a stretch of windows with one anchor carries, before its bytes.
-STRETCH = np.dtype([("anchor", "<u8"), ("id", "<i8"), ("place", "<u4"), ("start", "<u4"), ("back", "<u2"), ("windows", "<u2")])
+STRETCH = np.dtype([("id", "<i8"), ("place", "<u4"), ("start", "<u4"), ("windows", "<u2")])
 #: An answer: windows of a document that start in a smaller one elsewhere.
 ANSWER = np.dtype([("place", "<u4"), ("start", "<u4"), ("windows", "<u4")])
 
@@ -472,54 +497,38 @@ def unpacked(payload: bytes, length: int) -> tuple[np.ndarray, list[bytes]]:
 
 
 def met_stretches(rows: list, length: int):
-    """(shard, answers) for the (shard, stretches) of one bucket."""
+    """(shard, answers) for the (shard, stretches) of one bucket: blocks of whole shards'
+    stretches are sorted by suffix arrays, and their runs merged by binary search."""
     recs, texts = zip(*(unpacked(p, length) for _, p in rows))
     who = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
     rec = np.concatenate(recs)
-    # stretches of the same bytes, with their anchor at the same place, are one kind
-    kinds: dict[tuple[int, bytes], int] = {}
-    kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(rec["back"].tolist(), (t for own in texts for t in own))), np.int64, len(rec))
-    least = np.full(len(kinds), NO_ID)
-    np.minimum.at(least, kind, rec["id"])
-    done = least[kind] < rec["id"]
-    found = [[] for _ in rows]
-    for k, p, a, n in zip(who[done].tolist(), rec["place"][done].tolist(), rec["start"][done].tolist(), rec["windows"][done].tolist()):
-        found[k].append((p, a, n))
-    # where an anchor has several kinds, their windows are sorted and merged
-    first = np.full(len(kinds), len(rec))
-    np.minimum.at(first, kind, np.arange(len(rec)))
-    anchor = rec["anchor"][first]
-    _, number, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[number] > 1)
-    if len(several):
-        pieces = list(kinds)
-        size = np.array([len(pieces[k][1]) for k in several.tolist()], np.int64)
-        end = np.cumsum(size)
-        data = np.frombuffer(b"".join(pieces[k][1] for k in several.tolist()), np.uint8)
-        k8 = eight(data, len(data))
-        doc, whole = windows_of(end, length, len(data))
-        blocks, starts, at = [], [], 0
-        while at < len(several):
-            base = int(end[at] - size[at])
-            upto = max(at + 1, int(np.searchsorted(end, base + BLOCK_BYTES, "right")))
-            stop = int(end[upto - 1])
-            starts.append(base)
-            blocks.append(Windows(k8, base, doc[base:stop], whole[base:stop], least[several], length))
-            at = upto
-        smallest = np.full(len(data), NO_ID)
-        for base, w, ids in zip(starts, blocks, least_ids(k8, blocks, length)):
-            own = np.flatnonzero(w.number >= 0)
-            smallest[base + own] = ids[w.number[own]]
-        spot = np.full(len(kinds), -1, np.int64)
-        spot[several] = end - size
-        rest = np.flatnonzero(~done & (spot[kind] >= 0))
-        for e, s, n in zip(rest.tolist(), spot[kind[rest]].tolist(), rec["windows"][rest].tolist()):
-            b, f = spans(smallest[s : s + n] < rec["id"][e])
-            place, start = int(rec["place"][e]), int(rec["start"][e])
-            found[who[e]] += [(place, start + x, y - x) for x, y in zip(b.tolist(), f.tolist())]
-    for (shard, _), own in zip(rows, found):
-        if own:
-            yield shard, np.array(own, ANSWER).tobytes()
+    data = np.frombuffer(b"".join(t for own in texts for t in own), np.uint8)
+    del texts
+    size = rec["windows"].astype(np.int64) + length - 1
+    end = np.cumsum(size)
+    k8 = eight(data, len(data))
+    doc, whole = windows_of(end, length, len(data))
+    blocks, starts, at = [], [], 0
+    while at < len(rec):
+        base = int(end[at] - size[at])
+        upto = max(at + 1, int(np.searchsorted(end, base + BLOCK_BYTES, "right")))
+        stop = int(end[upto - 1])
+        starts.append(base)
+        blocks.append(Windows(k8, base, doc[base:stop], whole[base:stop], rec["id"], length))
+        at = upto
+    covered = np.zeros(len(data) + 1, np.int8)
+    for base, w, ids in zip(starts, blocks, least_ids(k8, blocks, length)):
+        own = np.flatnonzero(w.number >= 0)
+        covered[base + own] = ids[w.number[own]] < rec["id"][doc[base + own]]
+    # runs of covered starts within a stretch; a stretch's last bytes start no window
+    first, last = spans(covered[:-1] != 0)
+    stretch = doc[first]
+    answer = np.zeros(len(first), ANSWER)
+    answer["place"], answer["start"], answer["windows"] = rec["place"][stretch], rec["start"][stretch] + (first - (end - size)[stretch]), last - first
+    edges = np.searchsorted(who[stretch], np.arange(len(rows) + 1))
+    for k, (shard, _) in enumerate(rows):
+        if edges[k] < edges[k + 1]:
+            yield shard, answer[edges[k] : edges[k + 1]].tobytes()
 
 
 def answers(shards: DataFrame, copies: DataFrame, shared: DataFrame, parts: int, length: int, bits: int) -> DataFrame:
@@ -530,8 +539,8 @@ def answers(shards: DataFrame, copies: DataFrame, shared: DataFrame, parts: int,
         if not len(mine):
             return []
         rec = np.zeros(len(mine), STRETCH)
-        rec["anchor"], rec["id"], rec["place"] = own.hash[mine], own.id[mine], own.place[mine]
-        rec["start"], rec["back"], rec["windows"] = (own.a - own.base)[mine], (own.p - own.a)[mine], (own.z - own.a + 1)[mine]
+        rec["id"], rec["place"] = own.id[mine], own.place[mine]
+        rec["start"], rec["windows"] = (own.a - own.base)[mine], (own.z - own.a + 1)[mine]
         begin = own.a[mine]
         stop = begin + rec["windows"].astype(np.int64) + length - 1
 
@@ -541,7 +550,7 @@ def answers(shards: DataFrame, copies: DataFrame, shared: DataFrame, parts: int,
             # field by field, ids and places compress well
             return zlib.compress(len(part).to_bytes(8, "little") + b"".join([part[f].tobytes() for f in STRETCH.names]) + text, 1)
 
-        return dealt_rows(docs["shard"][0], rec["anchor"], parts, pack)
+        return dealt_rows(docs["shard"][0], own.hash[mine], parts, pack)
 
     def meet(batches):
         for rows in by_bucket(batches):
@@ -584,14 +593,14 @@ def report(shards: DataFrame, copies: DataFrame, found: DataFrame, length: int,
         rows = []
         for k, (place, doc, data, bad) in enumerate(zip(docs["place"], docs["id"], docs["data"], docs["bad"])):
             n = len(data)
-            cover = np.zeros(n + 1, np.int64)
+            cover = np.zeros(n + 1, np.int32)
             b, e = np.frombuffer(bad, "<u4").astype(np.int64).reshape(2, -1)
             own = more[cut[k] : cut[k + 1]]
             s, w = own["start"].astype(np.int64), own["windows"].astype(np.int64)
             # windows [b, e) cover the bytes [b, e + length - 1)
             np.add.at(cover, np.concatenate([b, s]), 1)
             np.add.at(cover, np.concatenate([e, s + w]) + length - 1, -1)
-            removed = np.ones(n, bool) if place in gone else np.cumsum(cover[:n]) > 0
+            removed = np.ones(n, bool) if place in gone else np.cumsum(cover[:n], dtype=np.int32) > 0
             kept = np.frombuffer(data, np.uint8)[~removed].tobytes()
             s, z = spans(removed)
             rows.append((None if doc == NO_ID else doc, n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), np.stack([s, z], 1).ravel().tolist() if with_values else None, kept if with_values else None))
