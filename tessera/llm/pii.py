@@ -14,6 +14,8 @@ text itself are escaped before), and a split at the marks gives gaps and matches
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +43,19 @@ KINDS = ("email", "secret", "date", "ip", "ssn", "phone", "card")
 MARK, SELF, OPEN, CLOSE, SLOT = "﷐", "﷑", "﷒", "﷓", "﷔"
 
 
-#: For the registered queries and tests alone, where no key is set.
+#: For the registered query and tests alone, where no key is set.
 TEST_KEY = "not a secret"
+KEY_SETTING = "spark.tessera.pii.key"
 
 
-def session_key(spark: SparkSession) -> str:
-    """The key set as ``spark.tessera.pii.key``."""
-    return spark.conf.get("spark.tessera.pii.key", TEST_KEY)
+def session_key(spark: SparkSession, test_key: str | None = None) -> str:
+    """The key set as ``spark.tessera.pii.key``. Unset, and without a test key, the session gets a
+    secret one at random: nobody can invert its pseudonyms, which no other session repeats."""
+    key = spark.conf.get(KEY_SETTING, test_key)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def let(value: Column, body) -> Column:

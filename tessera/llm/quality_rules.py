@@ -152,6 +152,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has no words and fails the base rules. A null language or source is a
     group like any other; rows that repeat an id, or have none, keep their own row; an empty
     table gives no rows; other columns are ignored. Whole texts are measured, however long.
+    Sketches of more than ``sketch_k`` values are randomised, so a fence can move by its rank
+    error between runs, and documents next to it can be judged otherwise.
     """
     return judged(df, id_col, text_col, lang_col, source_col, False, prior, sketch_k).select("doc_id", "n_words", *MEASURES, "base_failed", "kept")
 

@@ -50,7 +50,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=pii.session_key(spark))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=pii.session_key(spark, pii.TEST_KEY))
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
