@@ -313,3 +313,62 @@ def test_queries_equal_their_sql(spark):
         got = queries.QUERIES[name](spark, data)
         assert sorted(got.columns) == sorted(want.columns)
         assert seen(got.select(*want.columns)) == sorted(want.fetchall(), key=repr), name
+
+
+def test_long_documents_are_anchored_by_pieces():
+    rnd = np.random.default_rng(8)
+    for n, step in ((5000, 700), (1300, 50), (50, 50), (49, 50), (3000, 2999)):
+        data = rnd.integers(97, 100, n).astype(np.uint8)
+        found = []
+        whole = np.arange(n) <= n - 50
+        if whole.any():
+            found.append(substring_dedup.anchors(substring_dedup.eight(data, n), whole, 50, 64))
+            found.append(substring_dedup.anchors_by_pieces(data, 50, 64, step))
+        seen_by = [{w: a for a, x, y in zip(*map(np.ndarray.tolist, f)) for w in range(x, y + 1)} for f in found]
+        assert not found or seen_by[0] == seen_by[1] and len(seen_by[0]) == n - 49
+        if found:
+            p = found[0][0]
+            assert (substring_dedup.gram_hash_at(data, p, 64) == substring_dedup.gram_hash(substring_dedup.eight(data, n), p, 64)).all()
+
+
+def test_long_documents_meet_others(spark):
+    rnd = random.Random(9)
+    passages = ["".join(rnd.choice("abcde ") for _ in range(rnd.choice([60, 120, 400]))) for _ in range(20)]
+    rows = [(1, "".join(rnd.choice("abcde ") for _ in range(9000)) + passages[0] + passages[1])]
+    rows += [(i, "".join(rnd.choice([*passages, f"{rnd.random()} "]) for _ in range(6))) for i in range(2, 30)] + [(0, passages[1] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    small = substring_dedup.remove_repeats(df, shard_bytes=700)
+    assert seen(small) == seen(substring_dedup.remove_repeats(df, shard_bytes=1 << 20))
+
+
+def test_merged_runs_decide_what_crosses_shards():
+    """All stretches of a bucket, whatever their bytes, against brute force."""
+    import zlib
+
+    rnd = random.Random(10)
+    parts = ["".join(rnd.choice("ab") for _ in range(60)) for _ in range(6)]
+    rows, stretches, i = [], [], 0
+    for shard in range(7):
+        own = []
+        for place in range(rnd.randint(1, 4)):
+            text = (rnd.choice(parts) + rnd.choice(parts))[rnd.randint(0, 20) : rnd.randint(80, 120)].encode()
+            own.append((rnd.choice([i, 99]), place, rnd.randint(0, 500), text))
+            i += 1
+        rec = np.zeros(len(own), substring_dedup.STRETCH)
+        for k, (doc, place, start, text) in enumerate(own):
+            rec[k] = (doc, place, start, len(text) - 49)
+        buf = len(rec).to_bytes(8, "little") + b"".join(rec[f].tobytes() for f in rec.dtype.names) + b"".join(t for *_, t in own)
+        rows.append((shard, zlib.compress(buf)))
+        stretches += [(shard, *x) for x in own]
+    least = {}
+    for _, doc, _, _, text in stretches:
+        for k in range(len(text) - 49):
+            least[text[k : k + 50]] = min(doc, least.get(text[k : k + 50], doc))
+    want = {(shard, place, start + k) for shard, doc, place, start, text in stretches for k in range(len(text) - 49) if least[text[k : k + 50]] < doc}
+    for block in (1 << 20, 150):
+        old, substring_dedup.BLOCK_BYTES = substring_dedup.BLOCK_BYTES, block
+        try:
+            got = {(shard, int(a["place"]), int(a["start"]) + k) for shard, raw in substring_dedup.met_stretches(rows, 50) for a in np.frombuffer(raw, substring_dedup.ANSWER) for k in range(int(a["windows"]))}
+        finally:
+            substring_dedup.BLOCK_BYTES = old
+        assert got == want and want
