@@ -8,7 +8,7 @@ from ..functions.text import clause_order, human_bytes, rotate, short_label, tid
 from ..operators import calibrate, store, topics
 from ..sources import snapshot
 from ..session import shared_folder
-from ..streaming import ingest
+from ..streaming import ingest, progress
 from .carriers import SQL_DOCUMENTS, chunks, documents, table, vectors
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -181,6 +181,35 @@ def stream_ingest(spark, d):
     return kept.read("chunks").select("doc_id", "chunk_index", F.sha2("content", 256).alias("sha256"))
 
 
+def store_resume(spark, d):
+    """Of all texts, as chunks of their source, those that a store of the ones with vectors lacks;
+    the store's key filters say which of its partitions need not be read."""
+    from ..sources.store import CHUNKS, Store
+
+    kept = Store(spark, f"{shared_folder(spark, 'resume')}/store")
+    held = chunks(spark, d).withColumn("created_at", F.lit("2024-01-01").cast("timestamp")).select(*[x.split()[0] for x in CHUNKS.split(", ")])
+    kept.change(chunks=lambda _: held)
+    wanted = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("chunk_index"), "n_chars")
+    return kept.to_do(wanted)[0]
+
+
+def stream_progress(spark, d):
+    """Each source as a document that begins, and its texts as chunks, a labelled one twice; in
+    two batches. The last that the stream tells of each document."""
+    docs = table(spark, d, "documents")
+    begun = docs.groupBy(F.col("source").alias("doc_id")).agg((F.count("*") + F.when(F.max("doc_id") % 2 == 0, 0).otherwise(1)).cast("int").alias("chunk_count")).withColumn("chunk_index", F.lit(None).cast("long"))
+    there = docs.select(F.col("source").alias("doc_id"), F.lit(None).cast("int").alias("chunk_count"), F.col("doc_id").alias("chunk_index"))
+    again = there.join(table(spark, d, "labels").select(F.col("doc_id").alias("chunk_index")), "chunk_index").select(there.columns)
+    root = shared_folder(spark, "progress")
+    for n, part in enumerate((there.where("chunk_index % 3 = 0").unionAll(begun), there.where("chunk_index % 3 <> 0").unionAll(again))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        progress.follow(spark, f"{root}/landing", f"{root}/told", f"{root}/checkpoint").awaitTermination()
+    told = spark.read.schema(progress.PROGRESS).parquet(f"{root}/told")
+    # a document whose chunks come again after it was ready is told of once more, without a count
+    told = told.where("chunk_count IS NOT NULL")
+    return told.groupBy("doc_id").agg(F.max("chunk_count").alias("chunk_count"), F.max("embedded_count").alias("embedded_count"), F.max_by("status", F.struct("embedded_count", F.col("status") == "ready")).alias("status"))
+
+
 DOCS = f"docs AS ({SQL_DOCUMENTS})"
 CLAUSES = "c AS (SELECT p_brand AS doc_id, 'the ' || p_brand AS doc_title, p_partkey AS chunk_index, p_size AS page_from, CASE WHEN p_partkey % 3 = 0 THEN p_size || '.' || (p_partkey % 12) ELSE CAST(p_size AS VARCHAR) END AS clause FROM part)"
 PROBES = "p AS (SELECT CASE WHEN quality = 1 THEN 'in' ELSE 'out' END AS label, n_chars / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
@@ -234,6 +263,9 @@ f AS (SELECT CAST(doc_id AS VARCHAR) || '.pdf' AS source_file, md5(CASE WHEN qua
 SELECT doc_id, x.source_file, CASE WHEN x.source_file IS NULL OR actual IS NULL THEN 'missing' WHEN recorded IS NULL THEN 'unverified' WHEN recorded <> actual THEN 'modified' ELSE 'present' END AS state FROM x LEFT JOIN f ON x.source_file = f.source_file""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "snapshot_roundtrip": CHUNKS_SQL.format(more=", CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total"),
+    "store_resume": "SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS chunk_index, n_chars FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
+    "stream_progress": """SELECT source AS doc_id, CAST(count(*) + CASE WHEN max(doc_id) % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS chunk_count, count(*) AS embedded_count,
+ CASE WHEN max(doc_id) % 2 = 0 THEN 'ready' ELSE 'pending' END AS status FROM documents GROUP BY source""",
     "stream_ingest": CHUNKS_SQL.format(more=""),
 }
 QUERIES = {
@@ -242,6 +274,6 @@ QUERIES = {
         dedupe_keep_lowest, upsert_merge, replace_documents, resume_antijoin, begin_documents, finalize_guard, orphans, corpus_stats, health, load_verify,
         citable, document_titles_ready, backfill_embedded, delete_documents, topics_round_robin, clause_sort, topic_rotate, labels_and_sizes,
         calibrate_distributions, calibrate_verdict, calibrate_gap, probe_scores, manifest_counts, content_digest, pdf_report, event_windows,
-        snapshot_roundtrip, stream_ingest,
+        snapshot_roundtrip, stream_ingest, stream_progress, store_resume,
     )
 }

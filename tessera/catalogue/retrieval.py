@@ -6,12 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions.text import parse_identifier
 from ..operators import fusion, graphs, keywords, store, vectors
 from ..plans import retrieval
 from ..session import materialise, shared_folder
 from ..sources.keyword_index import KeywordIndex
-from .carriers import BANDS, SQL_DOCUMENTS, TOK, UNITS, chunks, documents, posted_sql, queries, table, term_queries, top_sql
+from .carriers import BANDS, SQL_DOCUMENTS, TOK, UNITS, chunks, documents, posted_sql, queries, re2, table, term_queries, top_sql
 from .carriers import vectors as vector_rows
 
 
@@ -31,8 +32,9 @@ def vector_topk_floor(spark, d):
 
 
 def vector_topk_doc_filter(spark, d):
-    v = vector_rows(spark, d)
-    return shown(vectors.vector_top_k(v.where("label = 3"), queries(v), 5))
+    v = vector_rows(spark, d).withColumn("doc_id", F.col("label").cast("string"))
+    docs = v.select("doc_id", F.lit("ready").alias("status")).distinct()
+    return shown(vectors.vector_top_k(store.ready_only(v, docs, doc="3"), queries(v), 5))
 
 
 def vector_topk_ready(spark, d):
@@ -55,9 +57,9 @@ def vector_literal(spark, d):
 _BUILT: dict[tuple, KeywordIndex] = {}
 
 
-def _index(spark, d):
-    """The stored index of all documents. The first query that needs it builds it; it is used
-    again as long as the table's files and its own are there and the same."""
+def _index(spark, d, kind="documents"):
+    """The stored index of all documents, or of the chunks. The first query that needs it builds
+    it; it is used again as long as the tables' files and its own are there and the same."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def files(folder):
@@ -65,12 +67,14 @@ def _index(spark, d):
         fs = path.getFileSystem(conf)
         return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))) if fs.exists(path) else ()
 
-    source = f"{d}/documents.parquet"
-    key = (spark.sparkContext.applicationId, source, files(source))
+    key = (spark.sparkContext.applicationId, kind, d, files(f"{d}/documents.parquet"), files(f"{d}/embeddings.parquet"))
     built = _BUILT.get(key)
     if built is None or not all(files(s["path"]) for s in built.state["segments"]):
         built = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
-        built.change(table(spark, d, "documents"), id_col="doc_id", text="text")
+        if kind == "documents":
+            built.change(table(spark, d, "documents"), id_col="doc_id", text="text")
+        else:
+            built.change(chunks(spark, d).select("id", "content"), text="content")
         _BUILT[key] = built
     return built
 
@@ -119,9 +123,7 @@ def keyword_cover_density(spark, d):
 def _hybrid(spark, d):
     c = chunks(spark, d)
     q = queries(c.select("id", "embedding")).join(term_queries(spark, d, 1), "query_id")
-    index = KeywordIndex(spark, shared_folder(spark, "keyword-index"))
-    index.change(c.select("id", "content"), text="content")
-    return c, retrieval.retrieve_hybrid(c, q, index, replace(BANDS, bridge_floor=-1.0), exclude_self=True)
+    return c, retrieval.retrieve_hybrid(c, q, _index(spark, d, "chunks"), replace(BANDS, bridge_floor=-1.0), exclude_self=True)
 
 
 def rrf_hybrid(spark, d):
@@ -217,8 +219,8 @@ SELECT query_id, id, round(sum(CASE WHEN n = 1 THEN 0.1::DOUBLE WHEN term <> bef
 SELECT query_id, top_id, round(sim, 6) AS top_similarity, band, band = 'bridge' AND sim >= 0.35 AS show_nearest,
  CASE WHEN band = 'miss' THEN 'nothing_above_bridge_floor' WHEN band = 'bridge' AND sim >= 0.35 THEN 'only_near_misses' WHEN band = 'bridge' THEN 'too_weak_to_quote' END AS reason FROM h""",
     "search_view": f"WITH {HYBRID} SELECT query_id, rank, doc_title, 1 AS page, round(sim, 4) AS similarity, left(content, 300) AS preview, sim >= 0.36 AS shown FROM r JOIN c USING (id)",
-    "identifier_parse": r"""WITH t AS (SELECT p_partkey, 'what does is: ' || p_partkey || ' : ' || (1950 + p_size) || ' say' AS q FROM part),
-m AS (SELECT p_partkey, regexp_extract(q, '(?i)\bIS\s*:?\s*(\d{2,6})\s*(?::\s*(\d{4}))?', 1) AS code, regexp_extract(q, '(?i)\bIS\s*:?\s*(\d{2,6})\s*(?::\s*(\d{4}))?', 2) AS year FROM t)
+    "identifier_parse": f"""WITH t AS (SELECT p_partkey, 'what does is: ' || p_partkey || ' : ' || (1950 + p_size) || ' say' AS q FROM part),
+m AS (SELECT p_partkey, regexp_extract(q, '{re2(P.IDENTIFIER)}', 1) AS code, regexp_extract(q, '{re2(P.IDENTIFIER)}', 2) AS year FROM t)
 SELECT p_partkey, nullif(code, '') AS code, CASE WHEN code <> '' THEN nullif(year, '') END AS year FROM m""",
     "identifier_promotion": f"""WITH r0 AS (SELECT CAST(p_size AS BIGINT) AS query_id, p_partkey AS id, 0.3::DOUBLE + (p_partkey % 13) / 50.0::DOUBLE AS sim FROM part),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM r0) WHERE rank <= 5),

@@ -189,6 +189,30 @@ def document_titles(spark, d):
     return pages.document_titles(p.withColumn("text", F.concat(head, "text")).withColumn("source_file", name))
 
 
+def chunk_long_documents(spark, d):
+    """The texts of a source as one document of many pages, folded in segments by many tasks."""
+    t = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("source").alias("doc_title"), F.col("doc_id").cast("int").alias("page_number"), "text")
+    return chunking.chunk_documents(t, segment=1 << 16).drop("heading")
+
+
+def page_source(spark, d):
+    """The documents' own files read through the page source: each row's text is a page."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    from ..sources import page_format
+
+    def extract(raw):
+        return [t or "" for t in pq.read_table(io.BytesIO(raw), columns=["text"]).column(0).to_pylist()]
+
+    page_format.register(spark, extract, "parquet_texts")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    df = spark.read.format("parquet_texts").option("ending", ".parquet").load(f"{d}/documents.parquet" if whole else d)
+    return (df if whole else df.where("doc_id = 'documents'")).select("page_number", F.sha2("text", 256).alias("sha256"))
+
+
 def answer_pipeline(spark, d):
     """Every user turn as a query against all chunks, with stand-in models."""
     c = chunks(spark, d)
@@ -220,6 +244,7 @@ EDGES = f"{PAGES}, ed AS (SELECT doc_id, unnest(list_concat(list_slice(ls, 1, 2)
 any_word = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
 
 SQL = {
+    "page_source": "SELECT CAST(file_row_number + 1 AS INTEGER) AS page_number, sha256(coalesce(text, '')) AS sha256 FROM (SELECT text, row_number() OVER () - 1 AS file_row_number FROM documents)",
     "normalise_ws": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t\x{A0}]+', ' ', 'g') AS s FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM t""",
     "letter_density": f"WITH {LINES} SELECT doc_id, nth, round({DENSITY}, 6) AS density, round({DIGITS}, 6) AS digits FROM lines",
@@ -306,6 +331,6 @@ QUERIES = {
     for f in (
         normalise_ws, letter_density, table_row, heading_classify, edge_lines, running_heads, scan_detect, script_detect, chitchat, lookup_fragment,
         anchors, anchors_lost, romanised, validate_english, latin_fallback, degenerate_answer, substantive_answer, token_budget_prefix, escape_html,
-        passage_excerpt, embeddable_text, tidy_titles, rendered_body, error_classes, chunk_documents, document_titles, answer_pipeline,
+        passage_excerpt, embeddable_text, tidy_titles, rendered_body, error_classes, chunk_documents, chunk_long_documents, page_source, document_titles, answer_pipeline,
     )
 }

@@ -19,7 +19,7 @@ HEADING_TITLE_CHARS = 120
 CURRENCY = r"[₹$€£¥]"
 CURRENCY_WORD = rf"(?i){W0}(?:rs\.?|inr|usd|eur|gbp){W1}"
 NUMERIC = r"\d+(?:[.,]\d+)*"
-NON_LETTER = r"[\d\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff.,:;()\[\]{}/\\%+\-\u2013\u2014\u20b9$\u20ac\u00a3\u00a5*#&@!?=]"
+NON_LETTER = r"[\d\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff.,:;()\[\]{}/\\%+\-\u2013\u2014₹$€£¥*#&@!?=]"
 
 # pages
 SPARSE_PAGE_CHARS = 80

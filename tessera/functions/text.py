@@ -99,8 +99,19 @@ def embeddable_text(title: ColumnOrName, clause: ColumnOrName, page: ColumnOrNam
 
 
 def document_input(text: ColumnOrName, title: ColumnOrName | None = None, prefix: str = "search_document: ") -> Column:
-    head = F.lit("") if title is None else F.when(F.coalesce(col(title), F.lit("")) != "", F.concat(col(title), F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit(prefix), head, col(text))
+    return F.concat(F.lit(prefix), titled_input(text, title))
+
+
+def titled_input(text: ColumnOrName, title: ColumnOrName | None = None, prefix_title: bool = True) -> Column:
+    """For services without a field for titles: the title, if wanted and there, before the text."""
+    if title is None or not prefix_title:
+        return col(text)
+    return F.concat(F.when(F.coalesce(col(title), F.lit("")) != "", F.concat(col(title), F.lit("\n\n"))).otherwise(""), col(text))
+
+
+def separate_input(text: ColumnOrName, title: ColumnOrName) -> Column:
+    """For services that take titles by themselves: (text, title or null)."""
+    return F.struct(col(text).alias("text"), F.nullif(col(title), F.lit("")).alias("title"))
 
 
 def query_input(text: ColumnOrName, prefix: str = "search_query: ") -> Column:
@@ -148,12 +159,11 @@ def tidy_title(c: ColumnOrName, truncated: ColumnOrName) -> Column:
 
 
 def fnv1a(c: ColumnOrName) -> Column:
-    """Signed 32-bit FNV-1a over the characters of the basic plane."""
-    chars = F.filter(F.split(F.coalesce(col(c), F.lit("")), ""), lambda x: x != "")
-    unit = lambda ch: F.conv(F.hex(F.encode(ch, "UTF-16BE")), 16, 10).cast("long")
-    step = lambda h, ch: F.pmod(h.bitwiseXOR(unit(ch)) * 16_777_619, F.lit(1 << 32))
-    h = F.aggregate(chars, F.lit(2_166_136_261).cast("long"), step)
-    return F.when(F.size(chars) == 0, h).when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+    """Signed 32-bit FNV-1a over UTF-16 units; characters beyond the basic plane are two."""
+    units = F.regexp_extract_all(F.hex(F.encode(F.coalesce(col(c), F.lit("")), "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    step = lambda h, u: F.pmod(h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * 16_777_619, F.lit(1 << 32))
+    h = F.aggregate(units, F.lit(2_166_136_261).cast("long"), step)
+    return F.when(F.size(units) == 0, h).when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 
 def rotate(items: ColumnOrName, seed: ColumnOrName) -> Column:

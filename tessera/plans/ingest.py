@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.models import embed
+from ..functions.models import embed, embed_within
 from ..functions.text import embeddable_text
 from ..operators import chunking, pages, store
 from ..session import materialise
-from ..sources.snapshot import FORMAT, SnapshotError, read_bundle
+from ..sources.snapshot import FORMAT, SnapshotError, pdf_report, read_bundle, summarise_pdfs
 from ..sources.store import CHUNKS, Store
 
 
@@ -27,9 +27,11 @@ def documents_from_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return text.join(usable, "doc_id"), docs
 
 
-def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settings: Settings = Settings()) -> None:
+def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settings: Settings = Settings(), cap: int | None = None, kind: str = "cloud") -> None:
     """Chunk, embed and store; chunks that a stopped run of the same content stored already are
-    not embedded again; a document turns ready when all its chunks are there."""
+    not embedded again; a document turns ready when all its chunks are there. With ``cap`` at most
+    so many requests are sent; documents whose chunks had to wait stay pending, and the next run
+    goes on with them."""
     # read by several branches: extracted and chunked once
     raw = materialise(raw, "pages")
     text, docs = documents_from_pages(raw)
@@ -39,13 +41,18 @@ def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settin
     meta = docs.join(counts, "doc_id")
     begun = store.begin_documents(to.read("documents"), meta.select("doc_id", "content_hash"))
     resumable = begun.where("resumable").select("doc_id")
-    kept = to.read("chunks").join(resumable, "doc_id", "left_semi")
     rows = meta.select(
         "doc_id", "doc_title", "source_file", F.col("total_pages").cast("int").alias("page_count"), "chunk_count", "is_scanned",
         F.current_timestamp().alias("ingested_at"), F.lit("pending").alias("status"), F.lit(0).alias("embedded_count"), "content_hash",
     )
-    todo = store.to_do(chunks, kept)
-    done = embed(todo.withColumn("_input", embeddable_text("doc_title", "clause", "page_from", "heading", "content")), "_input", embedder, dims, settings.embed_batch_size)
+    # chunks of a document that begins anew are all to do; of the others those that are not stored
+    again, _ = to.to_do(chunks.join(resumable, "doc_id", "left_semi"))
+    todo = chunks.join(resumable, "doc_id", "left_anti").unionByName(again)
+    todo = todo.withColumn("_input", embeddable_text("doc_title", "clause", "page_from", "heading", "content"))
+    if cap is None:
+        done = embed(todo, "_input", embedder, dims, settings.embed_batch_size)
+    else:
+        done = embed_within(todo, "_input", embedder, dims, cap, settings.embed_batch_size, kind).where("embedding IS NOT NULL")
     new = done.select(F.xxhash64("doc_id", "chunk_index").alias("id"), *[c.split()[0] for c in CHUNKS.split(", ")[1:-2]], F.col("embedding"), F.current_timestamp().alias("created_at"))
     touched = meta.select("doc_id")
     to.change(
@@ -55,6 +62,16 @@ def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settin
     )
 
 
+def import_and_report(spark: SparkSession, folder: str, to: Store, embed_config: dict, pdfs: DataFrame, settings: Settings = Settings(), replace: bool = False, format_name: str = FORMAT) -> tuple[DataFrame, DataFrame, str]:
+    """``import_bundle``, then how the bundle's documents stand to the files that are there:
+    (orphans, report, summary). ``pdfs``: source_file, sha256."""
+    orphans = import_bundle(spark, folder, to, embed_config, settings, replace, format_name)
+    docs, _, _ = read_bundle(spark, folder, embed_config, settings, format_name)
+    digest = F.col("pdf.sha256") if "pdf" in docs.columns else F.lit(None).cast("string")
+    report = materialise(pdf_report(docs.select("doc_id", "source_file", digest.alias("sha256")), pdfs), "pdf-report")
+    return orphans, report, summarise_pdfs(report)
+
+
 def import_bundle(spark: SparkSession, folder: str, to: Store, embed_config: dict, settings: Settings = Settings(), replace: bool = False, format_name: str = FORMAT) -> DataFrame:
     """Check configuration and checksums, compare with the store, verify what was read against
     the manifest, then load it and its fingerprint by one change; returns the stored documents that the bundle does

@@ -12,6 +12,7 @@ import datetime as dt
 import json
 import re
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +76,44 @@ class Files:
         return {r["f"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in got.collect()}
 
     def write_lines(self, name: str, rows: DataFrame, one_file: bool) -> None:
-        """Gzip JSON lines, in one file or in a folder of bounded parts."""
+        """Gzip JSON lines, in a folder of bounded parts or, joined, in one file. Tasks compress
+        their parts side by side either way."""
         if not one_file:
             rows.write.option("compression", "gzip").option("maxRecordsPerFile", PART_ROWS).json(self.at(name))
             return
-        rows.coalesce(1).write.option("compression", "gzip").json(self.at(f"{name}.parts"))
-        parts = self.path(self.at(f"{name}.parts"))
-        part = next(s.getPath() for s in self.fs.listStatus(parts) if s.getPath().getName().endswith(".gz"))
-        self.fs.rename(part, self.path(self.at(name)))
-        self.fs.delete(parts, True)
+        rows.write.option("compression", "gzip").json(self.at(f"{name}.parts"))
+        self.join(f"{name}.parts", name)
+
+    def join(self, folder: str, name: str) -> None:
+        """The parts of a folder as one file, in the order of their names: gzip files one after
+        another are a gzip file. The file system joins them where it can; else their bytes pass
+        through here as a stream."""
+        jvm, folder = self.spark._jvm, self.path(self.at(folder))
+        parts = sorted((s.getPath() for s in self.fs.listStatus(folder) if s.getPath().getName().endswith(".gz") and s.getLen()), key=lambda p: p.getName())
+        final = self.path(self.at(name))
+        if len(parts) > 1:
+            try:
+                others = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+                for i, p in enumerate(parts[1:]):
+                    others[i] = p
+                self.fs.concat(parts[0], others)
+                parts = parts[:1]
+            except UnsupportedOperationException:
+                pass  # their bytes are copied below
+        if len(parts) == 1:
+            self.fs.rename(parts[0], final)
+        else:
+            out = self.fs.create(final)
+            try:
+                for p in parts:
+                    one = self.fs.open(p)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(one, out, 1 << 20, False)
+                    finally:
+                        one.close()
+            finally:
+                out.close()
+        self.fs.delete(folder, True)
 
     def read_lines(self, name: str, ddl: str) -> DataFrame:
         """Rows of gzip JSON lines. Blank lines are skipped; a line that is no such row raises an

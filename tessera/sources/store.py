@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store as ops
+from ..session import materialise
+from . import key_filter
 from .keyword_index import KeywordIndex
 
 CHUNKS = "id long, doc_id string, doc_title string, page_from int, page_to int, clause string, chunk_index int, content string, embedding array<float>, created_at timestamp"
@@ -82,8 +84,9 @@ class Store:
         old = [n for n, following in zip(names, names[1:]) if ages[following] < before]
         kept = [self._load(n) for n in names if n not in old]
         live = {(t, v) for m in kept for t in self.SCHEMAS for v in m.get(t, {}).values()}
+        live |= {("filters", f["path"].rsplit("/", 1)[1]) for m in kept for f in m.get("filters", [])}
         live |= {("keywords", x["path"].rsplit("/", 1)[1]) for m in kept for part in m.get("keywords", {}).values() for x in part}
-        for table in (*self.SCHEMAS, "keywords"):
+        for table in (*self.SCHEMAS, "keywords", "filters"):
             folder = self._path(f"{self.root}/{table}")
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
                 if (table, status.getPath().getName()) not in live and status.getModificationTime() < before:
@@ -129,12 +132,41 @@ class Store:
                 kept = {} if some is None else {b: v for b, v in manifest.get(name, {}).items() if int(b) not in some}
                 written = [n.removeprefix("bucket=") for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("bucket=")]
                 manifest[name] = {**kept, **{b: version for b in written}}
+            if "chunks" in made:
+                manifest["filters"] = self._filters(before, some)
             if self._keywords and "chunks" in made:
                 manifest["keywords"] = self._index_change(before, touched, some)
         finally:
             self._pending = None
         self._commit(manifest)
 
+    def _filters(self, before: dict, some: set[int] | None) -> list[dict]:
+        """Filters of the chunk keys of the touched partitions, beside those of the others."""
+        rows, path = self.read("chunks", some), f"{self.root}/filters/{uuid.uuid4().hex}"
+        n = rows.groupBy(self.bucket()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        key_filter.build_filters(rows, self.bucket(), ops.KEY, key_filter.bits_for(n)).write.parquet(path)
+        kept = [] if some is None else [{**f, "buckets": left} for f in before.get("filters", []) if (left := [b for b in f["buckets"] if b not in some])]
+        return [*kept, {"path": path, "buckets": sorted(some) if some is not None else list(range(self.buckets))}]
+
+    def to_do(self, wanted: DataFrame) -> tuple[DataFrame, dict]:
+        """The rows of ``wanted`` whose chunk is not stored yet, and how many partitions had to be
+        read for it. Keys that the filters do not know are new without a read; the partitions
+        of the others are read and joined exactly."""
+        parts = self._manifest().get("filters")
+        if parts is None:
+            return ops.to_do(wanted, self.read("chunks")), {"partitions": self.buckets, "read": self.buckets}
+        filters = None
+        for f in parts:
+            own = self.spark.read.schema(key_filter.FILTERS).parquet(f["path"]).where(F.col("bucket").isin(f["buckets"]))
+            filters = own if filters is None else filters.unionAll(own)
+        tested = materialise(key_filter.may_hold(wanted, filters, self.bucket(), ops.KEY), "tested-keys")
+        new = tested.where("not _maybe").drop("_bucket", "_maybe")
+        hit = {r[0] for r in tested.where("_maybe").select("_bucket").distinct().collect()}  # at most ``buckets``
+        if not hit:
+            return new, {"partitions": self.buckets, "read": 0}
+        maybe = tested.where("_maybe").drop("_bucket", "_maybe")
+        return new.unionByName(ops.to_do(maybe, self.read("chunks", hit))), {"partitions": self.buckets, "read": len(hit)}
+
     def _index_change(self, before: dict, touched: DataFrame | None, some: set[int] | None) -> dict:
         """The index after a change: a segment of the touched documents, whose older postings die."""
         index = KeywordIndex(self.spark, f"{self.root}/keywords", before.get("keywords") if some is not None else None)
@@ -160,7 +192,7 @@ class Store:
         done = ops.index_change(self.fingerprint(), wanted)
         manifest = self._manifest()
         if done in ("wipe", "recreate"):
-            manifest = {k: v for k, v in manifest.items() if k not in (*self.SCHEMAS, "keywords")}
+            manifest = {k: v for k, v in manifest.items() if k not in (*self.SCHEMAS, "keywords", "filters")}
         self._commit({**manifest, "fingerprint": wanted})
         return done
 

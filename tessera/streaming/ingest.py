@@ -23,13 +23,6 @@ def ingest_stream(spark: SparkSession, landing: str, store: Store, checkpoint: s
     return source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def progress(chunks: DataFrame) -> DataFrame:
-    """Running count of distinct chunks per document, exactly, for a batch or a stream (where
-    the chunks seen are its state)."""
-    once = chunks.dropDuplicates(["doc_id", "chunk_index"])
-    return once.groupBy("doc_id").agg(F.count("*").alias("embedded_count"))
-
-
 def arrivals(events: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events per window and type; a stream drops what comes later than ``late``."""
     windowed = events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs, keywords, vectors
-from tessera.sources import keyword_index
+from tessera.sources import key_filter, keyword_index
 from tessera.sources.keyword_index import KeywordIndex
 from tessera.sources.store import CHUNKS, Store
 
@@ -209,6 +209,25 @@ def test_store_keeps_its_index(spark, tmp_path, monkeypatch):
     assert postings_of(kept.keyword_index().postings()) == postings_of(keywords.postings(kept.read("chunks"), "id", F.concat_ws(" ", "doc_title", "content")))
 
 
+def test_new_keys_need_no_read(spark, tmp_path):
+    kept = Store(spark, str(tmp_path / "s"), buckets=16)
+    old = spark.createDataFrame([chunk(i, f"d{i % 40}", i // 40, "x") for i in range(400)], CHUNKS)
+    kept.change(chunks=lambda _: old)
+    new = spark.createDataFrame([chunk(1000 + i, f"e{i}", 0, "x") for i in range(30)], CHUNKS)
+    todo, report = kept.to_do(new)
+    assert todo.count() == 30 and report["read"] <= 4 and report["partitions"] == 16
+    some = old.where("doc_id in ('d1', 'd2') and chunk_index < 4").unionAll(new)
+    todo, report = kept.to_do(some)
+    assert sorted(r["id"] for r in todo.collect()) == list(range(1000, 1030)) and report["read"] <= 7
+    kept.upsert_chunks(new.where("doc_id = 'e7'"))  # one partition has a filter of its own now
+    assert sorted(r["doc_id"] for r in kept.to_do(new)[0].collect()) == sorted(f"e{i}" for i in range(30) if i != 7)
+    kept.change(chunks=lambda c: c.where("doc_id = 'd1'"))
+    assert kept.to_do(old)[0].count() == 390
+    a, b = (key_filter.places(np.array(h, np.int64), 1 << 13) for h in ([5, -9], [7]))
+    bits = lambda p: np.packbits(np.isin(np.arange(1 << 13), p), bitorder="little").tobytes()
+    assert key_filter.merged([bits(a), bits(b)]) == bits(np.concatenate([a, b]))
+
+
 def test_vectors_are_not_moved(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(500)], "id long, embedding array<float>").repartition(5)
