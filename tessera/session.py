@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -29,6 +31,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def pickle_whole(module: str) -> None:
+    """Send what a module defines by value. The Python processes in which the driver plans data
+    sources and stream state have no files of the application."""
+    if module not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 #: Rows and bytes of an Arrow batch where rows carry whole texts; they bound what a Python
 #: worker, and the JVM's buffers beside it, hold at once.
 TEXT_ROWS_PER_BATCH = 512

@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..session import ship_package
+from ..session import pickle_whole, ship_package
 from .files import PAGES_DDL
 
 PARTITION_BYTES = 32 << 20
@@ -131,6 +131,7 @@ def register(spark: SparkSession, extract: Callable[[bytes], list[str]], name: s
     """Make the format ``name`` known, with the extractor of its files. Options: path, ending
     (of file names, default ``.pdf``), partitionBytes."""
     ship_package(spark)
+    pickle_whole(__name__)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
     class Source(DataSource):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import ship_package
+from ..session import pickle_whole, ship_package
 
 PAGE = 1 << 15  # chunks whose bits are one entry of the state
 PROGRESS = "doc_id string, chunk_count int, embedded_count long, status string"
@@ -91,6 +91,7 @@ def document_progress(events: DataFrame, stalled_after_ms: int = 3_600_000) -> D
     ``append``. Rows without a document are left out."""
     spark = events.sparkSession
     ship_package(spark)
+    pickle_whole(__name__)
     rows = events.select("doc_id", F.col("chunk_count").cast("int").alias("chunk_count"), F.col("chunk_index").cast("long").alias("chunk_index")).where("doc_id IS NOT NULL")
     return rows.groupBy("doc_id").transformWithStateInPandas(DocumentProgress(stalled_after_ms), PROGRESS, "append", "ProcessingTime")
 
