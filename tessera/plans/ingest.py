@@ -30,8 +30,8 @@ def documents_from_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settings: Settings = Settings(), cap: int | None = None, kind: str = "cloud") -> None:
     """Chunk, embed and store; chunks that a stopped run of the same content stored already are
     not embedded again; a document turns ready when all its chunks are there. With ``cap`` at most
-    so many requests are sent; documents whose chunks had to wait stay pending, and the next run
-    goes on with them."""
+    so many requests are sent, none for documents that are ready with the same content; those whose
+    chunks had to wait stay pending, and the next run goes on with them."""
     # read by several branches: extracted and chunked once
     raw = materialise(raw, "pages")
     text, docs = documents_from_pages(raw)
@@ -39,6 +39,10 @@ def index_pages(raw: DataFrame, to: Store, embedder: Callable, dims: int, settin
     chunks = materialise(chunking.chunk_documents(text, settings), "chunked")
     counts = chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
     meta = docs.join(counts, "doc_id")
+    if cap is not None:  # requests are few: what is ready and the same is left alone
+        same = to.read("documents").where("status = 'ready'").select("doc_id", "content_hash")
+        meta = materialise(meta.join(same, ["doc_id", "content_hash"], "left_anti"), "documents-to-index")
+        chunks = chunks.join(meta.select("doc_id"), "doc_id", "left_semi")
     begun = store.begin_documents(to.read("documents"), meta.select("doc_id", "content_hash"))
     resumable = begun.where("resumable").select("doc_id")
     rows = meta.select(
