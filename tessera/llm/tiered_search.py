@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialise
 
-SHARD_BYTES = 16 << 20  # of text
+SHARD_BYTES = 8 << 20  # of text; what a task holds while it makes a shard is some twenty times that
 PIECE = 1 << 20  # bytes of a text that are split into terms at once
 #: Of a term's postings in a shard: in the first tier, and in the first two; never under ``LEAST``.
 SHARES, LEAST = (1 / 8, 1 / 2), 32
