@@ -5,6 +5,7 @@ import random
 import unicodedata
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,14 @@ def test_small_and_equal_vectors_in_graphs(spark):
     assert len(got) == 6 and all(r["similarity"] == pytest.approx(1, abs=1e-6) for r in got)
     one = df.where("id = 5")
     assert [r["id"] for r in graphs.graph_top_k(graphs.build_graphs(one), one.withColumnRenamed("id", "query_id"), 3).collect()] == [5]
+
+
+def test_the_word_or_is_a_term_of_its_query(spark, tmp_path):
+    from tessera.catalogue.retrieval import SQL, keyword_websearch
+
+    texts = {100: "er or erheed", 300: "or thing to", 200: "or and no", 400: "x or y", 1: "only or", 2: "thing or", 3: "erheed x", 4: "to and fro", 500: "a or b"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, keyword_websearch(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(SQL["keyword_websearch"]).fetchall()) and (100, 2) in got
