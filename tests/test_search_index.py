@@ -292,3 +292,30 @@ def test_the_word_or_is_a_term_of_its_query(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(map(tuple, keyword_websearch(spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(SQL["keyword_websearch"]).fetchall()) and (100, 2) in got
+
+
+def test_pairs_are_told_where_the_documents_are(spark, monkeypatch):
+    """Results are the same in many blocks of queries and of matches, and no pair is shuffled."""
+    rnd = random.Random(4)
+    words = "a b c d e f".split()
+    docs = {i: [rnd.choice(words) for _ in range(rnd.randrange(9))] for i in range(120)}
+    asked = {q: [rnd.choice([*words, "none"]) for _ in range(rnd.randrange(4))] for q in range(60)}
+    barred = {q: rnd.choice([[], ["f"], ["e", "none"]]) for q in asked}
+    posted = keywords.postings(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "id long, text string"))
+    queries = spark.createDataFrame([(q, t, barred[q]) for q, t in asked.items()], "query_id long, terms array<string>, barred array<string>")
+    want = sorted((q, i) for q, t in asked.items() for i, w in docs.items() if t and set(t) <= set(w) and not set(barred[q]) & set(w))
+    some = sorted((q, i) for q, t in asked.items() for i, w in docs.items() if set(t) & set(w))
+    for most, at_once in ((1 << 17, 1 << 16), (7, 3)):
+        monkeypatch.setattr(keywords, "MOST_ASKED", most)
+        monkeypatch.setattr(keywords, "PAIRS_AT_ONCE", at_once)
+        found = keywords.match_all(posted, queries)
+        assert sorted((r["query_id"], r["id"]) for r in found.collect()) == want
+        for r in found.limit(40).collect():
+            assert [(m["term"], m["tf"], m["positions"]) for m in r["matched"]] == [(t, docs[r["id"]].count(t), [p for p, w in enumerate(docs[r["id"]], 1) if w == t]) for t in sorted(set(asked[r["query_id"]]))]
+        bare = keywords.match_all(posted, queries, places=False)
+        assert sorted(map(tuple, bare.collect())) == want
+        either = keywords.match_any(posted, queries)
+        assert sorted(map(tuple, either.collect())) == some
+        for df in (found, bare, either):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan
