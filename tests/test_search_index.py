@@ -319,3 +319,20 @@ def test_pairs_are_told_where_the_documents_are(spark, monkeypatch):
         for df in (found, bare, either):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan
+
+
+def test_pruned_search_scores_where_chunks_are_read(spark):
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(300, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>").repartition(5)
+    q = v.where("id % 30 = 0").withColumnRenamed("id", "query_id")
+    centroids = vectors.fit_centroids(v, 6)
+    found = vectors.pruned_top_k(v, q, centroids, 4, cells=2)
+    unit, c = x / np.linalg.norm(x, axis=1, keepdims=True), np.array(centroids)
+    cell, want = (unit @ c.T).argmax(1), set()
+    for i in range(0, 300, 30):
+        mine = np.argsort(-(unit[i] @ c.T))[:2]
+        able = [j for j in range(300) if cell[j] in mine]
+        want |= {(i, j, n) for n, j in enumerate(sorted(able, key=lambda j: (-round(unit[i] @ unit[j], 12), j))[:4], 1)}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
