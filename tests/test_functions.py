@@ -154,3 +154,20 @@ def test_table_rows_use_every_listed_character():
     from tessera.functions import patterns, text
 
     assert len(text.NON_LETTERS) > 60 and not set(text.NON_LETTERS) & set("aZé漢") and all(re.match(patterns.NON_LETTER, c, re.A) for c in text.NON_LETTERS)
+
+
+def test_degenerate_answers_sort_their_sentences_once(spark):
+    """In time that grows with the sentences, not with their square."""
+    import time
+
+    from tessera.functions import answers
+
+    many = [" ".join(f"Sentence number {i} of this long answer is like no other one." for i in range(n)) for n in (3000,)]
+    texts = [*many, many[0] + " And this very one comes again here." * 4, many[0] + " And this very one comes again here." * 3, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    began = time.time()
+    got = {r[0]: r[1] for r in df.select("i", answers.is_degenerate("t")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: False}
+    plan = df.select(answers.is_degenerate("t"))._jdf.queryExecution().optimizedPlan().toString()
+    lambdas = plan[plan.index("zip_with") :] if "zip_with" in plan else ""
+    assert lambdas and "get(array_sort" not in plan and time.time() - began < 60
