@@ -1,33 +1,44 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-Candidates share one of ``BANDS`` keys of ``ROWS`` min-hashes; at similarity 0.8 a pair shares
-none with a chance of (1 - 0.8 ** 5) ** 24, 0.00007. A key's texts are compared with the least
-of them first, exactly, and only those that are not connected with it already: the first keys
-connect most of a large group, so that the others have little left. Where a key still holds
-several components, members chosen at random meet all members of other components, four times as
-many in each round, until few pairs across components are left; these are compared too. Sizes rule
-pairs out. So every link counts, and a large
-group of copies costs a few rounds and not its square. Rows of a hot key, and pairs of a hot
-text, are dealt in parts. Only texts with a candidate have their shingles read.
+Candidates come by pigeonring chains, twice.
+
+1. SimHash fingerprints at few differing bits, as in ``simhash``, connect close copies early.
+2. No distance of 64 bits covers a bound of similarity, so what counts as a candidate is decided
+   on the set itself, as a vector of one bit for each possible shingle. Two sets of sizes a and b
+   that are similar enough differ in at most (a + b) * (1 - s) / (1 + s) bits. The hashes of a
+   set, in order, are cut into m boxes on a ring, m one more than that bound. Then some box starts a chain whose first l boxes together differ in less than
+   l shingles, for every l: its first box is equal. Each set is dealt by its boxes; an empty box,
+   which many sets have, is dealt with the next one, whole and less any one of its shingles.
+   Similar sets are in the same class of sizes or in neighbours; the smaller one's class has the
+   ring on which they meet, so a set is on that of its class and on that below. No link is lost.
+
+Sets of a box in different components are compared where they meet, by folded vectors (bits that
+differ there differ in the sets) and sizes, and nothing else of them is moved. What passes is
+compared exactly: first a spanning forest of it, so that a group of copies costs a few rounds and
+not its square, then all that is left across components. Only texts of a pair that passed
+have their shingles read again.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import id_text, materialise, split_join
 from .simhash import connected
+from .substring_dedup import mixed
 
-BANDS, ROWS = 24, 5
-BATCHES = ((0, 2), (2, BANDS))  # keys that are met together
+DISTANCE = 4  # bits of SimHash fingerprints for the first links
 PAIRS_A_MEMBER = 8  # so few pairs across components are compared without further rounds
-_RANDOM = np.random.default_rng(20)
-_FLIP, _TIMES = (_RANDOM.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32) for _ in range(2))
-_TIMES |= np.uint32(1)
+ROWS_AT_ONCE = 50_000  # that a task holds of the rings, beside the rest of one box
+WORDS_AT_ONCE = 1 << 21  # of folded vectors that are compared at once
+MOST_BITS = 1 << 13
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -45,27 +56,100 @@ def identity(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 4096):  # bounded scratch space for very long texts
-        least = np.minimum(least, ((short[at : at + 4096] ^ _FLIP) * _TIMES).min(1))
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-
-
-def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, fp (of the set of shingles), n (its size) and the band keys of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+@functools.cache
+def size_classes(similarity: float) -> np.ndarray:
+    """Largest size of each class; similar sets are in one class or in neighbours."""
+    most = [1]
+    while most[-1] < 2**40:
+        most.append(max(most[-1] + 1, int((most[-1] + 1) / similarity + 1e-9)))
+    return np.array(most)
+
+
+def most_differing(total, similarity: float):
+    """Shingles in which two similar sets of ``total`` shingles together differ at most."""
+    return np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+
+
+def ring_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set's boxes, on the ring of its class of sizes and on that below."""
+    classes = size_classes(similarity)
+    own, found = int(np.searchsorted(classes, len(hashes))), []
+    place, value = hashes >> np.uint64(32), mixed(hashes, hashes)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    for ring in range(max(0, own - 1), own + 1):
+        boxes = int(most_differing(classes[ring] + int(classes[ring] / similarity + 1e-9), similarity)) + 1
+        if boxes == 1:
+            continue  # sets that differ are never similar
+        edges = np.searchsorted((place * np.uint64(boxes)) >> np.uint64(32), np.arange(boxes + 1))
+        first, last = edges[:-1], edges[1:]
+        sums = upto[last] - upto[first]
+        salt = np.arange(boxes, dtype=np.uint64) + np.uint64(ring << 40)
+        full = first < last
+        found.append(mixed(mixed(sums[full], salt[full]), salt[full]))
+        empty = np.flatnonzero(~full)
+        if len(empty):
+            # two boxes of a chain differ in one shingle at most
+            following = (empty + 1) % boxes
+            salt = salt[empty] + np.uint64(1 << 39)
+            n = (last - first)[following]
+            element = np.repeat(first[following], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            less = np.repeat(sums[following], n) - value[element]
+            sums, salt = np.concatenate([sums[following], less]), np.concatenate([salt, np.repeat(salt, n)])
+            found.append(mixed(mixed(sums, salt), salt))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def folded(hashes: np.ndarray, similarity: float) -> bytes:
+    """The set's vector, folded (bits of one place added modulo 2) to some two times the size of
+    its class: two of these differ in no more bits than the sets do in shingles."""
+    size = int(size_classes(similarity)[np.searchsorted(size_classes(similarity), len(hashes))])
+    bits = min(MOST_BITS, max(256, 1 << (2 * size - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp (of the set of shingles), n (its size), sim (its SimHash) and its folded vector,
+    of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sim", pa.int64()), ("vector", pa.binary())])
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            fps = np.array([identity(s) for s in sets], np.uint64).view(np.int64)
-            keys = np.array([band_keys(s) for s in sets], np.uint64).view(np.int64).reshape(-1)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), listed], schema=schema)
+            fps, sims = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (identity, simhash.majority))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(sims), pa.array([folded(s, similarity) for s in sets], pa.binary())], schema=schema)
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long, n long, sim long, vector binary")
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+
+def ring_rows(df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """key, fp of the boxes that several sets have."""
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+
+    def deal(batches):
+        for batch in batches:
+            for text in batch.column(1):
+                own = shingles(text.as_py(), width)
+                keys = ring_keys(own, similarity).view(np.int64)
+                fp = np.full(len(keys), identity(own), np.uint64).view(np.int64)
+                for at in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(fp[at : at + 100_000])], schema=schema)
+
+    def meet(batches):
+        for keys, fps in simhash.whole_keys(batches):
+            order = np.lexsort((fps, keys))
+            keys, fps = keys[order], fps[order]
+            fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])])
+            keys, fps = keys[fresh], fps[fresh]
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.append(heads, len(keys)))
+            several = np.flatnonzero(np.repeat(n, n) > 1)
+            for at in range(0, len(several), 100_000):
+                part = several[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(fps[part])], schema=schema)
+
+    dealt = id_text(df, id_col, text_col).mapInArrow(deal, "key long, fp long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, fp long")
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -107,78 +191,160 @@ def similarities(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, similarity double")
 
 
-def keyed(kinds: DataFrame, roots: DataFrame | None, bands: tuple[int, int]) -> DataFrame:
-    """key, fp, n, root of every distinct set, for the keys of ``bands``."""
-    if roots is not None:
-        kinds = kinds.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    root = F.coalesce("root", "fp") if roots is not None else F.col("fp")
-    return kinds.select("fp", "n", root.alias("root"), F.explode(F.slice("keys", bands[0] + 1, bands[1] - bands[0])).alias("key"))
-
-
-def near_links(df: DataFrame, kinds: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(u, v): v is the least of the sets that u is connected with, over links of at least
-    ``similarity`` between candidates. ``kinds``: fp, n, keys and least (doc_id) of every set."""
-    shared = keyed(kinds, None, (0, BANDS)).groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last")
-    able = keyed(kinds, None, (0, BANDS)).join(shared.select("key"), "key", "left_semi").select("fp").distinct()
-    kinds = materialise(kinds.join(able, "fp", "left_semi"), "candidates")
-    total = kinds.count()
-    sets = materialise(shingle_sets(df, id_col, text_col, width, kinds.select("fp", "least")), "shingles")
-    roots = None
-    for bands in BATCHES:
-        rows = keyed(kinds, roots, bands)
-        keys = rows.groupBy("key").agg(F.min(F.struct("fp", "root", "n")).alias("centre"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b")
-        met = split_join(rows, keys.select("key", "centre"), "key", keys, total).where("root <> centre.root")
-        met = met.where(F.least("n", "centre.n") >= F.greatest("n", "centre.n") * (similarity - 1e-9))  # else never similar
-        pairs = materialise(met.select(F.col("fp").alias("u"), F.col("centre.fp").alias("v")).distinct(), "star-pairs")
-        roots = joined_up(roots, similarities(pairs, sets, similarity))
-    centres, rest = 4, None
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges make a spanning forest of n nodes: each tree takes its first edge to
+    another one, until none has any."""
+    label, kept, edge = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(a))
+    while len(edge := edge[label[a[edge]] != label[b[edge]]]):
+        first = np.full(n, len(a))
+        for ends in (a, b):
+            np.minimum.at(first, label[ends[edge]], edge)
+        kept.append(np.unique(first[first < len(a)]))
+        label = simhash.components(n, label[a[kept[-1]]], label[b[kept[-1]]])[label]
+    return np.concatenate(kept)
+
+
+def alike(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one key (rows are sorted by it) in different components that sizes and
+    folded vectors do not rule out."""
+    key, root, n = (table.column(c).to_numpy() for c in ("key", "root", "n"))
+    ends = np.searchsorted(key, key, "right")
+    raw = table.column("vector").to_pylist()
+    words = np.array([len(v) // 8 for v in raw])
+    upto, at, here, most = np.cumsum(ends - np.arange(len(key)) - 1), 0, np.arange(len(key)), WORDS_AT_ONCE // 4
+    found = [(np.zeros(0, np.int64),) * 2]
+    vectors = {}
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        size = (ends - here - 1)[at:stop]
+        a = np.repeat(here[at:stop], size)
+        b = a + 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = stop
+        apart = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * (similarity - 1e-9))
+        a, b = a[apart], b[apart]
+        bound, least = most_differing(n[a] + n[b], similarity), np.minimum(words[a], words[b])
+        for w in np.unique(least).tolist():
+            if w not in vectors:
+                rows = np.flatnonzero((words == w) | (words == 2 * w))
+                spot = np.zeros(len(key), np.int64)
+                spot[rows] = np.arange(len(rows))
+                folds = np.zeros((len(rows), w), np.uint64)
+                for times in (1, 2):
+                    own = np.flatnonzero(words[rows] == times * w)
+                    folds[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join(raw[r] for r in rows[own].tolist()), "<u8").reshape(len(own), times, w), axis=1)
+                vectors[w] = spot, folds
+            spot, folds = vectors[w]
+            pairs, step = np.flatnonzero(least == w), max(1, WORDS_AT_ONCE // w)
+            for k in range(0, len(pairs), step):
+                p = pairs[k : k + step]
+                for part in (folds[:, : w // 2], folds):  # half the bits mostly tell
+                    p = p[np.bitwise_count(part[spot[a[p]]] ^ part[spot[b[p]]]).sum(1, dtype=np.int64) <= bound[p]]
+                found.append((a[p], b[p]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def whole_boxes(batches):
+    """Rows sorted by key, some whole keys at a time."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(0).to_numpy()
+        if rows >= ROWS_AT_ONCE and (cut := int(np.searchsorted(keys, last, "right"))) < len(keys):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += len(batch)
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """By ranges, so that boxes of many sets are not dealt to the same task."""
+    return rows.repartitionByRange("key").sortWithinPartitions("key")
+
+
+def still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, fp, root of the boxes whose sets are in several components."""
+
+    def run(batches):
+        for table in whole_boxes(batches):
+            key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(heads, len(key)))
+            yield from table.filter(pa.array(np.repeat(np.minimum.reduceat(root, heads) != np.maximum.reduceat(root, heads), n))).to_batches(100_000)
+
+    named = rows.select("key", "fp").join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left")
+    return by_key(named.select("key", "fp", F.coalesce("v", "fp").alias("root"))).mapInArrow(run, "key long, fp long, root long")
+
+
+def passing(rows: DataFrame, vectors: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(u, v, pairs) of the sets of a box that may be similar: all, or a spanning forest for what
+    a task holds; the sum of pairs is that of all."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("pairs", pa.int64())])
+
+    def run(batches):
+        for table in whole_boxes(batches):
+            a, b = alike(table, similarity)
+            if not len(a):
+                continue
+            fp, pairs = table.column("fp").to_numpy(), len(a)
+            if not every:
+                names, number = np.unique(table.column("root").to_numpy(), return_inverse=True)
+                tree = spanning(len(names), number[a], number[b])
+                a, b = a[tree], b[tree]
+            ends = np.unique(np.stack([np.maximum(fp[a], fp[b]), np.minimum(fp[a], fp[b])], 1), axis=0)
+            for at in range(0, len(ends), 100_000):
+                part = ends[at : at + 100_000]
+                told = np.zeros(len(part), np.int64)
+                told[0] = 0 if at else pairs
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(told)], schema=schema)
+
+    return by_key(rows.join(vectors, "fp").select("key", "fp", "root", "n", "vector")).mapInArrow(run, "u long, v long, pairs long")
+
+
+def close_prints(kinds: DataFrame) -> DataFrame:
+    """(u, v): sets (fp) whose SimHash fingerprints (sim) are equal or linked by chains."""
+    prints = materialise(kinds.groupBy("sim").agg(F.min("fp").alias("first"), F.count("*").alias("n")), "fingerprint-set")
+    equal = split_join(kinds, prints.select("sim", "first"), "sim", prints, kinds.count()).select("fp", F.col("first").alias("other"))
+    links = simhash.near_links(prints.select(F.col("sim").alias("fp")), DISTANCE)
+    for end, name in (("u", "fp"), ("v", "other")):
+        links = links.join(prints.select(F.col("sim").alias(end), F.col("first").alias(name)), end)
+    both = equal.unionAll(links.select("fp", "other")).where("fp <> other")
+    return both.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v"))
+
+
+def near_links(df: DataFrame, sketched: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(u, v): v is the least of the sets that u is connected with, over all links of at least
+    ``similarity``."""
+    rows = materialise(ring_rows(df, id_col, text_col, width, similarity), "ring")
+    able = rows.select("fp").distinct()
+    vectors = materialise(sketched.join(able, "fp", "left_semi").select("fp", "n", "vector").dropDuplicates(["fp"]), "vectors")
+    forest = materialise(passing(rows.withColumn("root", F.col("fp")), vectors, similarity, False), "forest")
+    # a set that may be similar to any other is in the forest
+    able = materialise(forest.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "able")
+    rows = materialise(rows.join(able, "fp", "left_semi"), "able-rows")
+    kinds = materialise(sketched.join(able, "fp", "left_semi").groupBy("fp", "sim").agg(F.min("doc_id").alias("least")), "candidates")
+    sets = materialise(shingle_sets(df, id_col, text_col, width, kinds), "shingles")
+    pairs = materialise(forest.select("u", "v").unionAll(close_prints(kinds)).distinct(), "pairs")
+    roots = connected(similarities(pairs, sets, similarity).select("u", "v"))
     while True:
-        rest, members, pairs = still_apart(kinds, roots, rest)
-        if pairs <= PAIRS_A_MEMBER * members:
-            break
-        # some members at random meet all others of their key; four times as many in each round
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-        chance = F.pmod(F.xxhash64("fp", F.lit(centres)), F.greatest(F.lit(1), F.floor(F.col("_m") / centres))) == 0
-        chosen = split_join(rest, sizes.select("key", F.col("n").alias("_m")), "key", sizes, members).where(chance).drop("_m")
-        chosen = materialise(chosen, "chosen")
-        roots = joined_up(roots, linked(rest, chosen, sizes, members, sets, similarity))
-        rest = rest.join(chosen.select("key", "fp"), ["key", "fp"], "left_anti")  # they met everyone
-        centres *= 4
-    if pairs:
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-        roots = joined_up(roots, linked(rest, rest, sizes, members, sets, similarity))
-    return roots
-
-
-def joined_up(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of what was connected so far, whose stars stand for all their links, and new links."""
-    links = links.select("u", "v")
-    return connected(links if roots is None else roots.unionAll(links))
-
-
-def still_apart(kinds: DataFrame, roots: DataFrame, rest: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """Rows of the keys whose members are in several components (of ``rest``, or all); how many
-    there are, and how many pairs across components."""
-    rows = keyed(kinds, roots, (0, BANDS))
-    if rest is not None:
-        rows = rows.join(rest.select("key", "fp"), ["key", "fp"], "left_semi")
-    rows = materialise(rows, "rooted")
-    classes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    keys = classes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-    members, pairs = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()
-    if not pairs:
-        return rows, 0, 0
-    return materialise(split_join(rows, keys.select("key"), "key", keys.select("key", "n"), members), "mixed"), members, pairs
-
-
-def linked(some: DataFrame, others: DataFrame, sizes: DataFrame, members: int, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of one key in different components; pairs whose sizes rule them out
-    are not compared."""
-    named = lambda x, e: x.select("key", *[F.col(c).alias(f"{e}_{c}") for c in ("fp", "n", "root")])
-    close = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * (similarity - 1e-9)
-    across = split_join(named(some, "a"), named(others, "b"), "key", sizes, members).where((F.col("a_root") != F.col("b_root")) & close)
-    across = materialise(across.select(F.greatest("a_fp", "b_fp").alias("u"), F.least("a_fp", "b_fp").alias("v")).distinct(), "across")
-    return similarities(across, sets, similarity)
+        rows = materialise(still_apart(rows, roots), "apart")
+        forest = materialise(passing(rows, vectors, similarity, False), "forest")
+        members, left = rows.count(), forest.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        if not left:
+            return roots
+        every = left <= PAIRS_A_MEMBER * members
+        pairs = passing(rows, vectors, similarity, True) if every else forest
+        links = materialise(similarities(materialise(pairs.select("u", "v").distinct(), "pairs"), sets, similarity), "links")
+        if not every and links.isEmpty():  # then no forest tells more than all pairs do
+            every = True
+            pairs = materialise(passing(rows, vectors, similarity, True).select("u", "v").distinct(), "pairs")
+            links = similarities(pairs, sets, similarity)
+        roots = connected(roots.unionAll(links.select("u", "v")))
+        if every:
+            return roots
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -188,9 +354,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without an id cannot be told apart and stay; of rows that share the surviving id all stay
     (exact copies are the business of exact deduplication). An empty table gives no rows.
     """
-    sketched = materialise(sketches(df, id_col, text_col, width), "sketches")
-    kinds = sketched.groupBy("fp", "n", "keys").agg(F.min("doc_id").alias("least"))
-    roots = near_links(df, kinds, id_col, text_col, width, similarity)
+    sketched = materialise(sketches(df, id_col, text_col, width, similarity), "sketches")
+    roots = near_links(df, sketched, id_col, text_col, width, similarity)
     named = sketched.select("doc_id", "fp").join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", F.coalesce("v", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("component_id <> last")
     names = materialise(names, "component-names")

@@ -33,12 +33,16 @@ def fingerprint(text: str, shingle: int = 4) -> int:
         return digest(joined, 42)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *(ends[: n - 1]).tolist()]
-    hashes = np.array([digest(joined[a:z], 42) for a, z in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
+    return majority(np.array([digest(joined[a:z], 42) for a, z in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):  # bounded scratch space for very long texts
+    for at in range(0, len(hashes), 65_536):  # bounded scratch space for very long texts
         part = hashes[at : at + 65_536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -263,6 +264,76 @@ def test_near_stage_drops_all_similar_copies(spark, monkeypatch, few):
     assert near_copies.drop_near_copies(df.limit(0)).count() == 0
 
 
+def near_sets(seed, similarity, sizes):
+    """Sets, each with others that keep all but a few of its shingles and add a few."""
+    rnd = np.random.default_rng(seed)
+    fresh = lambda n: rnd.integers(0, 2**64 - 1, n, np.uint64)
+    sets = []
+    for n in sizes:
+        own = fresh(n)
+        sets.append(np.unique(own))
+        for _ in range(6):
+            gone, more = rnd.integers(0, int(n * (1 - similarity)) + 2, 2)
+            sets.append(np.unique(np.concatenate([rnd.permutation(own)[: max(1, n - gone)], fresh(more)])))
+    return sets
+
+
+def jaccard(a, b):
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6, 0.95])
+def test_rings_lose_no_link(similarity):
+    """All similar pairs share a box and pass sizes and folded vectors; most others do not."""
+    sizes = [*range(2, 40), 46, 60, 100, 150, 151, 400, 1000, 5000]
+    sets = near_sets(1, similarity, sizes)
+    keys = [set(near_copies.ring_keys(s, similarity).tolist()) for s in sets]
+    vectors = [near_copies.folded(s, similarity) for s in sets]
+    links, met = 0, 0
+    for a in range(len(sets)):
+        for b in range(a):
+            near, shared = jaccard(sets[a], sets[b]) >= similarity, not keys[a].isdisjoint(keys[b])
+            met += shared
+            if near and len(np.setxor1d(sets[a], sets[b])):
+                links += 1
+                table = pa.table({"key": [5, 5], "root": [a, b], "n": [len(sets[a]), len(sets[b])], "vector": [vectors[a], vectors[b]]})
+                assert shared and len(near_copies.alike(table, similarity)[0]) == 1, (len(sets[a]), len(sets[b]))
+    assert links > 50 and (similarity < 0.8 or met < len(sets) ** 2 / 10)
+
+
+def test_forests_span_and_are_no_longer_than_that():
+    rnd = np.random.default_rng(4)
+    for n, e in ((1, 0), (40, 30), (300, 5000)):
+        a, b = rnd.integers(0, n, (2, e))
+        kept = near_copies.spanning(n, a, b)
+        label = simhash.components(n, a, b)
+        assert (simhash.components(n, a[kept], b[kept]) == label).all() and len(kept) == n - len(set(label.tolist()))
+
+
+def test_a_group_without_links_is_not_told_in_pairs(spark):
+    """Texts of one origin, each too far from the others: they share boxes, and what leaves the
+    tasks that hold these grows with the texts and not with their pairs."""
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rnd.sample(range(200), 8):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    sets = [near_copies.shingles(t, 5) for _, t in rows]
+    assert max(jaccard(a, b) for k, a in enumerate(sets) for b in sets[:k]) < 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    boxes = near_copies.ring_rows(df, "doc_id", "text", 5, 0.8)
+    vectors = near_copies.sketches(df, "doc_id", "text", 5, 0.8).select("fp", "n", "vector")
+    several = boxes.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert several > 40
+    apart = boxes.select("key", "fp", boxes.fp.alias("root"))
+    assert near_copies.passing(apart, vectors, 0.8, True).select("u", "v").distinct().count() < 120
+    assert near_copies.drop_near_copies(df).count() == 120
+
+
 @pytest.mark.parametrize("distance", [2, 4])
 def test_chains_lose_no_link(distance):
     rnd = np.random.default_rng(distance)
