@@ -334,6 +334,51 @@ def test_a_group_without_links_is_not_told_in_pairs(spark):
     assert near_copies.drop_near_copies(df).count() == 120
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.6, 0.95])
+def test_boxes_of_similar_sets_start_a_chain(similarity):
+    """As dealt and met: every similar set has a partner by a chain, and few others have."""
+    sets = near_sets(2, similarity, [*range(2, 40), 46, 60, 150, 400, 1000])
+    sets += [np.unique(np.random.default_rng(k).integers(0, 2**64 - 1, 90, np.uint64)) for k in range(300)]
+    boxes = [near_copies.unpacked_boxes(p) for _, _, p in near_copies.packed_boxes(sets, similarity, 1)]
+    keys, fps, chain, first = map(np.concatenate, zip(*boxes))
+    own = [near_copies.ring_keys(s, similarity) for s in sets]
+    assert len(keys) == sum(map(len, own)) and first.sum() == sum(min(len(k), near_copies.FIRST_BOXES) for k in own)
+    order = np.lexsort((fps, chain, keys))
+    alive = set(fps[order][near_copies.with_partner(keys[order], chain[order], fps[order])].tolist())
+    names = np.array([near_copies.identity(s) for s in sets], np.uint64).view(np.int64).tolist()
+    for a in range(len(sets) - 300):
+        for b in range(a):
+            if names[a] != names[b] and jaccard(sets[a], sets[b]) >= similarity:
+                assert names[a] in alive and names[b] in alive
+    assert similarity < 0.8 or not alive.intersection(names[-300:])
+
+
+def test_copies_are_not_told_by_every_box(spark, monkeypatch):
+    """What tasks tell of groups of copies grows with the texts, however many boxes they share and
+    however few of these a task holds at once."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(6):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        for c in range(10):
+            own = list(words)
+            own[rnd.randrange(300)] = f"x{c}"
+            rows.append((i * 10 + c, " ".join(own)))
+    told, write = {}, near_copies.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        told[name] = max(told.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    monkeypatch.setattr(near_copies, "ROWS_AT_ONCE", 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(df).collect()) == [0, 10, 20, 30, 40, 50]
+    assert told["ring"] > 60 * near_copies.FIRST_BOXES
+    assert max(told.get(name, 0) for name in ("forest", "pairs")) <= 60 * near_copies.FIRST_BOXES
+
+
 @pytest.mark.parametrize("distance", [2, 4])
 def test_chains_lose_no_link(distance):
     rnd = np.random.default_rng(distance)
