@@ -12,8 +12,9 @@
    have equal anchors, wherever they are. Shards exchange the set of their anchors, packed;
    anchors of one shard alone are dropped. Documents that look like whole copies are grouped
    by Spark on their very bytes, each told once by a shard, and take no further part.
-3. For shared anchors the shards send the bytes around them. Tasks sort these by suffix arrays,
-   block by block, and merge the sorted runs by binary search with comparisons of the bytes;
+3. For shared anchors the shards send the bytes around them. Of stretches with the same bytes a
+   task keeps the one of the smallest document, all others are answered as a whole. It sorts what
+   it keeps by suffix arrays, block by block, and merge the sorted runs by binary search with comparisons of the bytes;
    each shard learns which of its windows start in a smaller document elsewhere. But for whole
    copies and hot anchors, all that crosses shards is decided here.
 4. An anchor that very many shards share has its windows, each with its bytes, aggregated by
@@ -497,13 +498,22 @@ def unpacked(payload: bytes, length: int) -> tuple[np.ndarray, list[bytes]]:
 
 
 def met_stretches(rows: list, length: int):
-    """(shard, answers) for the (shard, stretches) of one bucket: blocks of whole shards'
-    stretches are sorted by suffix arrays, and their runs merged by binary search."""
+    """(shard, answers) for the (shard, stretches) of one bucket. Of stretches of equal bytes only
+    one of the smallest id is compared, which has all windows of the others; those of larger ids
+    are covered whole, those of its id as it is. Blocks of what is left are sorted by suffix
+    arrays, and their runs merged by binary search."""
     recs, texts = zip(*(unpacked(p, length) for _, p in rows))
     who = np.repeat(np.arange(len(rows)), [len(r) for r in recs])
-    rec = np.concatenate(recs)
-    data = np.frombuffer(b"".join(t for own in texts for t in own), np.uint8)
+    every = np.concatenate(recs)
+    numbers: dict[bytes, int] = {}
+    kind = np.array([numbers.setdefault(t, len(numbers)) for own in texts for t in own], np.int64)
     del texts
+    data = np.frombuffer(b"".join(numbers), np.uint8)
+    least = np.full(len(numbers), NO_ID)
+    np.minimum.at(least, kind, every["id"])
+    rec = np.zeros(len(numbers), STRETCH)
+    rec["windows"][kind], rec["id"] = every["windows"], least
+    del numbers
     size = rec["windows"].astype(np.int64) + length - 1
     end = np.cumsum(size)
     k8 = eight(data, len(data))
@@ -522,9 +532,16 @@ def met_stretches(rows: list, length: int):
         covered[base + own] = ids[w.number[own]] < rec["id"][doc[base + own]]
     # runs of covered starts within a stretch; a stretch's last bytes start no window
     first, last = spans(covered[:-1] != 0)
-    stretch = doc[first]
-    answer = np.zeros(len(first), ANSWER)
-    answer["place"], answer["start"], answer["windows"] = rec["place"][stretch], rec["start"][stretch] + (first - (end - size)[stretch]), last - first
+    cut = np.searchsorted(doc[first], np.arange(len(rec) + 1))
+    whole_stretch = every["id"] > least[kind]
+    n = np.where(whole_stretch, 1, np.diff(cut)[kind])
+    stretch = np.repeat(np.arange(len(every)), n)
+    answer = np.zeros(len(stretch), ANSWER)
+    answer["place"], answer["start"], answer["windows"] = every["place"][stretch], every["start"][stretch], every["windows"][stretch]
+    part = np.flatnonzero(~whole_stretch[stretch])
+    run = (cut[:-1][kind[stretch]] + np.arange(len(stretch)) - (np.cumsum(n) - n)[stretch])[part]
+    answer["start"][part] += (first[run] - (end - size)[doc[first[run]]]).astype(np.uint32)
+    answer["windows"][part] = last[run] - first[run]
     edges = np.searchsorted(who[stretch], np.arange(len(rows) + 1))
     for k, (shard, _) in enumerate(rows):
         if edges[k] < edges[k + 1]:

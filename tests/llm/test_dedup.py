@@ -334,6 +334,22 @@ def test_a_group_without_links_is_not_told_in_pairs(spark):
     assert near_copies.drop_near_copies(df).count() == 120
 
 
+def test_equal_stretches_are_sorted_once(monkeypatch):
+    """A passage that many shards send costs one of them; all but the smallest document lose it."""
+    import zlib
+
+    text, rows = b"".join(b"%03d" % k for k in range(30)), []
+    for shard in range(40):
+        rec = np.array([(100 - shard, 0, 7, len(text) - 49)], substring_dedup.STRETCH)
+        rows.append((shard, zlib.compress(len(rec).to_bytes(8, "little") + b"".join(rec[f].tobytes() for f in rec.dtype.names) + text)))
+    sorted_bytes, array = [], substring_dedup.suffix_array
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda k8, *more: sorted_bytes.append(len(k8)) or array(k8, *more))
+    got = dict(substring_dedup.met_stretches(rows, 50))
+    assert sum(sorted_bytes) == len(text) and sorted(got) == list(range(39))
+    for raw in got.values():
+        assert np.frombuffer(raw, substring_dedup.ANSWER).tolist() == [(0, 7, len(text) - 49)]
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.6, 0.95])
 def test_boxes_of_similar_sets_start_a_chain(similarity):
     """As dealt and met: every similar set has a partner by a chain, and few others have."""
