@@ -19,6 +19,8 @@ from functools import lru_cache
 import numpy as np
 
 LIMIT = 0x250
+MOST_MEMO = 300_000  # pieces that a worker remembers of a tokenizer
+CHARS_AT_ONCE = 1 << 20  # of texts that are cut into pieces at once, if they are not one text
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0"
 
 
@@ -47,11 +49,13 @@ def word_pattern() -> re.Pattern:
 class PieceEncoder:
     """ids of whole texts as little-endian bytes, exactly as the library gives them.
 
-    ``max_memo`` bounds the remembered pieces (about 200 bytes each); at the bound the
-    memo starts afresh, which costs time and never changes a result.
+    ``max_memo`` bounds the remembered pieces (about 200 bytes each) but for those of the texts
+    at hand. They lie in two halves: when the newer one is full the older one is forgotten, and a
+    piece that is met again moves to the newer one, so frequent pieces stay. What is forgotten
+    costs time and never changes a result.
     """
 
-    def __init__(self, path: str, max_memo: int = 1_000_000, special_as_text: bool = False):
+    def __init__(self, path: str, max_memo: int = MOST_MEMO, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,6 +78,7 @@ class PieceEncoder:
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])] if not special_as_text else []
         self.odd = re.compile("|".join([f"[\\u{LIMIT:04x}-\\U0010ffff]", *special]))
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_memo = max_memo
         names = [self.lib.id_to_token(i) or "" for i in range(self.lib.get_vocab_size())]
         self.ends = np.array([t.endswith("</w>") for t in names]) if self.lower else None
@@ -112,12 +117,23 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
             return self._whole(texts)
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < CHARS_AT_ONCE:
+                size += len(texts[end])
+                end += 1
+            out += self._by_pieces(texts[at:end])
+            at = end
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         pieces, whole = {}, []
         missing: set[str] = set()
-        if len(self.memo) > self.max_memo:
-            self.memo.clear()
-        memo, findall = self.memo, self.pattern.findall
+        if len(self.memo) > self.max_memo // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older, findall = self.memo, self.older, self.pattern.findall
         for i, text in enumerate(texts):
             if self.odd.search(text):
                 whole.append(i)
@@ -129,7 +145,9 @@ class PieceEncoder:
                     continue
             pieces[i] = own = findall(text)
             missing.update(set(own).difference(memo))
-        self._learn(list(missing))
+        again = set(filter(older.__contains__, missing))
+        memo.update((p, older[p]) for p in again)
+        self._learn(list(missing - again))
         for i, own in pieces.items():
             out[i] = b"".join(map(memo.__getitem__, own))
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):

@@ -38,6 +38,26 @@ def test_pieces_give_what_the_library_gives(path, texts):
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [ids(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_remembered_pieces_are_bounded_and_frequent_ones_stay(path, monkeypatch):
+    enc, learnt, bound, held = PieceEncoder(path, max_memo=3000), [], 3000, 0
+    learn = enc._learn
+
+    def counted(pieces):
+        nonlocal held
+        learnt.extend(pieces)
+        learn(pieces)
+        held = max(held, len(enc.memo) + len(getattr(enc, "older", ())))
+
+    monkeypatch.setattr(enc, "_learn", counted)
+    monkeypatch.setattr("tessera.llm.tokens.CHARS_AT_ONCE", 1000, raising=False)
+    letters = "".maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(["often", *(f"x{i:06d}".translate(letters) for i in range(k, k + 100)), "often"]) for k in range(0, 20_000, 100)]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [ids(path, t) for t in texts]
+    assert held <= bound + 2 * 250
+    assert learnt.count("often") == 1 and learnt.count(" often") == (path == BYTE)
+
+
 @settings(max_examples=150, deadline=None)
 @given(text=st.one_of(st.text(ALPHABET, max_size=60), st.text(max_size=30)))
 def test_own_merges_encode_and_decode_as_the_library(text):
