@@ -37,8 +37,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1).drop("ids")
+    """Pieces of sequences of at most 2048 ids. Workers serve other stages too, so they remember little."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1, max_memo=300_000).drop("ids")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, record_batch
-from .tokens import encoder
+from .tokens import MOST_MEMO, encoder
 
 SLOT_FIELDS = ("length", "rank", "count", "sub_start", "sub_length", "sequence", "offset")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -136,19 +136,20 @@ def plan_packs(histogram: dict[int, int], size: int) -> Plan:
     return Plan({f: table[:, i] for i, f in enumerate(SLOT_FIELDS)}, base, padding)
 
 
-def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", max_memo: int = MOST_MEMO) -> DataFrame:
     """Pack every document into sequences of at most ``size`` ids; one row per piece.
 
     Columns: doc_id, start (the document's ids before the piece), length, ids_crc32,
     doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit). A null or empty
     text is just ``end_id``; rows that repeat an id, or have none, are documents of their
-    own; an empty table gives no rows; other columns of ``df`` are ignored.
+    own; an empty table gives no rows; other columns of ``df`` are ignored. ``max_memo`` bounds
+    the pieces that a worker remembers, also after this.
     """
     spark = df.sparkSession
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("rest", pa.int64()), ("local", pa.int64()), ("whole_local", pa.int64()), ("ids", pa.binary())])
 
     def tokenize(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, max_memo)
         wide = np.dtype("<u4")
         narrow = enc.dtype if end_id is None or end_id < 1 << 8 * enc.dtype.itemsize else wide
         tail = b"" if end_id is None else int(end_id).to_bytes(narrow.itemsize, "little")

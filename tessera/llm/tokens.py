@@ -19,8 +19,8 @@ from functools import lru_cache
 import numpy as np
 
 LIMIT = 0x250
-MOST_MEMO = 300_000  # pieces that a worker remembers of a tokenizer
-CHARS_AT_ONCE = 1 << 20  # of texts that are cut into pieces at once, if they are not one text
+MOST_MEMO = 1_000_000  # pieces that a worker remembers of a tokenizer
+CHARS_AT_ONCE = 1 << 21  # of texts that are cut into pieces at once, if they are not one text
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0"
 
 
@@ -156,6 +156,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_memo: int = MOST_MEMO) -> PieceEncoder:
     """One encoder, with its memo, per Python worker and tokenizer file."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, max_memo)
