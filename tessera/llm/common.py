@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_folder, text_batches
+from ..session import LARGE_ROWS, materialise, shared_folder, text_batches
 
-__all__ = ["MOST_HOT", "ascii_lower", "id_text", "materialise", "record_batch", "shared_folder", "split_join", "table", "text_batches"]
+__all__ = ["LARGE_ROWS", "MOST_HOT", "ascii_lower", "id_text", "materialise", "record_batch", "shared_folder", "split_join", "table", "text_batches"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise
+from .common import LARGE_ROWS, id_text, materialise
 
 SHARD_BYTES = 8 << 20  # of text; what a task holds while it makes a shard is some twenty times that
 PIECE = 1 << 20  # bytes of a text that are split into terms at once
@@ -155,9 +155,9 @@ class Index:
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Index:
     """The tiered index of every row, written to the shared folder. A null or empty text has no
     terms and is not counted."""
-    rows = materialise(postings(df, id_col, text_col, shard_bytes), "postings")
+    rows = materialise(postings(df, id_col, text_col, shard_bytes), "postings", **LARGE_ROWS)
     n, total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    return Index(materialise(tiered(rows, n, total), "tiers"), n, total)
+    return Index(materialise(tiered(rows, n, total), "tiers", **LARGE_ROWS), n, total)
 
 
 class Reader:

@@ -155,6 +155,18 @@ def test_tiers_and_blocks(spark, monkeypatch):
     assert tiered_search.search(tiered_search.build_index(df.limit(0)), asked).count() == 0
 
 
+def test_few_shards_are_held_at_once(spark):
+    """A task that makes many shards writes each to a file, so that neither it nor a reader holds
+    all of them; before, the shards of a task were one row group."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(500)), "en", "a") for i in range(24)]
+    index = tiered_search.build_index(documents(spark, rows, extra=False).coalesce(1), shard_bytes=1 << 12)
+    files = [pq.read_metadata(f.removeprefix("file://")) for f in index.shards.inputFiles()]
+    assert [f.num_rows for f in files] == [1] * 12
+
+
 def test_terms_of_long_texts(monkeypatch):
     monkeypatch.setattr(tiered_search, "PIECE", 7)
     text = "Alpha beta-gamma  " * 20 + "x" * 50 + " ÄÖü9 \x00z"
