@@ -336,3 +336,60 @@ def test_pruned_search_scores_where_chunks_are_read(spark):
         want |= {(i, j, n) for n, j in enumerate(sorted(able, key=lambda j: (-round(unit[i] @ unit[j], 12), j))[:4], 1)}
     assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_terms(text):
+    return sorted({t for t, _ in automaton(text)})
+
+
+def side_by_side(places, words):
+    """How often the words follow each other, by the places (term, place) of a text."""
+    ends = [sum(keywords.terms_of(w)[1] for w in words[:i]) for i in range(len(words))]
+    return sum(all((w, p + off) in places for w, off in zip(words, ends)) for t, p in places if t == words[0])
+
+
+def test_phrases_and_ranks_are_made_in_the_tasks(spark, monkeypatch):
+    """Phrases, exclusions and ranks of texts, of postings and of small blocks are those of a plain
+    version; no pair is shuffled or joined by document, and nothing is sorted for ``Texts``."""
+    rnd = random.Random(8)
+    words = ["a", "b", "c", "fly-ash", "fly", "ash", "6.1", "x/y-z", "y-z", "1.2-3"]
+    docs = {i: " ".join(rnd.choice(words) for _ in range(rnd.randrange(30))) for i in range(150)}
+    df = spark.createDataFrame([*docs.items(), (None, "a b")], "id long, text string")
+    place = {i: automaton(t) for i, t in docs.items()}
+    asked = {q: [rnd.choice(words) for _ in range(rnd.randrange(5))] for q in range(60)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    phrases = sorted((q, i, n) for q, t in asked.items() if t for i in docs if (n := side_by_side(place[i], t)))
+    rank = lambda t, i: keywords.cover_of_many([np.array(sorted(p for w, p in place[i] if w == x)) for x in sorted(set(t))])
+    ranked = {(q, i): round(0.1 * sum(w == t[0] for w, _ in place[i]) if len(set(t)) == 1 else rank(t, i), 9) for q, t in asked.items() if t for i in docs if set(t) <= {w for w, _ in place[i]}}
+    web = {100 + n: f'"{a} {b}" -"{c} {d}" or {e} {f} -{g}' for n in range(30) for a, b, c, d, e, f, g in [[rnd.choice(words) for _ in range(7)]]}
+
+    def holds(i, text):
+        def branch(x):
+            own = lambda p: automaton(p)
+            parts = [(y.startswith("-"), y.lstrip("-").strip('"')) for y in x]
+            return all(neg != bool(side_by_side(place[i], [w for w in p.split()])) for neg, p in parts)
+
+        import re
+
+        left, right = text.split(" or ")
+        return any(branch(re.findall(r'-?"[^"]*"|\S+', x)) for x in (left, right))
+
+    either = sorted((q, i) for q, t in web.items() for i in docs if holds(i, t))
+    asked_web = spark.createDataFrame(list(web.items()), "query_id long, query string")
+    for most, at_once, index in ((1 << 17, 1 << 16, keywords.Texts(df)), (7, 3, keywords.Texts(df)), (7, 3, keywords.postings(df.where("id is not null")))):
+        monkeypatch.setattr(keywords, "MOST_ASKED", most)
+        monkeypatch.setattr(keywords, "MOST_TERMS", most)
+        monkeypatch.setattr(keywords, "PAIRS_AT_ONCE", at_once)
+        found, ranks, ored = keywords.match_phrase(index, queries), keywords.ranked_terms(index, queries), keywords.match_websearch(index, asked_web)
+        assert sorted(map(tuple, found.collect())) == phrases
+        assert {(r["query_id"], r["id"]): round(r["text_rank"], 9) for r in ranks.collect()} == ranked
+        assert sorted((r["query_id"], r["id"]) for r in ored.collect()) == either
+        for got in (found, ranks, ored):
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(query_id" not in plan and "map_from_entries" not in plan and "aggregate(" not in plan.lower().replace("hashaggregate(", "")
+            assert not isinstance(index, keywords.Texts) or "Exchange hashpartitioning" not in plan
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        groups = [np.sort(rng.choice(12, rng.integers(1, 8), replace=False)) + 1 for _ in range(2)]
+        ends = np.cumsum([0, *map(len, groups)])
+        assert keywords.cover_of_two(np.array([0]), np.array([1]), ends, np.concatenate(groups))[0] == pytest.approx(keywords.cover_of_many(groups), abs=1e-12)
