@@ -393,3 +393,26 @@ def test_phrases_and_ranks_are_made_in_the_tasks(spark, monkeypatch):
         groups = [np.sort(rng.choice(12, rng.integers(1, 8), replace=False)) + 1 for _ in range(2)]
         ends = np.cumsum([0, *map(len, groups)])
         assert keywords.cover_of_two(np.array([0]), np.array([1]), ends, np.concatenate(groups))[0] == pytest.approx(keywords.cover_of_many(groups), abs=1e-12)
+
+
+def test_one_block_of_queries_is_held(spark, monkeypatch):
+    """Blocks of query vectors are answered one after another, and those of words are bounded by
+    their terms; before, all vectors were broadcast at once, blocks had any number of terms, and
+    the queries were joined to what they match."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "id long, embedding array<double>")
+    q = df.where("id < 200").withColumnRenamed("id", "query_id")
+    rows = lambda d: sorted((r["query_id"], r["rank"], r["id"]) for r in d.collect())
+    want = rows(vectors.vector_top_k(df, q, 3))
+    monkeypatch.setattr(vectors, "TILE_BYTES", 8 * 8 * 60)
+    got = vectors.vector_top_k(df, q, 3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and rows(got) == want
+    texts = keywords.Texts(spark.createDataFrame([(i, f"w{i % 7} w{i % 11} x") for i in range(77)], "id long, text string"))
+    asked = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 11}", "x"]) for i in range(300)], "query_id long, terms array<string>")
+    monkeypatch.setattr(keywords, "MOST_TERMS", 100)
+    assert len(list(keywords.kind_blocks(keywords.kinds_of(asked)))) >= 4
+    found = keywords.match_all(texts, asked, places=False)
+    has = {i: {f"w{i % 7}", f"w{i % 11}"} for i in range(300)}
+    assert sorted(map(tuple, found.collect())) == sorted((q, i) for q in range(300) for i in range(77) if has[q] <= has[i])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
